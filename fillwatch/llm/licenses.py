@@ -97,7 +97,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     every = {k: v.split() for k, v in (BASE | MORE).items()}
     vocabulary = sorted({w for ws in every.values() for w in ws})
-    place = lambda ws: f"list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(ws) - 1}) = {ws!r})"
+    place = lambda ws: f"CASE WHEN list_has_all(w, {ws!r}) THEN list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(ws) - 1}) = {ws!r}) ELSE [] END"
     cols = ", ".join(f"{place(ws)} AS at_{i}" for i, ws in enumerate(every.values()))
     at = {k: f"at_{i}" for i, k in enumerate(every)}
     label = lambda keys: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({at[k]}) > 0 THEN '{k}' END" for k in sorted(keys)) + "], lambda x: x IS NOT NULL), ',')"

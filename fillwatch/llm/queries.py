@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from fillwatch.llm import decontam, licenses, linededup, mixing, simhash
+from fillwatch.llm import chat, decontam, embeddings, licenses, linededup, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
+    "op2_quality": quality.query,
+    "op3_embedding_dedup": embeddings.query,
     "op5_license_scan": licenses.query,
     "op6_simhash": simhash.query,
+    "op7_toxicity": toxicity.query,
+    "op8_chat_format": chat.query,
     "op9_line_dedup": linededup.query,
     "op10_mix": mixing.query,
 }
 
-ORACLES = {"op1_decontaminate": decontam.ORACLE, "op5_license_scan": licenses.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLES = {"op1_decontaminate": decontam.ORACLE, "op3_embedding_dedup": embeddings.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_chat_format": chat.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE}
