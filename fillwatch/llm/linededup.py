@@ -27,26 +27,29 @@ def line_spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     return materialise(sure.select("h", "first_doc").union(spread.hint("merge").join(exact, "h", "left_semi").select("h", "first_doc")), "boilerplate")
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(doc_id, text, kept, n_lines, n_removed) for every row, without its cross-site boilerplate lines.
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, kept, n_lines, n_removed, site, carried columns) for every row, without its cross-site boilerplate lines.
 
     A line is what stands between line feeds, without spaces at its ends; its key is its XXH64. A non-empty line in
     min_sites or more distinct sites goes from every document but the one with the smallest id that has it, so that
     no line is lost to the corpus. Null texts count as empty (one empty line); empty lines are never removed; a
     null site is no site; a null id is larger than any (its line goes if others have it); rows repeated with one id
-    keep their lines together; other columns are ignored; an empty table gives an empty result.
+    keep their lines together; columns to carry through are named in carry, others are
+    ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     split = rows.select("doc_id", "site", F.split("text", "\n", -1).alias("all"))
     lines = split.select("doc_id", "site", F.explode_outer("all").alias("line")).select("doc_id", "site", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "site", F.xxhash64("line").alias("h"))
     gone = line_spread(lines, min_sites)
     hits = lines.select("doc_id", "h").join(sized(gone), "h").where("doc_id IS NULL OR doc_id > first_doc").select("doc_id", "h").distinct()
     per_doc = materialise(hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h").alias("gone")), "hits")
     joined = rows.hint("merge").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    parts = joined.select("doc_id", "text", F.split("text", "\n", -1).alias("all"), "gone")
+    also = ["site", *[f"carried_{c}" for c in carry]]
+    parts = joined.select("doc_id", "text", *also, F.split("text", "\n", -1).alias("all"), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("all")).otherwise(F.filter("all", lambda x: (F.trim(x) == "") | ~F.array_contains("gone", F.xxhash64(F.trim(x)))))
-    out = parts.select("doc_id", "text", "all", kept.alias("left"))
-    return out.select("doc_id", "text", F.array_join("left", "\n").alias("kept"), F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("left")).cast("long").alias("n_removed"))
+    out = parts.select("doc_id", "text", *also, "all", kept.alias("left"))
+    names = ["site", *[F.col(f"carried_{c}").alias(c) for c in carry]]
+    return out.select("doc_id", "text", F.array_join("left", "\n").alias("kept"), F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("left")).cast("long").alias("n_removed"), *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fillwatch.llm import chat, decontam, embeddings, licenses, linededup, mixing, quality, simhash, toxicity
+from fillwatch.llm import chat, decontam, embeddings, licenses, linededup, mixing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
     "op2_quality": quality.query,
     "op3_embedding_dedup": embeddings.query,
+    "op4_substring_dedup": substrings.query,
     "op5_license_scan": licenses.query,
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,

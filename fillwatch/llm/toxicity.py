@@ -1,15 +1,14 @@
 """Operator 7: toxicity by compression distance between an ordinary and a toxic zstandard dictionary."""
 
-from __future__ import annotations
-
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import ascii_lower, held_out, materialise
@@ -148,6 +147,17 @@ def _features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
         yield pa.record_batch([*map(pa.array, f.T), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "y"])
 
 
+def toxic_score(model: Model, text: Column) -> Column:
+    """The score of a text column, for use among other columns of any table."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for part in texts:
+            yield pd.Series([scorer.score(t or b"") for t in part], dtype="float64")
+
+    return F.pandas_udf(run, "double")(text.cast("string").cast("binary"))
+
+
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row, one narrow pass over the whole texts.
 
