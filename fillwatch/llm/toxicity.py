@@ -18,7 +18,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS, MAX_SEGMENTS = 2000, 4000, 40_000, 256
 #: Windows stay below the length from which zstandard entropy-codes literals: lengths then differ by matches alone.
 WINDOW, BASE_BYTES = 60, 12_000
 #: A telling word beginning: so many bytes, in so large a share of toxic texts, so much likelier there, with so much evidence.
-SHORTEST, LONGEST, MIN_SHARE, MIN_LIFT, MIN_EVIDENCE = 4, 12, 0.03, 30.0, 25.0
+SHORTEST, LONGEST, MIN_SHARE, MIN_LIFT, MIN_EVIDENCE = 4, 12, 0.02, 60.0, 25.0
 STRIP = ".,;:!?|*#$%&()\"'-"
 
 
@@ -102,8 +102,11 @@ def _sampled_windows(rows: DataFrame) -> list[bytes]:
     return [bytes(r.w) for r in ws.orderBy(F.xxhash64("w"), "w").limit(MAX_WINDOWS).collect()]
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps, then the intercept moved so that 0.5 is the threshold of best F1."""
+def _fit(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps, then the intercept moved so that 0.5 is the threshold of best F1.
+
+    each: how many labelled rows a row of the sample stands for, as toxic ones are sampled more densely.
+    """
     a, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -111,8 +114,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         w += np.clip(step, -2, 2)
     z = a @ w
     order = np.argsort(-z, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    hit = np.cumsum((y * each)[order])
+    f1 = 2 * hit / (np.cumsum(each[order]) + (y * each).sum())
     f1[:-1][z[order][:-1] == z[order][1:]] = -1  # ties fall on one side
     k = int(np.argmax(f1))
     w[0] -= (z[order][k] + (z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1)) / 2
@@ -137,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = np.array([r.y for r in have], float)
     if not segments or not 0 < y.sum() < len(y):
         return Model(model.ordinary, model.toxic, (-30.0, 0.0, 0.0, 0.0))
-    return Model(model.ordinary, model.toxic, _fit(np.array([r[:3] for r in have], float), y))
+    n = {r.toxic: r["count"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
+    each = np.where(y == 1, n[1] / max(1, y.sum()), n[0] / max(1, (1 - y).sum()))
+    return Model(model.ordinary, model.toxic, _fit(np.array([r[:3] for r in have], float), y, each))
 
 
 def _features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
