@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -157,16 +158,20 @@ class LogIndex:
 
 
 OPEN, SETTLED, MIXED = 0, 1, 2
-_ROW = "g long, s long, doc long, sub int, pos long, run int, kind int"
-_ROW_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+#: A row of the exchange: anchor; string hash and place in one long; document; text number, kind and window count in one.
+_ROW = "g long, m long, doc long, r long"
+_FOUND = "doc long, sub int, pos long, run int, kind int"
+_FOUND_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _batch(x: Suffixes, kind: np.ndarray) -> pa.RecordBatch:
-    """Rows for the exchange by g; what needs no more comparing is dealt out evenly instead."""
+    """Rows for the exchange by g, in the order of the documents (which packs well); settled and mixed ones are dealt out evenly."""
+    order = np.lexsort((x.pos, x.doc))
+    x, kind = x.take(order), kind[order]
     g = np.where(kind == OPEN, x.g, mix(x.doc.astype(np.uint64) * _M + x.pos.astype(np.uint64)))
-    cols = [g.view(np.int64), np.where(kind == OPEN, x.s, np.uint64(0)).view(np.int64), x.doc, x.sub, x.pos, x.run, kind]
-    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, _ROW_TYPES, strict=True)], names=_NAMES)
+    m = (np.where(kind == OPEN, x.s, np.uint64(0)) << np.uint64(32)) | x.pos.astype(np.uint64)
+    r = x.sub << 34 | kind << 32 | x.run
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (g.view(np.int64), m.view(np.int64), x.doc, r)], names=["g", "m", "doc", "r"])
 
 
 def _open_rows(rows: Suffixes) -> pa.RecordBatch:
@@ -213,11 +218,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (g, s, doc): settle equal strings of all tasks, and find anchors with several strings."""
+    """Rows in the order of (g, m): settle equal strings of all tasks, and find anchors with several strings."""
     rest: list[np.ndarray] | None = None
 
     def settle(c: list[np.ndarray]) -> pa.RecordBatch:
-        g, s, doc, sub, pos, run, kind = c
+        g, m, doc, r = c
+        s, pos, sub, kind, run = m.view(np.uint64) >> np.uint64(32), m & 0xFFFFFFFF, r >> 34, r >> 32 & 3, r & 0xFFFFFFFF
         new_g = np.r_[True, g[1:] != g[:-1]]
         new_s = new_g | np.r_[True, s[1:] != s[:-1]]
         group, string = np.cumsum(new_g) - 1, np.cumsum(new_s) - 1
@@ -229,7 +235,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.where(kind != OPEN, kind, out)
         keep = out != OPEN
         cols = [doc, sub, pos, run, out]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]).cast(t) for x, t in zip(cols, _ROW_TYPES[2:], strict=True)], names=_NAMES[2:])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]).cast(t) for x, t in zip(cols, _FOUND_TYPES, strict=True)], names=["doc", "sub", "pos", "run", "kind"])
 
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
@@ -291,41 +297,43 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps, whose results are already written out."""
+    """Let Spark drop the shuffle files of finished steps, whose results are already written out; its cleaner works beside."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key: the id, the largest long for null; sub tells apart texts that stand under one id."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), text.alias("t")).withColumn("sub", F.pmod(F.xxhash64("t"), F.lit(32768)).cast("int"))
+    """key: the id, the largest long for null; sub tells apart texts that stand under one id, where an id stands twice."""
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    unique = docs.select(key.alias("key")).groupBy("key").count().where("count > 1").limit(1).count() == 0
+    return docs.select(key.alias("key"), text.alias("t")).withColumn("sub", F.lit(0) if unique else F.pmod(F.xxhash64("t"), F.lit(1 << 29)).cast("int"))
 
 
 def _code() -> Column:
     return F.col("pos") * F.lit(1 << 31) + F.col("run")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, sub, runs): the repeated windows of each text that has any, coded as place * 2^31 + windows in a row.
+def repeated(rows: DataFrame) -> DataFrame:
+    """(key, sub, runs) of rows (key, sub, t): the repeated windows of each text that has any, coded as place * 2^31 + windows in a row.
 
     Each task keeps a LogIndex over its texts; what it can't settle alone is compared by anchor over all tasks. Equal
     strings around an anchor settle all but the smallest document's. Only where one anchor has different strings, at the
     ends of matches, are single windows compared. Per anchor and task two rows at most meet in one place.
     """
-    rows = _numbered(docs, id_col, text_col)
     open_rows = rows.where(F.length("t") >= MATCH).select("key", "sub", "t").mapInArrow(_index, _ROW)
-    found = materialise(open_rows.repartition("g").sortWithinPartitions("g", "s", "doc").mapInArrow(_merge, _ROW.split(", ", 2)[2]), "found")
-    release(docs.sparkSession)
+    found = materialise(open_rows.repartition("g").sortWithinPartitions("g", "m").mapInArrow(_merge, _FOUND), "found")
+    release(rows.sparkSession)
     mixed = materialise(found.where(F.col("kind") == MIXED).groupBy("doc", "sub").agg(F.collect_list(_code()).alias("at")), "mixed")
     texts = rows.select(F.col("key").alias("doc"), "sub", "t")
     near = materialise(texts.hint("merge").join(mixed, ["doc", "sub"]).select("doc", "sub", "t", "at").mapInArrow(_windows, "w long, doc long, sub int, pos long"), "windows")
-    release(docs.sparkSession)
+    release(rows.sparkSession)
     seen = materialise(near.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "low"), "seen")
+    release(rows.sparkSession)
     again = near.hint("merge").join(seen, "w").where("doc > low").select("doc", "sub", "pos", F.lit(1).alias("run"))
     every = found.where(F.col("kind") == SETTLED).select("doc", "sub", "pos", "run").union(again)
     out = materialise(every.groupBy("doc", "sub").agg(F.collect_list(_code()).alias("runs")).select(F.col("doc").alias("key"), "sub", "runs"), "runs")
-    release(docs.sparkSession)
+    release(rows.sparkSession)
     return out
 
 
@@ -337,8 +345,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are one document's texts: they never match each other, and equal ones get equal results. Other columns are ignored;
     an empty table gives an empty result.
     """
-    runs = repeated(docs, id_col, text_col)
     rows = _numbered(docs, id_col, text_col)
+    runs = repeated(rows)
     out = rows.hint("merge").join(runs, ["key", "sub"], "left").select("key", "t", "runs").mapInArrow(_digest, _DIGEST)
     return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
