@@ -68,7 +68,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shape = np.add.reduceat(np.where(turn, _mix(kind * _B + np.minimum(order, np.uint64(6)) * _A), np.uint64(0)), starts)
     first = np.r_[True, doc[1:] != doc[:-1]]
     shape = _mix(shape + np.where(~first & (word == np.r_[np.uint64(0), word[:-1]]), _B, np.uint64(0)))
-    back = lambda h, k: np.where(np.arange(len(h)) - k >= np.r_[0, np.cumsum(n)][doc], np.r_[np.zeros(k, np.uint64), h[:-k]], np.uint64(k))
+    back = lambda h, k: np.where(np.arange(len(h)) - k >= np.r_[0, np.cumsum(n)][doc], np.r_[np.zeros(k, np.uint64), h][: len(h)], np.uint64(k))
     s1, s2 = back(shape, 1), back(shape, 2)
     kinds = [word, word * _A + back(word, 1), shape * _B, (shape * _B + s1) * _A, ((shape * _A + s1) * _B + s2) * _A]
     h = np.stack([_mix(x + np.uint64(i)) >> np.uint64(64 - BITS) for i, x in enumerate(kinds)], axis=1)
