@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import materialise
@@ -105,22 +105,27 @@ def intervals(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+def _unescaped(c: Column) -> Column:
+    """unescape() as an expression: between doubled backslashes, single ones begin an escape."""
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit(ESC + "|"), F.lit("|")), F.lit(ESC + "n"), F.lit("\n"))), ESC)
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for conv, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            formatted = "".join(s["seg"] for s in spans)
-            turns = parse(formatted)
-            loss = "".join(unescape(s["seg"][s["mask_from"] : s["mask_to"]]) for s in spans)
-            digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            rows.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BACK_TYPES, strict=True)], names=[x.split()[0] for x in _BACK.split(", ")])
-
+def read_back(spans: DataFrame) -> DataFrame:
+    """What each formatted conversation says, parsed from its emitted text: turns, loss text, lengths.
 
-_BACK_TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in _BACK.split(", ")]
+    No control string survives escaping, so the text splits at the turn marks; a text ends one mark and a line feed
+    before the next turn.
+    """
+    whole = spans.select("conv_id", "spans", F.array_join("spans.seg", "").alias("formatted"))
+    turns = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
+    parsed = F.transform("turns", lambda t: F.struct(_unescaped(F.substring_index(t, "\n", 1)).alias("role"), _unescaped(F.substr(t, F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t) - F.length(F.substring_index(t, "\n", 1)) - len(END) - 2)).alias("text")))
+    loss = F.array_join(F.transform("spans", lambda x: _unescaped(F.substr(x["seg"], (x["mask_from"] + 1).cast("int"), (x["mask_to"] - x["mask_from"]).cast("int")))), "")
+    x = whole.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss")).select("conv_id", "formatted", "loss", parsed.alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return x.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def format_chats(conversations: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     chats = chats.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
     turns, packed = format_chats(chats)
-    return attention(turns, packed).mapInArrow(_read_back, _BACK)
+    return read_back(attention(turns, packed))
 
 
 _ESC = r"replace(replace({}, '\', '\\'), '<|', '<\|')"

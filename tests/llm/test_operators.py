@@ -282,6 +282,17 @@ def test_escaping_round_trip():
         assert chat.parse(chat.segment(t, t)[0] + chat.segment("assistant", t)[0]) == [(t, t), ("assistant", t)]
 
 
+def test_read_back_of_odd_texts(spark):
+    odd = ["", "<|im_end|>", "\\", "<\\|", "<", "\\n", "a\nb", "<|im_start|>user\n", "\\\\<|", "<<|", "\\\\n", "é\\|\U0001f600"]
+    rows = [(k, i, r, t) for k, (r, u) in enumerate(itertools.product([*odd, "assistant"], [odd])) for i, t in enumerate(u)]
+    turns, packed = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chat.read_back(chat.attention(turns, packed)).collect():
+        role = rows[r.conv_id * len(odd)][2]
+        loss = "".join(odd) if role == "assistant" else ""
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(odd), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for t in odd).encode()).hexdigest()
+
+
 def test_prefix_tree(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "x"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (None, 0, None, None), (4, 1, "b", "t"), (4, 1, "a", "t"), (4, None, "z", "")]
     turns, packed = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1)))
@@ -294,6 +305,8 @@ def test_prefix_tree(spark):
         end += r.n_tokens
     spans = {r.conv_id: r for r in chat.attention(turns, packed).collect()}
     assert [s.seg for s in spans[4].spans] == [chat.segment(r, t)[0] for r, t in (("z", ""), ("a", "t"), ("b", "t"))]
+    back = {r.conv_id: r for r in chat.read_back(chat.attention(turns, packed)).collect()}
+    assert (back[2].n_turns, back[2].loss_chars, back[2].turns_sha256) == (3, 2, hashlib.sha256(b"user\nhi\nassistant\nno\nuser\nx\n").hexdigest())
     assert chat.intervals([(0, 5), (5, 2), (9, 1)]) == [(0, 7), (9, 1)]
 
 
