@@ -106,8 +106,13 @@ def _importance(spark: SparkSession, d: str) -> DataFrame:
     return models.feature_importance(models.fit(x, "forest", numTrees=20, maxDepth=5), spark)
 
 
-_ID_KIND = F.element_at(F.array(F.lit("report"), F.lit("return"), F.lit("bin")), (F.col("p_partkey") % 3 + 1).cast("int"))
-_ID = F.concat(F.element_at(F.array(F.lit("WR-"), F.lit("BS-"), F.lit("BIN-")), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_partkey").cast("string"))
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    """Part numbers as identifiers of three kinds."""
+    place = (F.col("p_partkey") % 3 + 1).cast("int")
+    kind = F.element_at(F.array(F.lit("report"), F.lit("return"), F.lit("bin")), place)
+    text = F.concat(F.element_at(F.array(F.lit("WR-"), F.lit("BS-"), F.lit("BIN-")), place), F.col("p_partkey").cast("string"))
+    return _parts(spark, d).select("p_partkey", kpi.id_ok(kind, text).alias("ok"))
+
 
 QUERIES = {
     "price_items": lambda s, d: R.price_items(item_events(s, d)).groupBy("session_id", "result").agg(F.sum("value_cents").alias("cents"), F.count("reason").alias("with_reason")),
@@ -144,7 +149,7 @@ QUERIES = {
     "kpi_compare": lambda s, d: kpi.compare(_kpis(s, d)).select("run", "valid", "complete", F.round("change", 2).alias("change"), F.round("change_pct", 6).alias("change_pct")),
     "paired_runs": lambda s, d: kpi.paired_runs(_kpis(s, d).withColumnRenamed("run", "seed")).select("n", F.round("mean_diff", 2).alias("mean_diff"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high")),
     "route_sums": lambda s, d: kpi.route_sums(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("route"), F.col("l_quantity").alias("leg_km")), 0.4, 2.68).select("route", "km", F.round("litres", 6).alias("litres"), F.round("kg_co2", 6).alias("kg_co2")),
-    "id_patterns": lambda s, d: _parts(s, d).select("p_partkey", kpi.id_ok(_ID_KIND, _ID).alias("ok")),
+    "id_patterns": _ids,
     "recycler_score": lambda s, d: kpi.recycler_score(sessions(s, d), item_events(s, d), US_2000 - 15_552_000_000_000, US_2000).select("resident", "visits", "accepted", "inspected", "clean", F.round("score", 6).alias("score")),
     "duplicate_scans": lambda s, d: kpi.duplicate_scans(item_events(s, d)),
     "model_comparison": _comparison,

@@ -13,7 +13,10 @@ from fillwatch.sources.adapters import READINGS_DUP_SQL, READINGS_SQL, TEST_FROM
 
 DECISION = "2024-01-26T12:00:00Z"
 EXACT = ("time_since_reset_hours", "time_to_overflow_hours")
-KEY = [F.col("bin_id"), X.us().alias("us")]
+
+
+def key() -> list:
+    return [F.col("bin_id"), X.us().alias("us")]
 
 
 def r6(*cols: str) -> list:
@@ -132,29 +135,29 @@ STOPS_SQL = "stops AS (SELECT event_id AS stop_id, 'BIN-' || format('{:03d}', us
 
 W, SEL = "WITH ", "SELECT "
 QUERIES = {
-    "scan_readings": lambda s, d: readings(s, d).select(*KEY, "seq", "fill_pct", "confidence_flag", "waste_type", X.us("received_at").alias("rec_us")),
-    "time_features": lambda s, d: X.add_time_features(readings(s, d)).select(*KEY, "seq", *r6("hour_sin", "hour_cos", "dow_sin", "dow_cos"), "is_weekend"),
+    "scan_readings": lambda s, d: readings(s, d).select(*key(), "seq", "fill_pct", "confidence_flag", "waste_type", X.us("received_at").alias("rec_us")),
+    "time_features": lambda s, d: X.add_time_features(readings(s, d)).select(*key(), "seq", *r6("hour_sin", "hour_cos", "dow_sin", "dow_cos"), "is_weekend"),
     "utc_equivalence": lambda s, d: readings(s, d).withColumn("text", F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))).select("seq", F.unix_micros(F.try_to_timestamp("text")).alias("us")),
     "pit_filter": lambda s, d: S.known_at(readings(s, d), S.instant(DECISION)).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq")),
-    "dedup_last": lambda s, d: X.dedup_last(readings_dup(s, d)).select(*KEY, "seq", F.round("fill_pct", 6).alias("fill_pct")),
-    "nearest_lookback": lambda s, d: X.add_rate_features(readings_dup(s, d)).select(*KEY, *r6("fill_rate_1h", "fill_rate_6h")),
-    "reset_cycles": lambda s, d: X.add_reset_features(X.dedup_last(readings_dup(s, d))).select(*KEY, "cycle_id", *r6("time_since_reset_hours")),
-    "slot_history": lambda s, d: X.add_slot_history(X.add_rate_features(readings_dup(s, d))).select(*KEY, *r6("hist_avg_rate_same_slot")),
-    "feature_table": lambda s, d: feats(s, d).select(*KEY, "cycle_id", "is_weekend", *r6(*FEATURE_COLS)),
-    "latest_per_bin": lambda s, d: X.latest_per_bin(feats(s, d)).select(*KEY, "cycle_id", *r6("fill_pct", "fill_rate_1h", "hist_avg_rate_same_slot")),
+    "dedup_last": lambda s, d: X.dedup_last(readings_dup(s, d)).select(*key(), "seq", F.round("fill_pct", 6).alias("fill_pct")),
+    "nearest_lookback": lambda s, d: X.add_rate_features(readings_dup(s, d)).select(*key(), *r6("fill_rate_1h", "fill_rate_6h")),
+    "reset_cycles": lambda s, d: X.add_reset_features(X.dedup_last(readings_dup(s, d))).select(*key(), "cycle_id", *r6("time_since_reset_hours")),
+    "slot_history": lambda s, d: X.add_slot_history(X.add_rate_features(readings_dup(s, d))).select(*key(), *r6("hist_avg_rate_same_slot")),
+    "feature_table": lambda s, d: feats(s, d).select(*key(), "cycle_id", "is_weekend", *r6(*FEATURE_COLS)),
+    "latest_per_bin": lambda s, d: X.latest_per_bin(feats(s, d)).select(*key(), "cycle_id", *r6("fill_pct", "fill_rate_1h", "hist_avg_rate_same_slot")),
     "head_per_bin": lambda s, d: X.head_per_bin(readings(s, d), 5).select("bin_id", "seq"),
     "episode_context": lambda s, d: X.episode_context(readings(s, d)).select("bin_id", "seq", F.col("row").cast("long").alias("row")),
-    "label_cycles": lambda s, d: L.label_cycles(feats(s, d)).select(*KEY, X.us("crossing_ts").alias("crossing_us"), *r6("time_to_overflow_hours")),
-    "risk_level": lambda s, d: labeled(s, d, False).select(*KEY, "risk_level"),
+    "label_cycles": lambda s, d: L.label_cycles(feats(s, d)).select(*key(), X.us("crossing_ts").alias("crossing_us"), *r6("time_to_overflow_hours")),
+    "risk_level": lambda s, d: labeled(s, d, False).select(*key(), "risk_level"),
     "risk_distribution": lambda s, d: labeled(s, d).groupBy("risk_level").agg(F.count(F.lit(1)).alias("n")),
     "label_summary": _label_summary,
     "censor_drop": lambda s, d: L.label_cycles(feats(s, d)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("time_to_overflow_hours").isNull()).alias("n_censored"), F.count_distinct("bin_id").alias("n_bins")),
-    "chrono_split": lambda s, d: split(s, d).select(*KEY, "split"),
+    "chrono_split": lambda s, d: split(s, d).select(*key(), "split"),
     "purge_leakage": lambda s, d: split(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(L.leaks_label(VAL_FROM, TEST_FROM)).alias("n_purged")),
     "null_counts": lambda s, d: readings(s, d).join(X.add_rate_features(readings(s, d)).select("seq", "fill_rate_1h"), "seq", "left").agg(F.count_if(F.col("fill_pct").isNull()).alias("fill_null"), F.count_if(F.col("fill_rate_1h").isNull()).alias("rate_null"), F.count_if(F.col("waste_type").isNull()).alias("waste_null")),
     "quality_checks": _quality,
     "low_confidence_bins": lambda s, d: readings(s, d).groupBy("bin_id", F.to_date("ts").cast("string").alias("day")).agg(F.min(F.coalesce(F.col("confidence_flag") == 0, F.lit(False))).alias("all_low"), F.min_by("waste_type", F.struct("ts", "seq")).alias("first_waste")).where("all_low"),
-    "naive_forecast": lambda s, d: L.naive_forecast(X.latest_per_bin(feats(s, d))).select(*KEY, *r6("naive_hours")),
+    "naive_forecast": lambda s, d: L.naive_forecast(X.latest_per_bin(feats(s, d))).select(*key(), *r6("naive_hours")),
     "horizons": _horizons,
     "eval_metrics": _models,
     "select_model": lambda s, d: L.select_model(_models(s, d), ["always_24", "always_6", "naive"]).select("model", "mae_hours"),
