@@ -297,10 +297,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps, whose results are already written out; its cleaner works beside."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(2)
+    """Let Spark drop the shuffle files of finished steps, whose results are already written out.
+
+    Its cleaner follows the collection of plans that nothing uses any more: the first round frees Python's hold on
+    them, the second the files.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
