@@ -121,7 +121,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0))
     distinct = materialise(fine.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
-    taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).collect()  # a bounded sample; any pivots give the same links
+    # As many pivots as make cells of about a tile, within a bound; any pivots give the same links.
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, size.n // (tile * max(1, size.labels))))).collect()
     pivots = {d: np.stack([np.array(r.e) / np.linalg.norm(r.e) for r in taken if len(r.e) == d]) for d in {len(r.e) for r in taken}}
     tiles = tiles_of(distinct, pivots, tile)
     sides = tiles.select("tile", "blob").hint("merge").join(tile_pairs(tiles, pivots, threshold), "tile")
