@@ -44,21 +44,37 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-_NODE = "conv_id long, depth int, node string, parent string, path string, seg string, n_tokens long, position long, mask_from long, mask_to long"
+_NODE = "conv_id long, depth int, node string, parent string, seg string, n_tokens long, position long, mask_from long, mask_to long, leaf string, path string"
+#: Nodes in one batch from a task.
+_BATCH_ROWS = 4096
+
+
+def _chain(conv: int | None, turns: list[dict]) -> list[tuple]:
+    """The tree nodes of a conversation. A node's id is a hash of all turns up to it; the last node, the leaf, has the path: all ids, shortened."""
+    rows, parent, path, position = [], "", [], 0
+    for depth, t in enumerate(turns):
+        seg, a, b = segment(t["role"], t["text"])
+        node = hashlib.sha256(f"{parent}\n{seg}".encode()).hexdigest()[:32]
+        path.append(node[:16])
+        rows.append((conv, depth, node, parent, seg, len(seg), position, a, b))
+        parent, position = node, position + len(seg)
+    return [(*r, parent, "".join(path) if r[2] == parent else None) for r in rows]
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chain of tree nodes of each conversation. A node's id is a hash of all turns up to it, its path its ancestors' ids."""
+    rows: list[tuple] = []
+
+    def put() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
     for batch in batches:
-        for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows, parent, path, position = [], "", "", 0
-            for depth, t in enumerate(turns):
-                seg, a, b = segment(t["role"], t["text"])
-                node = hashlib.sha256(f"{parent}\n{seg}".encode()).hexdigest()[:32]
-                path += node[:16]
-                rows.append((conv, depth, node, parent, path, seg, len(seg), position, a, b))
-                parent, position = node, position + len(seg)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+        for conv, turns in zip(batch.column(0), batch.column(1), strict=True):
+            rows += _chain(conv.as_py(), turns.as_py())
+            if len(rows) >= _BATCH_ROWS:
+                yield put()
+                rows = []
+    if rows:
+        yield put()
 
 
 _SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]]) for x in _NODE.split(", ")])
@@ -71,21 +87,30 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     return materialise(convs.mapInArrow(_nodes, _NODE), "turns")
 
 
+def running(rows: DataFrame, order: list[str], value: str, n: int, tag: str) -> DataFrame:
+    """rows with `start`, the sum of value over all rows before in an order without ties: within n range partitions, plus what lies in those before."""
+    ranged = materialise(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), tag)
+    sums = ranged.groupBy("part").agg(F.sum(value).alias("t"))  # one row a partition
+    ahead = sums.select("part", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.coalesce(F.sum(value).over(before), F.lit(0))).drop("part", "ahead")
+
+
 def pack(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """The emitted trees: every distinct node once, in depth-first order.
 
-    Paths sort in depth-first order, so offsets are running sums of tokens (code points) over path order: within range
-    partitions, plus what lies in the partitions before. start is the node's place in the emitted stream, position its
+    The paths of the leaves sort in depth-first order, which ranks the leaves; a node stands where the first leaf below
+    it does, after its ancestors. So a path is kept once a conversation, and all else is numbers. Ranks and offsets are
+    running sums of one and of tokens (code points). start is the node's place in the emitted stream, position its
     first position id (tokens of all ancestors), parent leads to the ancestors it may attend to.
     """
-    same = [F.first(c).alias(c) for c in ("parent", "path", "depth", "seg", "n_tokens", "position", "mask_from", "mask_to")]
-    nodes = turns.groupBy("node").agg(*same, F.count(F.lit(1)).alias("n_convs"))
     n = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(nodes.repartitionByRange(n, "path").withColumn("part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("t"))  # one row a partition
-    ahead = sums.select("part", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    before = Window.partitionBy("part").orderBy("path", "node").rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(ranged.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("part", "ahead"), "packed")
+    leaves = turns.where("path IS NOT NULL").groupBy("leaf").agg(F.first("path").alias("path"), F.lit(1).alias("one"))
+    ranks = materialise(running(leaves, ["path", "leaf"], "one", n, "leaves").select("leaf", F.col("start").alias("rank")), "ranks")
+    first = turns.select("node", "leaf").distinct().hint("merge").join(ranks, "leaf").groupBy("node").agg(F.min("rank").alias("rank"))
+    same = [F.first(c).alias(c) for c in ("parent", "depth", "seg", "n_tokens", "position", "mask_from", "mask_to")]
+    nodes = turns.groupBy("node").agg(*same, F.count(F.lit(1)).alias("n_convs")).hint("merge").join(first, "node")
+    return materialise(running(nodes, ["rank", "depth"], "n_tokens", n, "ranged").drop("rank"), "packed")
 
 
 def attention(turns: DataFrame, packed: DataFrame) -> DataFrame:
