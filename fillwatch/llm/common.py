@@ -39,14 +39,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, most: int, weight: Column | None = None) -> bool:
+    """Whether df has at most so many rows (looks at no more than that), or its rows at most so much weight in all."""
+    if weight is None:
+        return df.limit(most + 1).count() <= most
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= most
 
 
-def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A narrow table with a broadcast hint if its counted rows fit the bound, else with a merge-join hint."""
-    return F.broadcast(df) if small_enough(df, rows) else df.hint("merge")
+def sized(df: DataFrame, most: int = 200_000, weight: Column | None = None) -> DataFrame:
+    """A table with a broadcast hint if its counted rows, or the weight of wide ones, fit the bound, else with a merge-join hint."""
+    return F.broadcast(df) if small_enough(df, most, weight) else df.hint("merge")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

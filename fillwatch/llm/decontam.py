@@ -16,6 +16,8 @@ MASKS = ((0, 1, 3, 4, 5), (0, 8, 9, 10, 11))
 SHORT_MASK = (0, 1, 2, 3, 4)
 #: Seeds of the benchmark up to which they are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
+#: Words of all items up to which their texts are broadcast.
+BROADCAST_ITEM_WORDS = 1_000_000
 
 
 def seeds(hashes: Column, mask: tuple[int, ...], number: int) -> Column:
@@ -60,17 +62,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     theirs = materialise(theirs.withColumnRenamed("start", "item_start"), "seeds")
     hits = _seed_rows(words, "doc_id", masks, numbers).join(sized(theirs, BROADCAST_SEEDS), "seed").select("doc_id", "item", (F.col("start") - F.col("item_start")).alias("shift")).distinct()
     hits = materialise(hits, "hits")
-    with_items = hits.join(sized(keyed(items), 20_000).withColumnRenamed("words", "theirs"), "item")
-    texts = words.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi")
-    pairs = with_items.hint("merge").join(texts, "doc_id")
+    with_items = hits.join(sized(keyed(items), BROADCAST_ITEM_WORDS, F.size("words")).withColumnRenamed("words", "theirs"), "item")
+    # Rows repeated with one id: equal texts count once, of different ones the larger figures.
+    texts = words.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("row", F.xxhash64("words"))
+    pairs = with_items.hint("merge").join(texts.dropDuplicates(["doc_id", "row"]), "doc_id")
     same = F.transform("theirs", lambda w, j: F.when((F.col("shift") + j >= 0) & (F.get("words", F.col("shift") + j) == w), 1).otherwise(0))
     long = F.least(F.size("theirs"), F.lit(WINDOW))
-    pairs = pairs.select("doc_id", "item_id", "shift", long.alias("long"), same.alias("same"))
+    pairs = pairs.select("doc_id", "row", "item_id", "shift", long.alias("long"), same.alias("same"))
     counts = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("long")), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, F.col("long")), F.lit(0), lambda a, x: a + x).alias("n"), (F.col("shift") + s).alias("p")))
     good = F.filter(counts, lambda x: x["n"] >= F.when(F.col("long") == WINDOW, NEEDED).otherwise(F.col("long")))
-    pairs = pairs.select("doc_id", "item_id", good.alias("good"))
-    out = pairs.groupBy("doc_id", "item_id").agg(F.sum(F.size("good")).cast("long").alias("n_windows"), F.max(F.array_max("good.n")).cast("long").alias("best"), F.greatest(F.lit(0), F.min(F.array_min("good.p"))).cast("long").alias("first_word"))
-    return out.where("n_windows > 0")
+    pairs = pairs.select("doc_id", "row", "item_id", good.alias("good"))
+    each = pairs.groupBy("doc_id", "item_id", "row").agg(F.sum(F.size("good")).cast("long").alias("n_windows"), F.max(F.array_max("good.n")).cast("long").alias("best"), F.greatest(F.lit(0), F.min(F.array_min("good.p"))).cast("long").alias("first_word")).where("n_windows > 0")
+    return each.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("best").alias("best"), F.min("first_word").alias("first_word"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
