@@ -33,7 +33,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     A line is what stands between line feeds, without spaces at its ends; its key is its XXH64. A non-empty line in
     min_sites or more distinct sites goes from every document but the one with the smallest id that has it, so that
     no line is lost to the corpus. Null texts count as empty (one empty line); empty lines are never removed; a
-    null site is no site; a null id is larger than any (its line goes if others have it); rows repeated with one id
+    null site is no site; a null id is larger than any (its line goes if a document with an id has it, else it stays); rows repeated with one id
     keep their lines together; columns to carry through are named in carry, others are
     ignored; an empty table gives an empty result.
     """
@@ -41,7 +41,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_i
     split = rows.select("doc_id", "site", F.split("text", "\n", -1).alias("all"))
     lines = split.select("doc_id", "site", F.explode_outer("all").alias("line")).select("doc_id", "site", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "site", F.xxhash64("line").alias("h"))
     gone = line_spread(lines, min_sites)
-    hits = lines.select("doc_id", "h").join(sized(gone), "h").where("doc_id IS NULL OR doc_id > first_doc").select("doc_id", "h").distinct()
+    hits = lines.select("doc_id", "h").join(sized(gone), "h").where("first_doc IS NOT NULL AND (doc_id IS NULL OR doc_id > first_doc)").select("doc_id", "h").distinct()
     per_doc = materialise(hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h").alias("gone")), "hits")
     joined = rows.hint("merge").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     also = ["site", *[f"carried_{c}" for c in carry]]
