@@ -20,18 +20,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
+    line, digest, n = b" ".join(words), xxhash.xxh64_intdigest, max(1, len(words) - size + 1)
+    behind = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.r_[0, behind][:n], behind[min(size, len(words)) - 1 :] - 1
     ones, step = np.zeros(BITS, np.int64), 1 << 16
-    for k in range(0, len(hashes), step):
-        part = np.array(hashes[k : k + step], "<u8")
+    for k in range(0, n, step):
+        part = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist(), strict=True)), "<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(hashes))))
+    return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -101,6 +101,12 @@ def test_leaks_equal_brute_force(spark):
     assert want and got == want
 
 
+def test_repeated_rows_leak_once(spark):
+    item = prose(random.Random(3), 20)
+    rows, bench = docs(spark, [item, item, item + " more", item], [5, 5, 5, 6]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontam.leaks(rows, bench).collect()) == [(i, 1, 6, 15, 0) for i in (5, 6)]
+
+
 # 2: quality
 def test_ngrams_equal_a_plain_count():
     a, na = quality.ngrams([b"One two  two", b"", b"x"])
@@ -293,6 +299,22 @@ def test_read_back_of_odd_texts(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for t in odd).encode()).hexdigest()
 
 
+def test_long_conversations_with_shared_beginnings(spark):
+    """Depth-first order over many partitions, and tables that grow with the turns, not their square."""
+    rng = random.Random(6)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t}" + (f" of {c % 9}" if t >= (c % 5) * 20 else "")) for c in range(40) for t in range(rng.choice([3, 60, 200]))]
+    turns, packed = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert turns.agg(F.sum(F.length("path"))).first()[0] == 16 * len(rows)
+    nodes, end, open_ = {r.node: r for r in packed.collect()}, 0, []
+    assert set(nodes) == {r.node for r in turns.select("node").collect()} and sum(r.n_convs for r in nodes.values()) == len(rows)
+    for r in sorted(nodes.values(), key=lambda r: r.start):  # a node follows its parent or a finished subtree of it
+        assert r.start == end
+        del open_[r.depth :]
+        assert (open_[-1] if open_ else "") == r.parent and len(open_) == r.depth
+        open_.append(r.node)
+        end += r.n_tokens
+
+
 def test_prefix_tree(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "x"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (None, 0, None, None), (4, 1, "b", "t"), (4, 1, "a", "t"), (4, None, "z", "")]
     turns, packed = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1)))
@@ -320,6 +342,12 @@ def test_sketch_band_and_exact_counts(spark):
     assert out[5].kept == "line 5\n" and out[0].n_removed == 0
 
 
+def test_lines_without_ids_stay_if_no_other_has_them(spark):
+    rows = ["all\nnone"] * 3 + ["all"] * 2
+    out = linededup.line_dedup(docs(spark, rows, [None, None, None, 4, 5], [f"s{i}" for i in range(5)]), 3).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in out) == [(0, "none")] * 3 + [(4, "all"), (5, "")]
+
+
 # 10: mixing
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "src0", 10), ("web", "en", "src4", 1000), ("books", "en", "src1", 1000)], "domain string, lang string, source string, tokens long")
