@@ -175,13 +175,20 @@ def _batch(x: Suffixes, kind: np.ndarray) -> pa.RecordBatch:
 
 
 def _open_rows(rows: Suffixes) -> pa.RecordBatch:
-    """An index as rows: of an anchor with more than two strings, two stay to be compared, all others are known to be mixed."""
+    """An index as rows: of an anchor with more than two strings, two stay to be compared, all others are known to be mixed.
+
+    The two are of different documents where the anchor has such, so that _merge sees that others need their windows.
+    """
     rows = rows.take(np.lexsort((rows.doc, rows.s, rows.g)))
     new_g = np.r_[True, rows.g[1:] != rows.g[:-1]][: len(rows.g)]
     new_s = (new_g | np.r_[True, rows.s[1:] != rows.s[:-1]][: len(rows.g)]).astype(np.int64)
     group = np.cumsum(new_g) - 1
     number = np.cumsum(new_s) - np.cumsum(new_s)[np.flatnonzero(new_g)][group] if len(group) else group
-    return _batch(rows, np.where(number >= 2, MIXED, OPEN))
+    at_g = np.flatnonzero(new_g)
+    other = np.where((number > 0) & (rows.doc != rows.doc[at_g][group]), number, len(number))
+    second = np.minimum.reduceat(other, at_g) if len(at_g) else at_g
+    second = np.where(second == len(number), 1, second)[group]
+    return _batch(rows, np.where((number > 0) & (number != second), MIXED, OPEN))
 
 
 def _pieces(doc: int, sub: int, text: bytes) -> Iterator[tuple[bytes, int, int, int]]:

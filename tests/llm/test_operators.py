@@ -182,6 +182,19 @@ def test_repeats_equal_brute_force(spark, seed):
     assert got == want
 
 
+def test_passage_twice_in_one_document_meets_another_document(spark):
+    rng = random.Random(8)
+    part = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    texts, want = [], {}
+    for k in range(0, 48, 2):  # one task: an anchor of p has three strings, two of them in one document
+        p, first = part(60), (k // 2) % 2
+        a, b = f"{part(70)}<{p}>{part(70)}({p}){part(70)}", f"{part(70)}[{p}]{part(70)}"
+        texts += [a, b][:: 1 if first else -1]
+        want[k], want[k + 1] = 0, 60 if first else 120
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs(spark, texts).coalesce(1)).collect()}
+    assert got == want
+
+
 def test_long_texts_are_cut_without_losing_windows(spark, monkeypatch):
     rng = random.Random(5)
     a = "".join(rng.choices("abcdefgh", k=5000))
