@@ -1,4 +1,4 @@
-"""A corpus pipeline: toxicity, line dedup, near-duplicate removal, decontamination, mixing.
+"""A corpus pipeline: toxicity, line dedup, near-duplicate removal, decontamination, near copies by similarity, mixing.
 
 Every stage works on all that the stage before kept, written as Parquet in the shared folder and read again.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwatch.llm import decontam, linededup, mixing, simhash, toxicity
+from fillwatch.llm import decontam, linededup, mixing, nearcopies, simhash, toxicity
 from fillwatch.llm.common import materialise, sized
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,12 +40,17 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(sized(bad), "doc_id", "left_anti").select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group at a Jaccard similarity of 0.8 or more of 5-word shingles, most of which differ in more than two bits."""
+    return nearcopies.drop_near_copies(docs).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the final mixture with their number of copies."""
     return mixing.mix(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("mixing", mix)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("near_copies", drop_near_copies), ("mixing", mix)]
 
 #: The first stage trains a model, which SQL can't express; tests compare the others with a brute-force version.
 ORACLE_SQL = None

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fillwatch.llm import chat, common, decontam, embeddings, licenses, linededup, mixing, quality, simhash, substrings, toxicity
+from fillwatch.llm import chat, common, decontam, embeddings, licenses, linededup, mixing, nearcopies, quality, simhash, substrings, toxicity
 from fillwatch.llm.queries import ORACLES, QUERIES
 from tests.sql_compare import assert_same, duck
 
@@ -395,3 +395,46 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {min(s) for s in comp.values()} - bad
     mixed = stages["mixing"](spark, clean, SF)
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()} and mixed.count() > 0
+
+
+def plain_near_copies(texts):
+    """Ids that stay, of a dict id: text."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    comp = {i: {i} for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if both and 5 * both >= 4 * len(sets[i] | sets[j]):
+            s = comp[i] | comp[j]
+            for x in s:
+                comp[x] = s
+    return {min(s) for s in comp.values()}
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.choice([30, 80, 300])) for _ in range(25)] + ["", None, " \n", "one two", "One  TWO", "one"]
+    for t in texts[:25] * 3:  # around the bound: a changed word takes up to five shingles
+        w = t.split()
+        for k in rng.sample(range(len(w)), rng.randrange(max(2, len(w) // 30))):
+            w[k] = "changed"
+        texts.append(" ".join(w))
+    start = prose(rng, 60)
+    texts += [f"{start} {prose(rng, 8)}" for _ in range(12)]  # not a clique: ends differ
+    ids = rng.sample(range(500), len(texts))
+    want = plain_near_copies(dict(zip(ids, texts, strict=True)))
+    assert len(want) < len(texts) - 20
+    rows = docs(spark, [*texts, texts[0], "no id", texts[1]], [*ids, None, None, ids[1]], sources=["s"] * (len(texts) + 3)).repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in nearcopies.drop_near_copies(rows).collect())
+    assert [x for x in got if x[0]] == [(True, 0, "no id")]
+    assert sorted(x[1] for x in got if not x[0]) == sorted([*want, *({ids[1]} & want)])
+    assert nearcopies.drop_near_copies(rows.where("false")).count() == 0
+
+
+@have_data
+def test_pipeline_drops_near_copies_beyond_two_bits(spark):
+    import corpus_pipeline as P
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
+    out = dict(P.STAGES)["near_copies"](spark, d, SF)
+    assert out.columns == P.COLUMNS and {r.doc_id for r in out.collect()} == plain_near_copies({r.doc_id: r.text for r in d.collect()})
