@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,21 +13,44 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Drops the shuffle files of a finished write, whose result stands in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode alone, a temporary one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fillwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes."""
+def _write(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, was = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes.
+
+    Tables that a result may still read stay in the folder, which is the cluster's to clear after the application.
+    """
+    return _write(df, tag)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of this module that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,26 +79,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Connected components of an undirected graph: (node, component), component being the smallest node reachable.
 
     Alternates the large-star and small-star steps (each a min per node and a join back), so rounds grow with the
-    logarithm of the graph's size; every round is written out, which bounds lineage. Only a row count and a checksum
-    come to the driver. Nodes without edges, self-loops and null ends are left out; no edges give an empty table.
+    logarithm of the graph's size; every round is written out, which bounds lineage, and replaces the one before. Only a
+    row count and a checksum come to the driver. A graph that isn't done after max_rounds is an error. Nodes without
+    edges, self-loops and null ends are left out; no edges give an empty table.
     """
-    now = materialise(
+    spark = edges.sparkSession
+    now, path = _write(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "edges",
     )
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    seen, rounds = mark(now), 0
+    while seen[0]:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.hint("merge").join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large")
+        large, half = _write(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.hint("merge").join(low, "u")
-        now = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        was, seen = seen, mark(now)
+        old = path
+        now, path = _write(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(spark, old)
+        discard(spark, half)
+        was, seen, rounds = seen, mark(now), rounds + 1
         if was == seen:
             break
+        if rounds == max_rounds:
+            raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))

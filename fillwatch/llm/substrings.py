@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwatch.llm.common import materialise
+from fillwatch.llm.common import materialise, sized
 
 #: Bytes of a match, of an anchor within it, and anchors to choose from in each window.
 MATCH, ANCHOR = 50, 24
@@ -21,6 +19,8 @@ SPREAD = MATCH - ANCHOR + 1
 #: Bytes of text in one batch of the index, and suffixes that a task's index holds before it is handed on.
 BATCH_BYTES, INDEX_ROWS = 1 << 20, 4_000_000
 NO_ID = (1 << 63) - 1
+#: Different strings around one anchor that one task compares; anchors with more are compared window by window over all tasks.
+HOT = 20_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -160,18 +160,17 @@ class LogIndex:
 OPEN, SETTLED, MIXED = 0, 1, 2
 #: A row of the exchange: anchor; string hash and place in one long; document; text number, kind and window count in one.
 _ROW = "g long, m long, doc long, r long"
-_FOUND = "doc long, sub int, pos long, run int, kind int"
-_FOUND_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+_FOUND = "g long, doc long, sub int, pos long, run int, kind int"
+_FOUND_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _batch(x: Suffixes, kind: np.ndarray) -> pa.RecordBatch:
-    """Rows for the exchange by g, in the order of the documents (which packs well); settled and mixed ones are dealt out evenly."""
+    """Rows for the exchange, in the order of the documents (which packs well)."""
     order = np.lexsort((x.pos, x.doc))
     x, kind = x.take(order), kind[order]
-    g = np.where(kind == OPEN, x.g, mix(x.doc.astype(np.uint64) * _M + x.pos.astype(np.uint64)))
     m = (np.where(kind == OPEN, x.s, np.uint64(0)) << np.uint64(32)) | x.pos.astype(np.uint64)
     r = x.sub << 34 | kind << 32 | x.run
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (g.view(np.int64), m.view(np.int64), x.doc, r)], names=["g", "m", "doc", "r"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x.g.view(np.int64), m.view(np.int64), x.doc, r)], names=["g", "m", "doc", "r"])
 
 
 def _open_rows(rows: Suffixes) -> pa.RecordBatch:
@@ -225,12 +224,16 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (g, m): settle equal strings of all tasks, and find anchors with several strings."""
+    """Open rows in the order of (g, m): settle equal strings of all tasks, and find anchors with several strings. Other rows pass through."""
     rest: list[np.ndarray] | None = None
 
+    def rows(g: np.ndarray, m: np.ndarray, doc: np.ndarray, r: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        cols = [np.where(kind == MIXED, g, 0), doc, r >> 34, m & 0xFFFFFFFF, r & 0xFFFFFFFF, kind]
+        return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(cols, _FOUND_TYPES, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
     def settle(c: list[np.ndarray]) -> pa.RecordBatch:
         g, m, doc, r = c
-        s, pos, sub, kind, run = m.view(np.uint64) >> np.uint64(32), m & 0xFFFFFFFF, r >> 34, r >> 32 & 3, r & 0xFFFFFFFF
+        s = m.view(np.uint64) >> np.uint64(32)
         new_g = np.r_[True, g[1:] != g[:-1]]
         new_s = new_g | np.r_[True, s[1:] != s[:-1]]
         group, string = np.cumsum(new_g) - 1, np.cumsum(new_s) - 1
@@ -238,14 +241,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = np.bincount(group, new_s, len(at_g))
         low, high = np.minimum.reduceat(doc, at_g), np.maximum.reduceat(doc, at_g)
         least = np.minimum.reduceat(doc, at_s)[string]
-        out = np.where(doc > least, SETTLED, np.where((strings[group] > 1) & (low < high)[group], MIXED, OPEN))
-        out = np.where(kind != OPEN, kind, out)
-        keep = out != OPEN
-        cols = [doc, sub, pos, run, out]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]).cast(t) for x, t in zip(cols, _FOUND_TYPES, strict=True)], names=["doc", "sub", "pos", "run", "kind"])
+        kind = np.where(doc > least, SETTLED, np.where((strings[group] > 1) & (low < high)[group], MIXED, OPEN))
+        keep = kind != OPEN
+        return rows(g[keep], m[keep], doc[keep], r[keep], kind[keep])
 
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        kind = cols[3] >> 32 & 3
+        known = kind != OPEN
+        if known.any():
+            yield rows(*(x[known] for x in cols), kind[known])
+            cols = [x[~known] for x in cols]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
@@ -258,17 +264,87 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(rest)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows in the mixed places of each text."""
+_CONTEXT = "g long, doc long, sub int, pos long, run int, c binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of the mixed places of each text: the bytes of their windows."""
     for batch in batches:
         for doc, sub, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-            runs = np.unique(np.array(at.values.to_numpy(), np.int64))
-            pos, run = runs >> 31, runs & ((1 << 31) - 1)
-            first, wide = int(pos.min()), int((pos + run).max()) + MATCH - 1
-            h = Hashes(np.frombuffer(text, np.uint8)[first:wide])
-            w = np.unique(np.repeat(pos, run) + np.arange(run.sum()) - np.repeat(np.r_[0, np.cumsum(run)[:-1]], run)) - first
-            n = len(w)
-            yield pa.RecordBatch.from_arrays([pa.array(h.of(w, w + MATCH).view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, sub, np.int32)), pa.array(w + first)], names=["w", "doc", "sub", "pos"])
+            g, code = at.values.field("g"), np.array(at.values.field("code").to_numpy(), np.int64)
+            pos, run = code >> 31, code & ((1 << 31) - 1)
+            c = [text[a:b] for a, b in zip(pos.tolist(), (pos + run + MATCH - 1).tolist(), strict=True)]
+            n = len(pos)
+            yield pa.RecordBatch.from_arrays([g, pa.array(np.full(n, doc)), pa.array(np.full(n, sub, np.int32)), pa.array(pos), pa.array(run.astype(np.int32)), pa.array(c, pa.binary())], names=[x.split()[0] for x in _CONTEXT.split(", ")])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of rows with contexts: their bytes, where each window starts in them, and its row and number in the row."""
+    run, c = batch.column(4).to_numpy().astype(np.int64), batch.column(5)
+    c = c.cast(pa.large_binary())
+    offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+    buf = np.frombuffer(c.buffers()[2], np.uint8) if c.buffers()[2] is not None else np.zeros(0, np.uint8)
+    owner = np.repeat(np.arange(len(run)), run)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(run) - run, run)
+    return buf, offsets[:-1][owner] + k, owner, k
+
+
+def first_docs(buf: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of all windows with the same bytes, for each window. Hashes bring equal ones together, bytes decide."""
+    h = Hashes(buf).of(at, at + MATCH)
+    order = np.lexsort((doc, h))
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each window in order, the one with its hash in the smallest document
+    view = np.lib.stride_tricks.sliding_window_view(buf, MATCH)
+    for i in range(0, len(at), 1 << 18):
+        if (view[at[order[i : i + (1 << 18)]]] != view[at[head[i : i + (1 << 18)]]]).any():  # two strings with one hash
+            _, kind = np.unique(np.ascontiguousarray(view[at]).view(f"V{MATCH}").ravel(), return_inverse=True)
+            least = np.full(kind.max() + 1, NO_ID)
+            np.minimum.at(least, kind, doc)
+            return least[kind]
+    out = np.empty(len(at), np.int64)
+    out[order] = doc[head]
+    return out
+
+
+_GONE = "doc long, sub int, pos long, run int"
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of g: the windows of each anchor that also stand in a smaller document, neighbours as one run."""
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buf, at, owner, k = _unpacked(batch)
+        doc = batch.column(1).to_numpy()
+        gone = doc[owner] > first_docs(buf, at, doc[owner])
+        owner, k = owner[gone], k[gone]
+        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (k[1:] != k[:-1] + 1)][: len(k)])
+        i = owner[new]
+        cols = [doc[i], batch.column(2).to_numpy()[i], batch.column(3).to_numpy()[i] + k[new], np.diff(np.r_[new, len(k)]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[x.split()[0] for x in _GONE.split(", ")])
+
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        g = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(g, g[-1], side="left")) if len(g) else 0  # the last anchor may go on
+        if cut:
+            yield settle(batch.slice(0, cut))
+        rest = batch.slice(cut) if len(g) else rest
+    if rest is not None and rest.num_rows:
+        yield settle(rest)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of rows with contexts, with its bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            buf, at, owner, k = _unpacked(part)
+            w = [bytes(x) for x in np.lib.stride_tricks.sliding_window_view(buf, MATCH)[at]] if len(at) else []
+            cols = [pa.array(w, pa.binary()), part.column(1).take(pa.array(owner)), part.column(2).take(pa.array(owner)), pa.array(part.column(3).to_numpy()[owner] + k)]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "doc", "sub", "pos"])
 
 
 _DIGEST = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -303,18 +379,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _DIGEST.split(", ")])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps, whose results are already written out.
-
-    Its cleaner follows the collection of plans that nothing uses any more: the first round frees Python's hold on
-    them, the second the files.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key: the id, the largest long for null; sub tells apart texts that stand under one id, where an id stands twice."""
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -326,27 +390,35 @@ def _code() -> Column:
     return F.col("pos") * F.lit(1 << 31) + F.col("run")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, sub, runs) of rows (key, sub, t): the repeated windows of each text that has any, coded as place * 2^31 + windows in a row.
 
-    Each task keeps a LogIndex over its texts; what it can't settle alone is compared by anchor over all tasks. Equal
-    strings around an anchor settle all but the smallest document's. Only where one anchor has different strings, at the
-    ends of matches, are single windows compared. Per anchor and task two rows at most meet in one place.
+    Each task keeps a LogIndex over its texts; what it can't settle alone is compared by anchor over all tasks, two rows
+    at most per anchor and task. Equal strings around an anchor settle all but the smallest document's. Only where one
+    anchor has different strings, at the ends of matches, are their bytes brought together, by anchor, and compared
+    window by window. An anchor with over `hot` such strings isn't brought together: its windows are counted by Spark,
+    which combines equal ones before they move.
     """
     open_rows = rows.where(F.length("t") >= MATCH).select("key", "sub", "t").mapInArrow(_index, _ROW)
-    found = materialise(open_rows.repartition("g").sortWithinPartitions("g", "m").mapInArrow(_merge, _FOUND), "found")
-    release(rows.sparkSession)
-    mixed = materialise(found.where(F.col("kind") == MIXED).groupBy("doc", "sub").agg(F.collect_list(_code()).alias("at")), "mixed")
+    dealt = F.when(F.getbit("r", F.lit(32)) + F.getbit("r", F.lit(33)) == 0, F.col("g")).otherwise(F.xxhash64("doc", "m"))
+    found = materialise(open_rows.repartition(dealt).sortWithinPartitions("g", "m").mapInArrow(_merge, _FOUND), "found")
+    mixed = found.where(F.col("kind") == MIXED)
+    counts = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    many = materialise(counts.where((F.col("n") > hot) & (F.col("low") < F.col("high"))).select("g"), "hot")
+    places = mixed.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", _code().alias("code"))).alias("at"))
     texts = rows.select(F.col("key").alias("doc"), "sub", "t")
-    near = materialise(texts.hint("merge").join(mixed, ["doc", "sub"]).select("doc", "sub", "t", "at").mapInArrow(_windows, "w long, doc long, sub int, pos long"), "windows")
-    release(rows.sparkSession)
-    seen = materialise(near.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "low"), "seen")
-    release(rows.sparkSession)
-    again = near.hint("merge").join(seen, "w").where("doc > low").select("doc", "sub", "pos", F.lit(1).alias("run"))
-    every = found.where(F.col("kind") == SETTLED).select("doc", "sub", "pos", "run").union(again)
-    out = materialise(every.groupBy("doc", "sub").agg(F.collect_list(_code()).alias("runs")).select(F.col("doc").alias("key"), "sub", "runs"), "runs")
-    release(rows.sparkSession)
-    return out
+    near = texts.hint("merge").join(places, ["doc", "sub"]).select("doc", "sub", "t", "at").mapInArrow(_contexts, _CONTEXT)
+    near = materialise(near.join(sized(many.withColumn("hot", F.lit(True))), "g", "left").select(*[x.split()[0] for x in _CONTEXT.split(", ")], F.coalesce("hot", F.lit(False)).alias("hot")), "contexts")
+    cold = near.where("NOT hot").drop("hot").repartition("g").sortWithinPartitions("g").mapInArrow(_resolve, _GONE)
+    again = [materialise(cold, "cold")]
+    if many.limit(1).count():
+        windows = materialise(near.where("hot").drop("hot").mapInArrow(_windows, "w binary, doc long, sub int, pos long"), "windows")
+        seen = materialise(windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "low"), "seen")
+        again.append(windows.hint("merge").join(seen, "w").where("doc > low").select("doc", "sub", "pos", F.lit(1).alias("run")))
+    every = found.where(F.col("kind") == SETTLED).select("doc", "sub", "pos", "run")
+    for part in again:
+        every = every.union(part)
+    return materialise(every.groupBy("doc", "sub").agg(F.collect_list(_code()).alias("runs")).select(F.col("doc").alias("key"), "sub", "runs"), "runs")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,6 +182,26 @@ def test_repeats_equal_brute_force(spark, seed):
     assert got == want
 
 
+def test_hot_anchors_and_colliding_hashes_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    part = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    p = part(90)
+    rows = docs(spark, [f"{part(60)}{p}{part(rng.randrange(60))}" for _ in range(60)], rng.sample(range(100), 60)).repartition(5)
+    want = sorted(map(tuple, substrings.remove_repeats(rows).collect()))
+    assert sum(r[2] for r in want) >= 59 * 90
+    for hot in (0, 3):
+        numbered = substrings._numbered(rows, "doc_id", "text")
+        runs = {r.key: sorted(r.runs) for r in substrings.repeated(numbered, hot).collect()}
+        got = {r.key: substrings.cut(bytes(r.t), np.array(runs.get(r.key, []), np.int64)) for r in numbered.collect()}
+        assert sorted((k, hashlib.sha256(t).hexdigest(), n) for k, (t, n) in got.items()) == [(r[0], r[4], r[3]) for r in want]
+    buf = np.frombuffer((p[:60] + p[:60] + p[30:]).encode(), np.uint8)
+    at, doc = np.r_[np.arange(11), np.arange(60, 71), np.arange(120, 131)], np.r_[np.full(11, 5), np.full(11, 3), np.full(11, 1)]
+    want = substrings.first_docs(buf, at, doc)
+    assert list(want[:11]) == [3] * 11 and list(want[11:22]) == [3] * 11 and list(want[22:]) == [1] * 11
+    monkeypatch.setattr(substrings.Hashes, "of", lambda self, a, b: np.zeros(len(a), np.uint64))
+    assert list(substrings.first_docs(buf, at, doc)) == list(want)
+
+
 def test_passage_twice_in_one_document_meets_another_document(spark):
     rng = random.Random(8)
     part = lambda k: "".join(rng.choices("abcdefgh", k=k))
