@@ -1,7 +1,9 @@
 """Operator 7: toxicity by compression distance between an ordinary and a toxic zstandard dictionary."""
 
+from __future__ import annotations
+
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,20 +13,19 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwatch.llm.common import ascii_lower, held_out, materialise
+from fillwatch.llm.common import held_out, materialise
 
-#: Bounds of the labelled sample: documents of each kind, windows for the ordinary dictionary, segments of the toxic one.
-MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS, MAX_SEGMENTS = 2000, 4000, 40_000, 256
+#: Bounds of what the model is fitted on: labelled documents of each kind, windows and pieces for the two dictionaries, strings that tell toxic text.
+MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS, MAX_PIECES, MAX_STRINGS = 2000, 4000, 40_000, 60_000, 200_000
 #: Windows stay below the length from which zstandard entropy-codes literals: lengths then differ by matches alone.
-WINDOW, BASE_BYTES = 60, 12_000
-#: A telling word beginning: so many bytes, in so large a share of toxic texts, so much likelier there, with so much evidence.
-SHORTEST, LONGEST, MIN_SHARE, MIN_LIFT, MIN_EVIDENCE = 4, 12, 0.02, 60.0, 25.0
-STRIP = ".,;:!?|*#$%&()\"'-"
+WINDOW, BASE_BYTES, TOXIC_BYTES = 60, 12_000, 768
+#: Toxic text is what stands so many times likelier in toxic documents, in so many of them at least, by strings of STRING bytes.
+STRING, LIFT, LEAST, PIECE = 8, 50.0, 3, 256
 
 
 @dataclass
 class Model:
-    """Two raw-content dictionaries with a common base, and the calibration (bias, weights of max, top three, log n)."""
+    """The two dictionaries, the toxic one in front of the ordinary one, and the calibration (bias, weights of max, top three, log n)."""
 
     ordinary: bytes
     toxic: bytes
@@ -65,41 +66,73 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, y): up to most[y] labelled documents that may be learnt from, chosen by a hash of the id."""
+    """(doc_id, text, y): up to most[y] labelled documents that may be learnt from, chosen by a hash of the id.
+
+    One row an id: of rows repeated with one id the smallest text counts, and the largest label.
+    """
     lab = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).alias("y")).where("y IS NOT NULL")
     chosen = None
     for y, n in most.items():
         part = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialise(texts.join(F.broadcast(chosen), "doc_id"), "sample")  # at most sum(most) ids
+    texts = texts.join(F.broadcast(chosen), "doc_id")  # at most sum(most) ids
+    return materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
+
+
+def strings(text: bytes) -> np.ndarray:
+    """All strings of STRING bytes of a text, lower-cased and with single spaces, as integers; none of shorter texts."""
+    b = np.frombuffer(b" ".join(text.lower().split()), np.uint8)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, STRING)).view(np.int64).ravel() if len(b) >= STRING else np.zeros(0, np.int64)
 
 
-def telling(rows: DataFrame) -> list[str]:
-    """Word beginnings that mark toxic texts, most telling first: document frequencies over the sample, counted by Spark."""
+def telling(rows: DataFrame) -> np.ndarray:
+    """The strings that stand LIFT times likelier in the sample's toxic documents, the commonest first if there are too many; sorted."""
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nt, no = n.get(1, 0), n.get(0, 0)
-    if not nt:
+    if not n.get(1) or not n.get(0):
+        return np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                x = np.unique(strings(t.as_py()))
+                yield pa.record_batch([pa.array(x), pa.array(np.full(len(x), y, np.int32))], names=["x", "y"])
+
+    seen = rows.select(F.col("text").cast("binary").alias("t"), F.col("y").cast("int").alias("y")).mapInArrow(run, "x long, y int")
+    counts = seen.groupBy("x").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).where(F.col("t") >= LEAST)
+    more = counts.where((F.col("t") + 0.5) / n[1] >= LIFT * (F.col("o") + 0.5) / n[0])
+    return np.sort(np.array([r.x for r in more.orderBy(F.desc("t"), "x").select("x").limit(MAX_STRINGS).collect()], np.int64))
+
+
+def toxic_pieces(text: bytes, known: np.ndarray) -> list[bytes]:
+    """The parts of a text that the known strings cover."""
+    b, x = b" ".join(text.lower().split()), strings(text)
+    if not len(x) or not len(known):
         return []
-    words = rows.select("doc_id", "y", F.explode_outer(F.array_distinct(F.transform(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(STRIP))))).alias("w"))
-    starts = words.select("doc_id", "y", F.explode_outer(F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.when(F.length("w") >= k, F.substring(F.col("w"), 1, k)))).alias("s")).where("s IS NOT NULL").distinct()
-    counts = starts.groupBy("s").agg(F.count(F.when(F.col("y") == 1, 1)).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("o")).where(F.col("t") >= max(3, MIN_SHARE * nt))
-    lift = F.lit((no + 1) / (nt + 1)) * (F.col("t") + 0.5) / (F.col("o") + 0.5)
-    good = counts.withColumn("g", F.col("t") * F.log(lift)).where((lift >= MIN_LIFT) & (F.col("g") >= MIN_EVIDENCE)).orderBy(F.desc("g"), "s").limit(8 * MAX_SEGMENTS).collect()
-    t, g = {r.s: r.t for r in good}, {r.s: r.g for r in good}
-    longer = {s[:-1] for s in t if s[:-1] in t and t[s] >= 0.8 * t[s[:-1]]}  # the same words, with more bytes known
-    ends = [s for s in t if s not in longer and not any(s[:k] in t and s[:k] not in longer for k in range(SHORTEST, len(s)))]
-    return sorted(ends, key=lambda s: (-g[s], s))[:MAX_SEGMENTS]
-
-
-def _sampled_windows(rows: DataFrame) -> list[bytes]:
+    hit = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
+    runs = zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + STRING - 1).tolist(), strict=True)
+    return [b[i : min(j, i + PIECE)] for a, j in runs for i in range(a, j, PIECE)]
+
+
+def _chosen(rows: DataFrame, cut: Callable[[bytes], list[bytes]], most: int) -> list[bytes]:
+    """Up to so many parts of the texts, chosen by a hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                yield pa.record_batch([pa.array(windows(t.as_py() or b""), pa.binary())], names=["w"])
+                yield pa.record_batch([pa.array(cut(t.as_py() or b""), pa.binary())], names=["w"])
 
-    ws = rows.where("y = 0").select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "w binary")
-    return [bytes(r.w) for r in ws.orderBy(F.xxhash64("w"), "w").limit(MAX_WINDOWS).collect()]
+    ws = rows.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "w binary")
+    return [bytes(r.w) for r in ws.orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+
+
+def _trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; of too few for that, their last bytes."""
+    try:
+        return zs.train_dictionary(size + 4096 if size > 4096 else size + 512, samples, k=k, d=6).as_bytes()[-size:]
+    except (zs.ZstdError, ValueError):
+        return b" ".join(samples)[-size:]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, ...]:
@@ -125,20 +158,19 @@ def _fit(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Both dictionaries and the calibration, from a bounded sample of labelled rows that are not held out.
 
-    The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic one has the same base, so
-    that ordinary windows compress alike, behind the segments by which toxic texts differ from ordinary ones. Without
-    toxic or without ordinary labels every score is 0.
+    The ordinary dictionary is trained by zstandard on windows of ordinary documents. Toxic documents are ordinary but
+    for a few words, so the toxic one is trained on the parts of them that ordinary documents hardly have (on all their
+    windows where there are none), and stands in front of the ordinary one: windows without toxic text compress alike.
+    Without toxic or without ordinary labels every score is 0.
     """
     rows = sample(docs, labels, "toxic", {1: MAX_TOXIC, 0: MAX_ORDINARY})
-    segments, ws = telling(rows), _sampled_windows(rows)
-    try:
-        base = zs.train_dictionary(BASE_BYTES + 4096, ws, k=32, d=6).as_bytes()[-BASE_BYTES:]
-    except (zs.ZstdError, ValueError):  # too few windows to train on
-        base = b" ".join(ws)[-BASE_BYTES:] or b" "
-    model = Model(base, (" " + " ".join(reversed(segments)) + " ").encode() + base)
+    known = telling(rows)
+    base = _trained(_chosen(rows.where("y = 0"), windows, MAX_WINDOWS), BASE_BYTES, 32) or b" "
+    pieces = _chosen(rows.where("y = 1"), lambda t: toxic_pieces(t, known), MAX_PIECES) or _chosen(rows.where("y = 1"), windows, MAX_WINDOWS)
+    model = Model(base, _trained(pieces, TOXIC_BYTES, 10) + base)
     have = rows.select(F.col("text").cast("binary").alias("t"), "y").mapInArrow(lambda it: _features(it, model), "a double, b double, c double, y int").collect()
     y = np.array([r.y for r in have], float)
-    if not segments or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return Model(model.ordinary, model.toxic, (-30.0, 0.0, 0.0, 0.0))
     n = {r.toxic: r["count"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
     each = np.where(y == 1, n[1] / max(1, y.sum()), n[0] / max(1, (1 - y).sum()))
