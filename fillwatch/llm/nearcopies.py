@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash candidates, each verified exactly."""
+"""Operator 6 by similarity: balls of SimHash fingerprints first, MinHash bands for what lies beyond two bits, every pair verified."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fillwatch.llm.common import components, materialise, sized
+from fillwatch.llm.simhash import BITS
+from fillwatch.llm.simhash import links as ball_links
 from fillwatch.llm.substrings import Hashes, mix
 
 #: Words of a shingle; similarity of a near copy, 4 / 5; bands and rows of the signature: a pair at 0.8 shares none with a chance of 1.2e-7.
@@ -41,21 +43,30 @@ def bands(h: np.ndarray) -> np.ndarray:
     return mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _C[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _C[ROWS])
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """Majority bits over distinct shingles, as a signed number."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return WHOLE * both >= PART * (len(a) + len(b) - both) > 0
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the hash of their set of shingles and the bands, both null for texts without words."""
+    """Rows with the hash of their set of shingles, its fingerprint and bands, all null for texts without words."""
     for batch in batches:
-        keys, sigs = [], []
+        keys, fps, sigs = [], [], []
         for t in batch.column(batch.num_columns - 1):
             h = shingles(t.as_py())
             keys.append(int(mix((mix(h).sum() + np.uint64(len(h)))[None]).view(np.int64)[0]) if len(h) else None)
+            fps.append(fingerprint(h) if len(h) else None)
             sigs.append(bands(h).view(np.int64) if len(h) else None)
-        cols = [*batch.columns[:-1], pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "_key", "_bands"])
+        cols = [*batch.columns[:-1], pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "_key", "_fp", "_bands"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,23 +85,32 @@ def verify(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
 
 
 def links(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Links (a, b) between keys that give the components of all near copies that share a band.
+    """Links (a, b) between keys that give the components of all near copies that share a ball or a band.
 
-    Members of a bucket are compared with its least key first. Then all pairs of it are compared that this left in
-    different components: a large group of near copies costs one comparison a member and bucket.
+    Fingerprints in a common ball are compared first. Of each band's bucket, members that this left apart are compared
+    with the least key, then all pairs that are in different components still: a large group of near copies costs one
+    comparison a member and bucket.
     """
-    members = materialise(rows.where("_key IS NOT NULL").groupBy("_key").agg(F.first("_bands").alias("x")).select(F.explode("x").alias("band"), F.col("_key").alias("k")), "members")
-    buckets = members.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("band", "a")
-    found = materialise(members.hint("merge").join(buckets, "band").select("band", "a", F.col("k").alias("b")), "buckets")
-    stars = materialise(found.where("a <> b").select("a", "b").distinct(), "stars")
-    good = verify(stars, rows, text_col)
+    distinct = materialise(rows.where("_key IS NOT NULL").groupBy(F.col("_key").alias("k")).agg(F.first("_fp").alias("fp"), F.first("_bands").alias("x")), "distinct")
+    rep = materialise(distinct.groupBy("fp").agg(F.min("k").alias("a")), "reps")
+    pairs = ball_links(rep.select("fp")).hint("merge").join(rep.select(F.col("fp").alias("a"), F.col("a").alias("ka")), "a").hint("merge").join(rep.select(F.col("fp").alias("b"), F.col("a").alias("kb")), "b")
+    same = distinct.select("fp", F.col("k").alias("b")).hint("merge").join(rep, "fp").where("a <> b").select("a", "b")
+    balls = materialise(same.union(pairs.select(F.least("ka", "kb"), F.greatest("ka", "kb"))).distinct(), "balls")
+    good = verify(balls, rows, text_col)
+    near = materialise(components(good), "near")
+    members = distinct.select("k", F.explode("x").alias("band")).hint("merge").join(near, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    members = materialise(members, "members")
+    buckets = members.groupBy("band").agg(F.min(F.struct("k", "c")).alias("least"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", F.col("least.k").alias("a"), F.col("least.c").alias("d"))
+    found = materialise(members.hint("merge").join(buckets, "band").select("band", "a", "d", "k", "c"), "buckets")
+    stars = materialise(found.where("c <> d").select("a", F.col("k").alias("b")).distinct().hint("merge").join(balls, ["a", "b"], "left_anti"), "stars")
+    good = materialise(good.union(verify(stars, rows, text_col)), "good")
     labels = materialise(components(good), "labels")
-    placed = found.hint("merge").join(labels, found.b == labels.node, "left").select("band", F.col("b").alias("k"), F.coalesce("component", "b").alias("c"))
+    placed = found.select("band", "k").hint("merge").join(labels, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("component", "k").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
     placed = materialise(placed.hint("merge").join(mixed, "band", "left_semi"), "placed")
     other = placed.select("band", F.col("k").alias("b"), F.col("c").alias("d"))
     rest = placed.hint("merge").join(other, "band").where("k < b AND c <> d").select(F.col("k").alias("a"), "b").distinct()
-    rest = materialise(rest.hint("merge").join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(rest.hint("merge").join(stars.union(balls), ["a", "b"], "left_anti"), "rest")
     return good.union(verify(rest, rows, text_col)) if rest.limit(1).count() else good
 
 
@@ -101,7 +121,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a text of fewer words is one shingle). Texts without words stay. Rows without an id go if a linked row has one, else
     stay; an empty table gives an empty result.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
     rows = materialise(docs.withColumn("_t", F.col(text_col).cast("binary")).mapInArrow(_signed, schema), "signed")
     near = materialise(components(links(rows, text_col)), "near")
     each = materialise(rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")), "each")

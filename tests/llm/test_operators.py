@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -71,6 +72,28 @@ def test_masks_miss_no_window():
         assert any(not any(p + o in bad for o in m) for m in decontam.MASKS for p in range(decontam.WINDOW - m[-1])), bad
 
 
+def plain_leaks(texts, items):
+    """{(doc, item): [windows, best, first word]}"""
+    want, words = {}, lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    items = {j: words(t) for j, t in items.items()}
+    items = {j: it for j, it in items.items() if len(it) >= decontam.SHORTEST}
+    for i, t in texts.items():
+        w = words(t)
+        where = {}
+        for p, x in enumerate(w):
+            where.setdefault(x, []).append(p)
+        for j, it in items.items():
+            span = min(len(it), decontam.WINDOW)
+            need = decontam.NEEDED if len(it) >= decontam.WINDOW else len(it)
+            for shift in {p - k for k, x in enumerate(it) for p in where.get(x, ())}:
+                same = [0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(it)]
+                for s in range(len(it) - span + 1):
+                    if (n := sum(same[s : s + span])) >= need:
+                        a = want.setdefault((i, j), [0, 0, 10**9])
+                        want[i, j] = [a[0] + 1, max(a[1], n), min(a[2], max(0, shift + s))]
+    return want
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(1)
     items = [prose(rng, n) for n in (15, 30, 57, 7, 4)]
@@ -83,20 +106,7 @@ def test_leaks_equal_brute_force(spark):
         k = rng.randrange(50)
         w[k : k + len(it)] = it
         texts.append(" ".join(x.upper() + "," if rng.random() < 0.2 else x for x in w))
-    want = {}
-    for i, t in enumerate(texts):
-        w = t.lower().replace(",", "").split()
-        for j, it in enumerate(x.split() for x in items):
-            if len(it) < decontam.SHORTEST:
-                continue
-            span = min(len(it), decontam.WINDOW)
-            need = decontam.NEEDED if len(it) >= decontam.WINDOW else len(it)
-            for shift in range(-len(it), len(w)):
-                for s in range(len(it) - span + 1):
-                    n = sum(0 <= shift + k < len(w) and w[shift + k] == it[k] for k in range(s, s + span))
-                    if n >= need:
-                        a = want.setdefault((i, j), [0, 0, 10**9])
-                        want[i, j] = [a[0] + 1, max(a[1], n), min(a[2], max(0, shift + s))]
+    want = plain_leaks(dict(enumerate(texts)), dict(enumerate(items)))
     got = {(r.doc_id, r.item_id): [r.n_windows, r.best, r.first_word] for r in decontam.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     assert want and got == want
 
@@ -116,13 +126,15 @@ def test_ngrams_equal_a_plain_count():
 
 
 @have_data
-@pytest.mark.parametrize(("name", "column", "least"), [("op2_quality", "quality", 0.9), ("op7_toxicity", "toxic", 0.85)])
-def test_held_out_accuracy(spark, name, column, least):
+@pytest.mark.parametrize(("name", "column", "tpr", "tnr"), [("op2_quality", "quality", 0.9, 0.6), ("op7_toxicity", "toxic", 0.5, 0.9)])
+def test_held_out_accuracy(spark, name, column, tpr, tnr):
+    """Shares of each label that are told right; predicting one of them always fails."""
     d = "/root/testdata/sf0.01"
     out = QUERIES[name](spark, d)
     assert [r.held_out for r in out.orderBy("doc_id").limit(50).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)]
     got = out.where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("score", "predicted", column).collect()
-    assert all(0 <= r.score <= 1 for r in got) and np.mean([r.predicted == r[column] for r in got]) >= least
+    right = lambda y: np.mean([r.predicted == y for r in got if r[column] == y])
+    assert all(0 <= r.score <= 1 for r in got) and right(1) >= tpr and right(0) >= tnr
 
 
 # 3: embeddings
@@ -389,32 +401,64 @@ def test_budgets_go_to_siblings_first(spark):
     assert got["src0"] == 10 and got["src0"] + got["src4"] == round(total * 4 / 7) and abs(sum(got.values()) - total) <= 1
 
 
+def plain_lines(rows, least):
+    """Texts by id without the lines of many sites, for rows (id, text, site) with ids."""
+    sites, first = {}, {}
+    for i, t, s in rows:
+        for line in (t or "").split("\n"):
+            if key := line.strip(" "):
+                sites.setdefault(key, set()).add(s)
+                first[key] = min(i, first.get(key, i))
+    gone = {k for k, v in sites.items() if len(v - {None}) >= least}
+    return {i: "\n".join(x for x in (t or "").split("\n") if not (x.strip(" ") in gone and i > first[x.strip(" ")])) for i, t, _ in rows}
+
+
 @have_data
-def test_pipeline_stages(spark):
-    """Each stage from the second on against what its operator's brute-force or SQL twin says of the stage's own input."""
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pipeline_stages_equal_brute_force(spark, sf, tmp_path):
+    """All rows of each stage against plain Python (mixing: SQL) on the stage's own input."""
     import corpus_pipeline as P
 
-    d = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
-    stages = dict(P.STAGES)
-    kept = common.materialise(stages["toxicity"](spark, d, SF), "t")
-    assert kept.columns == P.COLUMNS and 0.8 * d.count() < kept.count() <= d.count()
-    lines = common.materialise(stages["line_dedup"](spark, kept, SF), "l")
-    assert lines.columns == P.COLUMNS and lines.count() == kept.count()
-    near = common.materialise(stages["near_duplicates"](spark, lines, SF), "n")
-    rows = {r.doc_id: r.text for r in lines.collect()}
-    fps = {i: plain_fingerprint(t) for i, t in rows.items()}
-    comp = {i: {i} for i in fps}
-    for i, j in itertools.combinations(sorted(fps), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 2:
-            s = comp[i] | comp[j]
-            for x in s:
-                comp[x] = s
-    assert {r.doc_id for r in near.collect()} == {min(s) for s in comp.values()}
-    clean = common.materialise(stages["decontamination"](spark, near, SF), "c")
-    bad = {r.doc_id for r in decontam.leaks(near, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert {r.doc_id for r in clean.collect()} == {min(s) for s in comp.values()} - bad
-    mixed = stages["mixing"](spark, clean, SF)
-    assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()} and mixed.count() > 0
+    sf_dir = f"/root/testdata/{sf}"
+    docs_in, stages = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS), dict(P.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "mixing"]
+    step = lambda name, d: common.materialise(stages[name](spark, d, sf_dir), name)
+    texts = lambda d: {r.doc_id: r.text for r in d.collect()}
+    kept = step("toxicity", docs_in)
+    scorer = toxicity.Scorer(toxicity.fit(docs_in, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    assert kept.columns == P.COLUMNS and texts(kept) == {i: t for i, t in texts(docs_in).items() if scorer.score((t or "").encode()) < 0.5}
+    lines = step("line_dedup", kept)
+    assert lines.columns == P.COLUMNS and texts(lines) == plain_lines([(r.doc_id, r.text, r.source) for r in kept.collect()], linededup.MIN_SITES)
+    assert all(r.n_chars == len(r.text) for r in lines.collect())
+    near = step("near_duplicates", lines)
+    assert near.columns == P.COLUMNS and set(texts(near)) == plain_near_copies(texts(lines))
+    clean = step("decontamination", near)
+    bad = {i for i, _ in plain_leaks(texts(near), {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()})}
+    assert clean.columns == P.COLUMNS and set(texts(clean)) == set(texts(near)) - bad
+    clean.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(stages["mixing"](spark, clean, sf_dir), mixing.ORACLE, duck(str(tmp_path)))
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated ids, empty and long texts, clashing columns; and all tables empty."""
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    item, copy = prose(rng, 40), prose(rng, 60)
+    rows = [(None, None, None, None, None), (None, item, "en", "src1", 1), (1, None, "en", "src1", 0), (2, "", "en", None, 0), (3, copy, "en", "src2", 5), (4, copy + " more", None, "src3", 5), (5, item + " tail", "en", "src1", 1), (5, "other " + prose(rng, 30), "en", "src1", 1), (6, "word " * 20_000, "en", "src1", 1), (7, prose(rng, 30), "de", "src2", 1), (7, prose(rng, 30), "de", "src2", 1), (8, prose(rng, 90) + " " + prose(random.Random(9), 20), "de", "src2", 1)]
+    bench = [(1, item), (None, prose(random.Random(9), 20)), (3, None), (4, "")]
+    for name, df in {
+        "documents": spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("row", "_key", "_t", "toxicity", "words", "fp")}), "benchmark": spark.createDataFrame(bench, "item_id long, text string"),
+        "labels": spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, None), (7, 0, 0)], "doc_id long, quality int, toxic int"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        df.where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    d = spark.read.parquet(f"{tmp_path}/odd/documents.parquet").select(*P.COLUMNS)
+    for name, f in P.STAGES[:-1]:
+        d = common.materialise(f(spark, d, f"{tmp_path}/odd"), name)
+    assert sorted((r.doc_id or 0) for r in d.collect()) == [0, 1, 2, 3, 5, 6, 7, 7] and not any(item in r.text for r in d.collect())
+    assert {r.doc_id for r in P.run(spark, f"{tmp_path}/odd").collect()} <= {None, 1, 2, 3, 5, 6, 7}
 
 
 def plain_near_copies(texts):
@@ -449,12 +493,3 @@ def test_near_copies_equal_brute_force(spark):
     assert [x for x in got if x[0]] == [(True, 0, "no id")]
     assert sorted(x[1] for x in got if not x[0]) == sorted([*want, *({ids[1]} & want)])
     assert nearcopies.drop_near_copies(rows.where("false")).count() == 0
-
-
-@have_data
-def test_pipeline_drops_near_copies_beyond_two_bits(spark):
-    import corpus_pipeline as P
-
-    d = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
-    out = dict(P.STAGES)["near_copies"](spark, d, SF)
-    assert out.columns == P.COLUMNS and {r.doc_id for r in out.collect()} == plain_near_copies({r.doc_id: r.text for r in d.collect()})
