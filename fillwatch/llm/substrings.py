@@ -20,7 +20,7 @@ SPREAD = MATCH - ANCHOR + 1
 BATCH_BYTES, INDEX_ROWS = 1 << 20, 4_000_000
 NO_ID = (1 << 63) - 1
 #: Different strings around one anchor that one task compares; anchors with more are compared window by window over all tasks.
-HOT = 20_000
+HOT = 2_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_M), -1, 1 << 64))
