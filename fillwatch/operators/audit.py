@@ -17,18 +17,19 @@ def registry_audit(bundles: DataFrame, artifacts: DataFrame, allowed: list[str]
     """(bundle, failure): one row for each reason why a bundle must not be loaded; none for a sound one.
 
     bundles (bundle, manifest JSON text, feature_list); artifacts (bundle, sha256). A manifest that is absent or can't
-    be read fails and so do all checks that depend on it by name; nothing passes for want of data.
+    be read fails and so do all checks that depend on it by name; nothing passes for want of data. A required field
+    that is null counts as missing.
     """
     x = bundles.join(artifacts.select("bundle", F.col("sha256").alias("actual")), "bundle", "left")
-    keys = F.coalesce(F.json_object_keys("manifest"), F.array().cast("array<string>"))
-    x = x.withColumn("m", F.from_json("manifest", _MANIFEST)).withColumn("missing", F.array_except(F.array(*map(F.lit, REQUIRED)), keys))
+    x = x.withColumn("m", F.from_json("manifest", _MANIFEST))
+    x = x.withColumn("missing", F.array_compact(F.array(*[F.when(F.col("m")[f].isNull(), F.lit(f)) for f in REQUIRED])))
     no = lambda c: F.coalesce(c, F.lit(True))
     deps = F.col("m.dependencies")
     failures = F.array(
         F.when(F.col("manifest").isNull(), "manifest missing"), F.when(F.col("manifest").isNotNull() & (F.size("missing") > 0), F.concat(F.lit("fields missing: "), F.array_join(F.array_sort("missing"), ","))),
         F.when(no(~F.col("m.estimator_class").isin(allowed)), "estimator not allowed"), F.when(no(F.col("feature_list") != F.col("m.feature_columns")), "feature list differs"),
         F.when(no(F.size(deps) <= 0), "dependencies empty"), F.when(F.exists(F.map_values(deps), lambda v: ~F.coalesce(v.rlike(VERSION), F.lit(False))), "dependency version malformed"),
-        F.when(F.col("actual").isNull(), "artifact missing"), F.when(F.col("actual") != F.col("m.sha256_checksum"), "checksum differs"),
+        F.when(F.col("actual").isNull(), "artifact missing"), F.when(F.col("actual").isNotNull() & no(F.col("actual") != F.col("m.sha256_checksum")), "checksum differs"),
     )
     return x.select("bundle", F.explode(F.filter(failures, lambda f: f.isNotNull())).alias("failure"))
 

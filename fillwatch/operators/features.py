@@ -35,17 +35,29 @@ def dedup_last(df: DataFrame) -> DataFrame:
     return df.withColumn("_next", F.lead(us()).over(w)).where(F.col("_next").isNull() | (F.col("_next") != us())).drop("_next")
 
 
-def nearest(low_s: int, target_s: int, high_s: int) -> Column:
-    """The earlier reading (us, fill) of the bin's segment whose age is nearest to target_s, within the band; ties: the later.
+#: Ages in seconds: nearest allowed, aimed at, farthest allowed.
+BANDS = {1: (900, 3600, 7200), 2: (5400, 21600, 32400)}
 
-    Two range frames meet at the target: the latest reading at least that old, and the earliest not older.
+
+def nearest(x: DataFrame) -> DataFrame:
+    """Adds _one and _six: the earlier reading (us, fill) of the bin's segment whose age is nearest to 1 and 6 hours, within the band; ties: the later.
+
+    Each reading puts a probe at each age aimed at; running frames over readings and probes together know the last
+    reading up to a probe and the first from it on. A row costs the same however dense the log is.
     """
-    w = Window.partitionBy("bin_id", "_seg").orderBy("_us")
-    point = F.struct(F.col("_us").alias("us"), F.col("fill_pct").alias("fill"))
-    older = F.max(point).over(w.rangeBetween(-high_s * SECOND, -target_s * SECOND))
-    newer = F.min(point).over(w.rangeBetween(-target_s * SECOND, -low_s * SECOND))
-    far, near = F.col("_us") - older["us"] - target_s * SECOND, target_s * SECOND - (F.col("_us") - newer["us"])
-    return F.when(older.isNull() | (near <= far), F.coalesce(newer, older)).otherwise(older)
+    probes = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("_us") - s * SECOND).alias("t")) for k, s in ((0, 0), *((k, b[1]) for k, b in BANDS.items()))])
+    own = [c for c in x.columns if c not in ("bin_id", "_seg", "_us", "fill_pct")]
+    x = x.withColumn("_p", F.explode(probes)).select("bin_id", "_seg", "_us", "fill_pct", F.col("_p.k").alias("_k"), F.col("_p.t").alias("_t"), *[F.when(F.col("_p.k") == 0, F.col(c)).alias(c) for c in own])
+    seg = Window.partitionBy("bin_id", "_seg")
+    point = F.when(F.col("_k") == 0, F.struct(F.col("_us").alias("us"), F.col("fill_pct").alias("fill")))
+    run = lambda *order: seg.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_older", F.last(point, ignorenulls=True).over(run("_t", "_k"))).withColumn("_newer", F.last(point, ignorenulls=True).over(run(F.desc("_t"), "_k")))
+    low, high = (F.when(F.col("_k") == 1, F.lit(BANDS[1][i] * SECOND)).otherwise(F.lit(BANDS[2][i] * SECOND)) for i in (0, 2))
+    older, newer = F.when(F.col("_older.us") >= F.col("_us") - high, F.col("_older")), F.when(F.col("_newer.us") <= F.col("_us") - low, F.col("_newer"))
+    far, near = F.col("_t") - older["us"], newer["us"] - F.col("_t")
+    x = x.withColumn("_pick", F.when(older.isNull() | (near <= far), F.coalesce(newer, older)).otherwise(older))
+    back = seg.orderBy("_us", F.desc("_k"))
+    return x.withColumn("_one", F.lag("_pick", 1).over(back)).withColumn("_six", F.lag("_pick", 2).over(back)).where("_k = 0").drop("_k", "_t", "_older", "_newer", "_pick")
 
 
 def add_rate_features(df: DataFrame, barrier: float = BARRIER, deduped: bool = False) -> DataFrame:
@@ -56,15 +68,15 @@ def add_rate_features(df: DataFrame, barrier: float = BARRIER, deduped: bool = F
     """
     df = df if deduped else dedup_last(df)
     w = Window.partitionBy("bin_id").orderBy("_us")
-    x = df.withColumn("_us", us()).withColumn("_step", F.col("fill_pct") - F.lag("fill_pct").over(w)).withColumn("_dt", F.col("_us") - F.lag("_us").over(w)).withColumn("_before", F.lag("fill_pct").over(w))
+    x = df.withColumn("_us", us()).withColumn("_step", F.col("fill_pct") - F.lag("fill_pct").over(w)).withColumn("_dt", F.col("_us") - F.lag("_us").over(w))
     x = x.withColumn("_seg", F.sum(F.when(F.col("_step") < -barrier, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_one", nearest(900, 3600, 7200)).withColumn("_six", nearest(5400, 21600, 32400))
+    x = nearest(x)
     rate = lambda p: F.when((F.col("_us") - p["us"]) / HOUR > 0.01, (F.col("fill_pct") - p["fill"]) / ((F.col("_us") - p["us"]) / HOUR)).otherwise(0.0)
     usable = F.col("_dt").between(60 * SECOND, 86400 * SECOND) & (F.col("_step") >= -barrier)
     one = F.when(F.col("_one").isNotNull(), rate(F.col("_one"))).when(usable, F.col("_step") / (F.col("_dt") / HOUR)).otherwise(0.0)
     x = x.withColumn("_r1", one).withColumn("_r6", F.when(F.col("_six").isNotNull(), rate(F.col("_six"))).otherwise(F.col("_r1")))
     x = x.withColumn("fill_rate_1h", clip(F.col("_r1"), -RATE_LIMIT, RATE_LIMIT)).withColumn("fill_rate_6h", clip(F.col("_r6"), -RATE_LIMIT, RATE_LIMIT))
-    return x.drop("_us", "_step", "_dt", "_before", "_seg", "_one", "_six", "_r1", "_r6")
+    return x.select(*df.columns, "fill_rate_1h", "fill_rate_6h")
 
 
 def add_reset_features(df: DataFrame, drop_pct: float = RESET) -> DataFrame:

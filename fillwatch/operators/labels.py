@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillwatch.operators.features import HOUR, us
+from fillwatch.operators.features import FEATURES, HOUR, us
 
 THRESHOLD = 90.0
 
@@ -55,12 +55,13 @@ def purge_label_leakage(df: DataFrame, val_from: str, test_from: str) -> DataFra
 def naive_forecast(df: DataFrame, fallback_hours: Column | float | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """naive_hours: what remains to the threshold at the present 1 h rate, within 0..200.
 
-    Without a rate the fallback counts: by default the largest remainder of the whole input, taken by a first aggregate.
+    Without a rate the fallback counts: by default the largest remainder of the whole input, a scalar subquery.
     """
     x = df.withColumn("_left", F.when(F.col("fill_pct").isNotNull(), F.greatest(F.lit(threshold) - F.col("fill_pct"), F.lit(0.0))))
     if fallback_hours is None:
-        fallback_hours = x.agg(F.max("_left")).first()[0]
-    hours = F.coalesce(F.try_divide(F.col("_left"), F.abs("fill_rate_1h")), F.lit(fallback_hours).cast("double"))
+        fallback_hours = x.agg(F.max("_left")).scalar()
+    fallback = fallback_hours if isinstance(fallback_hours, Column) else F.lit(fallback_hours)
+    hours = F.coalesce(F.try_divide(F.col("_left"), F.abs("fill_rate_1h")), fallback.cast("double"))
     return x.withColumn("naive_hours", F.when(hours.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(200.0), hours)))).drop("_left")
 
 
@@ -82,10 +83,13 @@ def select_model(metrics: DataFrame, order: list[str]) -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """(check, violations) of a labelled table, all counted in one aggregate."""
-    checks = {
-        "rows": F.count(F.lit(1)), "fill_out_of_range": F.count_if(~F.col("fill_pct").between(-50, 150)), "fill_null": F.count_if(F.col("fill_pct").isNull()), "rate_1h_null": F.count_if(F.col("fill_rate_1h").isNull()),
-        "rate_6h_null": F.count_if(F.col("fill_rate_6h").isNull()), "negative_label": F.count_if(F.col("time_to_overflow_hours") < 0), "unknown_risk": F.count_if(~F.col("risk_level").isin("Critical", "High", "Medium", "Low")),
+    """(check_name, n) of a labelled table, all counted in one aggregate; a column that is absent counts among missing_columns alone."""
+    needed = ["bin_id", "ts", *FEATURES, "time_to_overflow_hours", "risk_level"]
+    have = [c for c in needed if c in df.columns]
+    bad = {
+        "fill_out_of_range": ("fill_pct", lambda c: ~c.between(-50, 150)), "negative_label": ("time_to_overflow_hours", lambda c: c < 0),
+        "unknown_risk": ("risk_level", lambda c: ~F.coalesce(c.isin("Critical", "High", "Medium", "Low"), F.lit(False))), **{f"{f}_null": (f, lambda c: c.isNull()) for f in FEATURES},
     }
+    checks = {"rows": F.count(F.lit(1)), "missing_columns": F.max(F.lit(len(needed) - len(have))).cast("long")} | {k: F.count_if(f(F.col(c))) for k, (c, f) in bad.items() if c in have}
     one = df.agg(*[c.alias(k) for k, c in checks.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("n")) for k in checks])).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in checks])).alias("x")).select("x.*")

@@ -74,12 +74,9 @@ def snapshot(log: DataFrame, decision_at: str, bins: DataFrame | list[str] | Non
     usable = {"fill_pct", "ts"} <= columns
     per_bin = seen.groupBy(F.col("bin_id").alias("b")).agg(
         F.count(F.lit(1)).alias("n_raw"), F.min(F.coalesce(F.col("confidence_flag") == 0, F.lit(False)) if "confidence_flag" in columns else F.lit(False)).alias("all_low"),
-        F.min_by("waste_type", F.struct("ts", "seq")).alias("waste_type") if "waste_type" in columns else F.lit(None).cast("string").alias("waste_type"),
+        F.min_by("waste_type", F.when(F.col("waste_type").isNotNull(), F.struct("ts", "seq"))).alias("waste_type") if "waste_type" in columns else F.lit(None).cast("string").alias("waste_type"),
         F.max_by(F.struct("ts", F.col("fill_pct").alias("fill") if usable else F.lit(None).cast("double").alias("fill")), F.struct("ts", "seq")).alias("last"),
     )
-    if "waste_type" in columns:
-        first = seen.where("waste_type IS NOT NULL").groupBy(F.col("bin_id").alias("b")).agg(F.min_by("waste_type", F.struct("ts", "seq")).alias("waste_type"))
-        per_bin = per_bin.drop("waste_type").join(first, "b", "left")
     out = wanted.join(per_bin, F.col("bin_id") == F.col("b"), "left").drop("b")
     if usable and not gated:
         latest = (scorer or naive())(latest_per_bin(build_feature_table(seen)))
@@ -117,16 +114,24 @@ def snapshot_or_none(log: DataFrame, decision_at: str, **options) -> DataFrame:
     return out.unionByName(none.select(*cols))
 
 
-def snapshot_grid(log: DataFrame, decisions: list[str], max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0) -> DataFrame:
-    """Forecasts at several decision times in one plan: the log once per decision, each key with its decision.
+def snapshot_grid(log: DataFrame, decisions: list[str], bins: DataFrame | list[str] | None = None, max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0, available_after: str | None = None) -> DataFrame:
+    """Forecasts of every configured bin at several decision times in one plan: the log once per decision, each key with its decision.
 
     With late receipts a reading known at one decision may be unknown at an earlier one, so features are computed for
-    each decision; the number of decisions bounds the work.
+    each decision; the number of decisions bounds the work. Statuses are snapshot()'s: model_unavailable before
+    available_after, unavailable without readings, else stale, low_confidence, cold_start or available.
     """
-    rows = log.withColumn("decision_at", F.explode(F.array(*map(instant, decisions)))).where((F.col("ts") <= F.col("decision_at")) & (F.col("received_at") <= F.col("decision_at")))
-    rows = rows.withColumn("real_bin", F.col("bin_id")).withColumn("bin_id", F.concat_ws("@", "bin_id", F.unix_micros("decision_at")))
-    n = rows.groupBy(F.col("bin_id").alias("b")).agg(F.count(F.lit(1)).alias("n_raw"), F.min(F.coalesce(F.col("confidence_flag") == 0, F.lit(False))).alias("all_low"))
-    latest = naive_forecast(latest_per_bin(build_feature_table(rows)), fallback_hours).join(n, F.col("bin_id") == F.col("b"))
+    rows = log.withColumn("decision_at", F.explode(F.array(*map(instant, decisions)))).where(F.col("ts") <= F.col("decision_at"))
+    rows = rows.where(F.col("received_at") <= F.col("decision_at")) if "received_at" in log.columns else rows
+    rows = rows.withColumn("bin_id", F.concat_ws("@", "bin_id", F.unix_micros("decision_at")))
+    low = F.coalesce(F.col("confidence_flag") == 0, F.lit(False)) if "confidence_flag" in log.columns else F.lit(False)
+    n = rows.groupBy(F.col("bin_id").alias("b")).agg(F.count(F.lit(1)).alias("n_raw"), F.min(low).alias("all_low"))
+    latest = naive_forecast(latest_per_bin(build_feature_table(rows)), fallback_hours).select("bin_id", "ts", "fill_pct", "naive_hours")
+    known = n.join(latest, F.col("bin_id") == F.col("b")).drop("bin_id")
+    wanted = resolve_bins(bins, log).withColumn("decision_at", F.explode(F.array(*map(instant, decisions)))).withColumn("key", F.concat_ws("@", "bin_id", F.unix_micros("decision_at")))
+    out = wanted.hint("merge").join(known, F.col("key") == F.col("b"), "left")
     old = (F.unix_micros("decision_at") - us()) / HOUR > max_staleness_hours
-    status = F.when(old, "stale").when(F.col("all_low"), "low_confidence").when(F.col("n_raw") <= 1, "cold_start").otherwise("available")
-    return latest.select(F.unix_micros("decision_at").alias("decision_us"), F.col("real_bin").alias("bin_id"), status.alias("status"), F.round("fill_pct", 1).alias("fill_pct"), F.round("naive_hours", 2).alias("hours"))
+    early = F.lit(False) if available_after is None else F.col("decision_at") < instant(available_after)
+    status = F.when(early, "model_unavailable").when(F.col("n_raw").isNull(), "unavailable").when(old, "stale").when(F.col("all_low"), "low_confidence").when(F.col("n_raw") <= 1, "cold_start").otherwise("available")
+    kept = lambda c: F.when(~early, c)
+    return out.select(F.unix_micros("decision_at").alias("decision_us"), "bin_id", status.alias("status"), kept(F.round("fill_pct", 1)).alias("fill_pct"), kept(F.round("naive_hours", 2)).alias("hours"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from fillwatch.operators import audit, kpi, models
 from fillwatch.operators import records as R
 from fillwatch.operators.labels import chronological_split
 from fillwatch.plans.telemetry import labeled
+from fillwatch.session import shared_dir
+from fillwatch.sources import readers as I
 from fillwatch.sources.adapters import ACTIONS_SQL, ITEMS_SQL, METHODS_SQL, REASONS, REPORTS_SQL, SESSIONS_SQL, STATUSES, TEST_FROM, VAL_FROM, item_events, messages, payout_methods, report_actions, reports, sessions
 
 #: Keyword rules over the supplied part names and messages; the first that matches wins.
@@ -114,7 +118,43 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).select("p_partkey", kpi.id_ok(kind, text).alias("ok"))
 
 
+def _files(rows: DataFrame, brand: str, text: str) -> str:
+    """One text file a brand, with one line; returns where."""
+    at = f"{shared_dir(rows.sparkSession)}/files-{uuid.uuid4().hex}"
+    rows.select(F.col(brand).alias("brand"), F.col(text).alias("value")).repartition("brand").write.partitionBy("brand").text(at)
+    return f"{at}/*/*.txt"
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("p_type")).alias("types"))
+    return p.withColumn("manifest", F.to_json(F.struct(F.col("p_brand").alias("model_version"), F.col("n").alias("rows")))).withColumn("features", F.to_json("types"))
+
+
+def _manifests(spark: SparkSession, d: str) -> DataFrame:
+    m = I.read_manifests(spark, _files(_brands(spark, d), "p_brand", "manifest"))
+    return m.select(F.from_json("manifest", "model_version string, rows long").alias("m")).select("m.*")
+
+
+def _feature_lists(spark: SparkSession, d: str) -> DataFrame:
+    b = I.read_feature_lists(spark, _files(_brands(spark, d), "p_brand", "features"))
+    return b.select(F.size("features").cast("long").alias("n"), F.array_join("features", ",").alias("features")).groupBy("n", "features").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _artifacts(spark: SparkSession, d: str) -> DataFrame:
+    return I.scan_artifacts(spark, _files(_brands(spark, d), "p_brand", "manifest")).select("length", "sha256")
+
+
+def _read_documents(spark: SparkSession, d: str) -> DataFrame:
+    _documents(spark, d).select("doc").write.text(at := f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}")
+    x = I.read_documents(spark, at).select(F.from_json("doc", "version int, auth struct<userId:string>").alias("d"))
+    return x.select("d.version", F.col("d.auth.userId").alias("user_id"))
+
+
 QUERIES = {
+    "read_manifests": _manifests,
+    "read_feature_lists": _feature_lists,
+    "scan_artifacts": _artifacts,
+    "read_documents": _read_documents,
     "price_items": lambda s, d: R.price_items(item_events(s, d)).groupBy("session_id", "result").agg(F.sum("value_cents").alias("cents"), F.count("reason").alias("with_reason")),
     "session_totals": lambda s, d: R.session_totals(sessions(s, d), item_events(s, d)),
     "session_counts": lambda s, d: R.session_counts(sessions(s, d), item_events(s, d)),
@@ -158,6 +198,10 @@ QUERIES = {
 
 ORDER = "created_us, line, item_id, type, result"
 ORACLES = {
+    "read_manifests": "SELECT p_brand AS model_version, count(*) AS rows FROM part GROUP BY p_brand",
+    "read_feature_lists": "SELECT n, features, count(*) AS files FROM (SELECT count(DISTINCT p_type) AS n, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS features FROM part GROUP BY p_brand) GROUP BY ALL",
+    "scan_artifacts": """SELECT length(t) AS length, sha256(t) AS sha256 FROM (SELECT '{"model_version":"' || p_brand || '","rows":' || count(*) || '}' || chr(10) AS t FROM part GROUP BY p_brand)""",
+    "read_documents": "SELECT CAST(1 + c_custkey % 4 AS INTEGER) AS version, c_name AS user_id FROM customer",
     "price_items": f"WITH {ITEMS_SQL} SELECT session_id, result, CAST(CASE WHEN result = 'accepted' THEN 20 * count(*) ELSE 0 END AS BIGINT) AS cents, count(reason) AS with_reason FROM item_events GROUP BY session_id, result",
     "session_totals": f"WITH {TOTALS} SELECT session_id, total_cents, {MONEY} AS total_text FROM tt",
     "session_counts": f"WITH {SESSIONS_SQL}, {ITEMS_SQL}, x AS (SELECT s.session_id, count(*) FILTER (WHERE result = 'accepted') AS accepted, count(*) FILTER (WHERE result = 'rejected') AS rejected, count(*) FILTER (WHERE result = 'accepted' AND type = 'Can') AS cans, count(*) FILTER (WHERE result = 'accepted' AND type = 'Bottle') AS bottles, count(i.session_id) AS n_events FROM sessions s LEFT JOIN item_events i USING (session_id) GROUP BY s.session_id) SELECT *, least(100, accepted * 10) AS progress_pct FROM x",
@@ -186,7 +230,7 @@ ORACLES = {
     "faq_search": f"WITH {REPORTS_SQL} SELECT report_id FROM reports WHERE category = 'Missed collection' AND contains(lower(location || ' ' || description), 'license')",
     "faq_categories": f"WITH {REPORTS_SQL} SELECT category, min(report_id) AS first_at FROM reports GROUP BY category UNION ALL SELECT 'All', -1",
     "locations_sorted": "SELECT s_suppkey AS location_id, s_name AS name, abs(s_acctbal) AS distance FROM supplier ORDER BY distance, name",
-    "registry_audit": "WITH b AS (SELECT CAST(p_partkey AS VARCHAR) AS bundle, p_partkey % 8 AS k FROM part) SELECT bundle, unnest(CASE k WHEN 1 THEN ['checksum differs'] WHEN 2 THEN ['estimator not allowed'] WHEN 3 THEN ['fields missing: model_version'] WHEN 4 THEN ['dependencies empty'] WHEN 5 THEN ['dependency version malformed'] WHEN 6 THEN ['manifest missing', 'estimator not allowed', 'feature list differs', 'dependencies empty'] WHEN 7 THEN ['feature list differs'] ELSE [] END) AS failure FROM b",
+    "registry_audit": "WITH b AS (SELECT CAST(p_partkey AS VARCHAR) AS bundle, p_partkey % 8 AS k FROM part) SELECT bundle, unnest(CASE k WHEN 1 THEN ['checksum differs'] WHEN 2 THEN ['estimator not allowed'] WHEN 3 THEN ['fields missing: model_version'] WHEN 4 THEN ['dependencies empty'] WHEN 5 THEN ['dependency version malformed'] WHEN 6 THEN ['manifest missing', 'estimator not allowed', 'feature list differs', 'dependencies empty', 'checksum differs'] WHEN 7 THEN ['feature list differs'] ELSE [] END) AS failure FROM b",
     "migrate_documents": "SELECT c_custkey AS key, CAST(CASE WHEN c_custkey % 4 = 3 THEN 4 ELSE 3 END AS INTEGER) AS version, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 + c_custkey % 4 END AS INTEGER) AS from_version, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS user_id, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_reports, CAST(CASE WHEN c_custkey % 4 < 3 AND c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_attachments, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 3 <> 0 END AS nearby_bin_alerts, CASE WHEN c_custkey % 4 < 3 THEN CASE WHEN c_custkey % 5 = 0 THEN 'Bottle' ELSE 'Can' END END AS next_item_type, c_custkey % 4 = 3 AS quarantined FROM customer",
     "kpi_contamination": f"WITH {ITEMS_SQL} SELECT type, count(*) FILTER (WHERE result = 'rejected') AS rejected, count(*) AS inspected, round(count(*) FILTER (WHERE result = 'rejected') / count(*), 9) AS contamination FROM item_events GROUP BY type",
     "kpi_compare": f"WITH {KPIS_SQL} SELECT run, b IS NOT NULL AND p IS NOT NULL AND run % 7 <> 0 AS valid, b IS NOT NULL AND p IS NOT NULL AS complete, CASE WHEN run % 7 <> 0 THEN round(p - b, 2) END AS change, CASE WHEN run % 7 <> 0 THEN round((p - b) * 100 / nullif(abs(b), 0), 6) END AS change_pct FROM pv",

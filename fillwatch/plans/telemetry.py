@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from fillwatch.operators import features as X
 from fillwatch.operators import kpi
 from fillwatch.operators import labels as L
 from fillwatch.operators import snapshot as S
+from fillwatch.session import shared_dir
+from fillwatch.sources import readers as I
 from fillwatch.sources.adapters import READINGS_DUP_SQL, READINGS_SQL, TEST_FROM, VAL_FROM, readings, readings_dup
 
 DECISION = "2024-01-26T12:00:00Z"
@@ -122,7 +126,8 @@ def _label_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return S.snapshot_grid(readings_dup(spark, d), ["2024-01-10T00:00:00Z", DECISION])
+    bins = readings(spark, d).select("bin_id").distinct().union(spark.range(1).select(F.lit("BIN-NONE")))
+    return S.snapshot_grid(readings_dup(spark, d), ["2024-01-10T00:00:00Z", DECISION], bins)
 
 
 def _stops(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +138,39 @@ def _stops(spark: SparkSession, d: str) -> DataFrame:
 
 STOPS_SQL = "stops AS (SELECT event_id AS stop_id, 'BIN-' || format('{:03d}', user_id) AS bin_id, epoch_us(ts) + 1 AS us, strftime(ts, '%Y%m%d') AS route FROM events WHERE event_type = 'click')"
 
+def _at(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _read_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as CSV files and read as such."""
+    readings(spark, d).write.csv(at := _at(spark, "log"), header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return I.read_readings(spark, at, "csv").select(*key(), "seq", "fill_pct", "confidence_flag", "waste_type", X.us("received_at").alias("rec_us"))
+
+
+def _read_plain(spark: SparkSession, d: str) -> DataFrame:
+    """A log without receipts, flags and kinds: nothing is filtered by receipt, and all readings count as good."""
+    readings_dup(spark, d).select("bin_id", "ts", "fill_pct", "seq").write.parquet(at := _at(spark, "plain"))
+    return S.snapshot(I.read_readings(spark, at), DECISION).select("bin_id", "status", X.us("timestamp").alias("us"), "fill_pct", "confidence_flag", "waste_type")
+
+
+def _stage(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table as a stage output, of which one day is read again."""
+    I.write_stage(feats(spark, d), at := _at(spark, "stage"))
+    return spark.read.parquet(at).where(F.col("event_date") == F.lit(VAL_FROM).cast("date")).select(*key(), "cycle_id", *r6("fill_pct", "fill_rate_1h"))
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    I.write_metrics(_models(spark, d), at := _at(spark, "metrics"))
+    return spark.read.json(at).select("model", "mae_hours", "rmse_hours", "n_rows")
+
+
 W, SEL = "WITH ", "SELECT "
 QUERIES = {
+    "read_log_csv": _read_csv,
+    "read_log_plain": _read_plain,
+    "stage_output": _stage,
+    "metrics_output": _metrics,
     "scan_readings": lambda s, d: readings(s, d).select(*key(), "seq", "fill_pct", "confidence_flag", "waste_type", X.us("received_at").alias("rec_us")),
     "time_features": lambda s, d: X.add_time_features(readings(s, d)).select(*key(), "seq", *r6("hour_sin", "hour_cos", "dow_sin", "dow_cos"), "is_weekend"),
     "utc_equivalence": lambda s, d: readings(s, d).withColumn("text", F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))).select("seq", F.unix_micros(F.try_to_timestamp("text")).alias("us")),
@@ -154,7 +190,7 @@ QUERIES = {
     "censor_drop": lambda s, d: L.label_cycles(feats(s, d)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("time_to_overflow_hours").isNull()).alias("n_censored"), F.count_distinct("bin_id").alias("n_bins")),
     "chrono_split": lambda s, d: split(s, d).select(*key(), "split"),
     "purge_leakage": lambda s, d: split(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(L.leaks_label(VAL_FROM, TEST_FROM)).alias("n_purged")),
-    "null_counts": lambda s, d: readings(s, d).join(X.add_rate_features(readings(s, d)).select("seq", "fill_rate_1h"), "seq", "left").agg(F.count_if(F.col("fill_pct").isNull()).alias("fill_null"), F.count_if(F.col("fill_rate_1h").isNull()).alias("rate_null"), F.count_if(F.col("waste_type").isNull()).alias("waste_null")),
+    "null_counts": lambda s, d: feats(s, d).agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in X.FEATURES]),
     "quality_checks": _quality,
     "low_confidence_bins": lambda s, d: readings(s, d).groupBy("bin_id", F.to_date("ts").cast("string").alias("day")).agg(F.min(F.coalesce(F.col("confidence_flag") == 0, F.lit(False))).alias("all_low"), F.min_by("waste_type", F.struct("ts", "seq")).alias("first_waste")).where("all_low"),
     "naive_forecast": lambda s, d: L.naive_forecast(X.latest_per_bin(feats(s, d))).select(*key(), *r6("naive_hours")),
@@ -178,6 +214,10 @@ QUERIES = {
 
 HR = ["(6)", "(24)", "(48)", "(168)"]
 ORACLES = {
+    "read_log_csv": f"WITH {READINGS_SQL} SELECT bin_id, us, seq, fill_pct, confidence_flag, waste_type, rec_us FROM readings",
+    "read_log_plain": f"WITH {DEDUP.replace('FROM readings_dup QUALIFY', f'FROM readings_dup WHERE us <= epoch_us({DEC}) QUALIFY')}, n AS (SELECT bin_id, count(*) AS n FROM readings_dup WHERE us <= epoch_us({DEC}) GROUP BY bin_id) SELECT bin_id, CASE WHEN (epoch_us({DEC}) - max(us)) / 3.6e9 > 72 THEN 'stale' WHEN any_value(n) <= 1 THEN 'cold_start' ELSE 'available' END AS status, max(us) AS us, round(arg_max(fill_pct, us), 1) AS fill_pct, 1 AS confidence_flag, CAST(NULL AS VARCHAR) AS waste_type FROM dd JOIN n USING (bin_id) GROUP BY bin_id",
+    "stage_output": f"WITH {FEATURES} SELECT bin_id, us, cycle_id, {R6('fill_pct', 'fill_rate_1h')} FROM ft WHERE CAST(ts AS DATE) = DATE '{VAL_FROM}'",
+    "metrics_output": "SELECT model, mae_hours, rmse_hours, n_rows FROM (WITH " + EVAL_SQL + ")",
     "scan_readings": f"WITH {READINGS_SQL} SELECT bin_id, us, seq, fill_pct, confidence_flag, waste_type, rec_us FROM readings",
     "time_features": f"WITH {READINGS_SQL} SELECT bin_id, us, seq, round(sin(2*pi()*(hour(ts)+minute(ts)/60.0)/24), 6) + 0.0 AS hour_sin, round(cos(2*pi()*(hour(ts)+minute(ts)/60.0)/24), 6) + 0.0 AS hour_cos, round(sin(2*pi()*(isodow(ts)-1)/7), 6) + 0.0 AS dow_sin, round(cos(2*pi()*(isodow(ts)-1)/7), 6) + 0.0 AS dow_cos, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend FROM readings",
     "utc_equivalence": "SELECT event_id AS seq, epoch_us(ts) AS us FROM events",
@@ -197,8 +237,8 @@ ORACLES = {
     "censor_drop": f"WITH {LABELS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE hours IS NULL) AS n_censored, count(DISTINCT bin_id) AS n_bins FROM lb",
     "chrono_split": f"WITH {LABELS} SELECT bin_id, us, split FROM lab",
     "purge_leakage": f"WITH {LABELS} SELECT split, count(*) AS n_raw, count(*) FILTER (WHERE {LEAK}) AS n_purged FROM lab GROUP BY split",
-    "null_counts": f"WITH {READINGS_SQL} SELECT count(*) FILTER (WHERE fill_pct IS NULL) AS fill_null, CAST(0 AS BIGINT) AS rate_null, count(*) FILTER (WHERE waste_type IS NULL) AS waste_null FROM readings",
-    "quality_checks": f"WITH {LABELS} SELECT 'rows' AS check_name, count(*) AS n FROM lab UNION ALL SELECT 'fill_out_of_range', count(*) FROM lab WHERE fill_pct NOT BETWEEN -50 AND 150 UNION ALL SELECT 'fill_null', count(*) FROM lab WHERE fill_pct IS NULL UNION ALL SELECT 'rate_1h_null', count(*) FROM lab WHERE fill_rate_1h IS NULL UNION ALL SELECT 'rate_6h_null', count(*) FROM lab WHERE fill_rate_6h IS NULL UNION ALL SELECT 'negative_label', count(*) FROM lab WHERE hours < 0 UNION ALL SELECT 'unknown_risk', count(*) FROM lab WHERE risk_level NOT IN ('Critical', 'High', 'Medium', 'Low')",
+    "null_counts": f"WITH {FEATURES} SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}_null" for c in X.FEATURES) + " FROM ft",
+    "quality_checks": f"WITH {LABELS} SELECT 'rows' AS check_name, count(*) AS n FROM lab UNION ALL SELECT 'missing_columns', 0 UNION ALL SELECT 'fill_out_of_range', count(*) FROM lab WHERE fill_pct NOT BETWEEN -50 AND 150 UNION ALL SELECT 'negative_label', count(*) FROM lab WHERE hours < 0 UNION ALL SELECT 'unknown_risk', count(*) FROM lab WHERE coalesce(risk_level NOT IN ('Critical', 'High', 'Medium', 'Low'), true)" + "".join(f" UNION ALL SELECT '{c}_null', count(*) FROM lab WHERE {c} IS NULL" for c in X.FEATURES),
     "low_confidence_bins": f"WITH {READINGS_SQL} SELECT bin_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, true AS all_low, arg_min(waste_type, us) AS first_waste FROM readings GROUP BY ALL HAVING max(confidence_flag) = 0",
     "naive_forecast": f"WITH {FEATURES}, l AS (SELECT *, greatest(90 - fill_pct, 0) AS rem FROM ft QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY us DESC) = 1) SELECT bin_id, us, round(greatest(0, least(200, CASE WHEN fill_rate_1h = 0 THEN (SELECT max(rem) FROM l) ELSE rem / abs(fill_rate_1h) END)), 6) AS naive_hours FROM l",
     "horizons": f"WITH {FEATURES}, l AS (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY us DESC) = 1) SELECT bin_id, CAST(h AS BIGINT) AS horizon_hours, round(least(100, fill_pct + greatest(0, fill_rate_1h) * h), 1) AS expected_fill_pct, round(greatest(0, fill_rate_1h) * h, 1) AS expected_growth_pct_points, true AS no_probability FROM l, (VALUES {', '.join(HR)}) AS v(h)",
@@ -210,7 +250,7 @@ ORACLES = {
     "unsupported_threshold": f"WITH {READINGS_SQL} SELECT bin_id, 'unsupported_threshold' AS status, arg_max(fill_pct, us) AS fill_pct, CAST(NULL AS DOUBLE) AS time_to_service_threshold_hours FROM readings WHERE us <= epoch_us({DEC}) AND rec_us <= epoch_us({DEC}) GROUP BY bin_id",
     "bin_coverage": f"WITH {SNAP} SELECT count(*) AS n_rows, count(DISTINCT bin_id) AS n_bins, count(*) FILTER (WHERE status = 'unavailable') AS n_unavailable FROM sn",
     "resolve_bins": f"WITH {READINGS_SQL} SELECT DISTINCT bin_id FROM readings WHERE us <= epoch_us(TIMESTAMP '2024-01-02') AND rec_us <= epoch_us(TIMESTAMP '2024-01-02')",
-    "snapshot_grid": " UNION ALL ".join(f"SELECT epoch_us({t}) AS decision_us, bin_id, status, round(fill_pct, 1) AS fill_pct, round(hours, 2) AS hours FROM (WITH {SNAP.replace(DEC, t)} SELECT * FROM sn WHERE status <> 'unavailable')" for t in ("TIMESTAMP '2024-01-10 00:00:00'", DEC)),
+    "snapshot_grid": " UNION ALL ".join(f"SELECT epoch_us({t}) AS decision_us, bin_id, status, round(fill_pct, 1) AS fill_pct, CASE WHEN status <> 'unavailable' THEN round(hours, 2) END AS hours FROM (WITH {SNAP.replace(DEC, t)} SELECT * FROM sn)" for t in ("TIMESTAMP '2024-01-10 00:00:00'", DEC)),
     "kpi_overflow": f"WITH {READINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT bin_id) FILTER (WHERE fill_pct >= 90) AS overflowed, count(DISTINCT bin_id) AS bins FROM readings GROUP BY CAST(ts AS DATE)",
     "unnecessary_trips": f"WITH {READINGS_SQL}, {STOPS_SQL}, x AS (SELECT s.route, s.stop_id, r.fill_pct FROM stops s ASOF LEFT JOIN readings r ON s.bin_id = r.bin_id AND s.us >= r.us) SELECT route, count(*) AS stops, count(*) FILTER (WHERE fill_pct < 60) AS unnecessary, count(*) FILTER (WHERE fill_pct IS NULL) AS unknown FROM x GROUP BY route",
     "colour_band": f"WITH {READINGS_SQL} SELECT seq, CASE WHEN fill_pct > 85 THEN 'red' WHEN fill_pct >= 60 THEN 'amber' ELSE 'green' END AS colour FROM readings",
