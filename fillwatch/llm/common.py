@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwatch.session import shared_dir
+
 #: ASCII white space only, so that every engine splits words alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,20 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; in local mode alone, a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fillwatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def _write(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path, was = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    path, was = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
