@@ -49,8 +49,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     then compared. Null or empty texts and items hold nothing; rows with a null id on either side are left out; rows
     repeated with one id count as one document with the larger figures; other columns are ignored.
     """
-    # The texts are read from their source once more for the few documents with hits: no copy of the corpus is made.
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), word_array(F.col(text_col)).alias("words"))
+    raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    words = raw.select("doc_id", word_array(F.col("text")).alias("words"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), word_array(F.col(item_text)).alias("words"))
     items = materialise(items.where(F.size("words") >= SHORTEST).distinct(), "items")
     full, short = items.where(F.size("words") >= WINDOW), items.where(F.size("words") < WINDOW)
@@ -64,7 +64,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = materialise(hits, "hits")
     with_items = hits.join(sized(keyed(items), BROADCAST_ITEM_WORDS, F.size("words")).withColumnRenamed("words", "theirs"), "item")
     # Rows repeated with one id: equal texts count once, of different ones the larger figures.
-    texts = words.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("row", F.xxhash64("words"))
+    # The texts with hits are read from their source once more, and only they are split into words again; no copy of the corpus is made.
+    few = materialise(raw.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi"), "texts")
+    texts = few.select("doc_id", word_array(F.col("text")).alias("words")).withColumn("row", F.xxhash64("words"))
     pairs = with_items.hint("merge").join(texts.dropDuplicates(["doc_id", "row"]), "doc_id")
     same = F.transform("theirs", lambda w, j: F.when((F.col("shift") + j >= 0) & (F.get("words", F.col("shift") + j) == w), 1).otherwise(0))
     long = F.least(F.size("theirs"), F.lit(WINDOW))
