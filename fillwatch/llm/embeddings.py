@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from fillwatch.llm.common import components, materialise, sized
 
-THRESHOLD, TILE, PIVOTS = 0.93, 1024, 64
+#: Cosine of a link; vectors of a tile, tiles of a block; pivots at most (any pivots give the same links, more of them prune better).
+THRESHOLD, TILE, BLOCK, PIVOTS = 0.93, 1024, 8, 256
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of norm 1. They are scaled by powers of two first, which is exact, so that no norm overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,28 +52,37 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     out, x = io.BytesIO(), np.stack(pdf.e.to_numpy()).astype(np.float64)
     np.savez(out, rep=pdf.rep.to_numpy(np.int64), n=pdf.n.to_numpy(np.int64), x=x)
     row = pdf.iloc[0]
-    return pd.DataFrame({"label": [row.label], "dim": [row.dim], "cell": [row.cell], "tile": [f"{row.label}/{row.dim}/{row.cell}/{row['sub']}"], "lo": [pdf.angle.min()], "hi": [pdf.angle.max()], "blob": [out.getvalue()]})
+    cell = f"{row.label}/{row.dim}/{row.cell}"
+    return pd.DataFrame({"label": [row.label], "dim": [row.dim], "cell": [row.cell], "tile": [f"{cell}/{row['sub']}"], "block": [f"{cell}/{row['sub'] // BLOCK}"], "lo": [pdf.angle.min()], "hi": [pdf.angle.max()], "blob": [out.getvalue()]})
+
+
+def _links(a: tuple, b: tuple, same: bool, threshold: float) -> pd.DataFrame:
+    """Links of one pair of tiles: weighted counts by vector, and a star on the smallest id of each local component."""
+    (ra, na, xa), (rb, nb, xb) = a, b
+    i, j = close_pairs(xa, xb, threshold, same)
+    ids = ra if same else np.r_[ra, rb]
+    u, v = i, j + (0 if same else len(ra))
+    links = np.bincount(u, nb[j], len(ids)) + np.bincount(v, na[i], len(ids))
+    low = ids.copy()
+    while len(u):
+        was = low.copy()
+        np.minimum.at(low, u, low[v])
+        np.minimum.at(low, v, low[u])
+        if (was == low).all():
+            break
+    linked = np.flatnonzero(links)
+    return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype(np.int64), "anchor": low[linked]})
 
 
 def _compare(threshold: float):  # noqa: ANN202
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of one pair of tiles: weighted counts by vector, and a star on the smallest id of each local component."""
-        tiles = [np.load(io.BytesIO(bytes(b))) for b in pdf.sort_values("side").blob]
-        (ra, na, a), (rb, nb, b) = [(t["rep"], t["n"], t["x"] / np.linalg.norm(t["x"], axis=1)[:, None]) for t in (tiles[0], tiles[-1])]
-        same = len(tiles) == 1
-        i, j = close_pairs(a, b, threshold, same)
-        ids = ra if same else np.r_[ra, rb]
-        u, v = i, j + (0 if same else len(ra))
-        links = np.bincount(u, nb[j], len(ids)) + np.bincount(v, na[i], len(ids))
-        low = ids.copy()
-        while len(u):
-            was = low.copy()
-            np.minimum.at(low, u, low[v])
-            np.minimum.at(low, v, low[u])
-            if (was == low).all():
-                break
-        linked = np.flatnonzero(links)
-        return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype(np.int64), "anchor": low[linked]})
+        """Links of the tile pairs of one pair of blocks: two blocks of tiles at most are in memory."""
+        tiles = {}
+        for name, blob in zip(pdf.tile, pdf.blob, strict=True):
+            t = np.load(io.BytesIO(bytes(blob)))
+            tiles[name] = t["rep"], t["n"], unit_rows(t["x"])
+        found = [_links(tiles[a], tiles[b], a == b, threshold) for a, partners in zip(pdf.tile, pdf.partners, strict=True) for b in partners]
+        return pd.concat(found) if found else pd.DataFrame({"rep": [], "links": [], "anchor": []}).astype("int64")
 
     return run
 
@@ -81,31 +97,35 @@ def tiles_of(distinct: DataFrame, pivots: dict[int, np.ndarray], tile: int = TIL
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.stack(pdf.e.iloc[at].to_numpy()).astype(np.float64)
-                cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ pivots[d].T if d in pivots else np.ones((len(at), 1))
+                cos = unit_rows(x) @ pivots[d].T if d in pivots else np.ones((len(at), 1))
                 cell[at], angle[at] = cos.argmax(axis=1), np.arccos(np.clip(cos.max(axis=1), -1, 1))
             yield pdf.assign(dim=dims, cell=cell, angle=angle)
 
-    rows = materialise(distinct.mapInPandas(cells, "label int, e array<double>, rep long, n long, dim int, cell int, angle double"), "cells")
+    rows = materialise(distinct.mapInPandas(cells, "label string, e array<double>, rep long, n long, dim int, cell int, angle double"), "cells")
     counts = materialise(rows.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("subs")), "counts")
     rows = rows.join(sized(counts, 50_000), ["label", "dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).drop("subs")
-    return materialise(rows.groupBy("label", "dim", "cell", "sub").applyInPandas(_pack, "label int, dim int, cell int, tile string, lo double, hi double, blob binary"), "tiles")
+    return materialise(rows.groupBy("label", "dim", "cell", "sub").applyInPandas(_pack, "label string, dim int, cell int, tile string, block string, lo double, hi double, blob binary"), "tiles")
 
 
 def tile_pairs(tiles: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(tile, pair, side) of the tile pairs that can hold a link, by the triangle inequality for angles.
+    """(tile, pair, partners) of the tile pairs that can hold a link, by the triangle inequality for angles.
 
     Two vectors at angles in [lo, hi] to their pivots are at least angle(pivots) - hi - hi' apart, and within one
     cell at least lo' - hi. A tile is compared with itself and each later tile of its label that may be near enough.
+    pair is a pair of blocks: tiles travel once for all comparisons of their blocks. partners are those that a tile is
+    compared with there.
     """
     spark, near = tiles.sparkSession, float(np.arccos(threshold)) + 1e-6
     apart = [(d, i, j, float(np.arccos(np.clip(p[i] @ p[j], -1, 1)))) for d, p in pivots.items() for i in range(len(p)) for j in range(len(p))]
     apart = spark.createDataFrame(apart, "dim int, cell int, cell2 int, apart double")  # pivots squared at most
-    a = tiles.select("label", "dim", "cell", "tile", "lo", "hi")
-    b = a.select("label", "dim", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    a = tiles.select("label", "dim", "cell", "tile", "block", "lo", "hi")
+    b = a.select("label", "dim", *[F.col(c).alias(f"{c}2") for c in ("cell", "tile", "block", "lo", "hi")])
     both = a.hint("merge").join(b, ["label", "dim"]).where("tile <= tile2").join(F.broadcast(apart), ["dim", "cell", "cell2"], "left")
     far = F.when(F.col("cell") == F.col("cell2"), F.greatest(F.col("lo"), F.col("lo2")) - F.least(F.col("hi"), F.col("hi2"))).otherwise(F.coalesce("apart", F.lit(0.0)) - F.col("hi") - F.col("hi2"))
-    pairs = both.where(far <= near).select(F.concat_ws("+", "tile", "tile2").alias("pair"), "tile", "tile2")
-    return materialise(pairs.select("tile", "pair", F.lit(0).alias("side")).union(pairs.where("tile <> tile2").select("tile2", "pair", F.lit(1))), "pairs")
+    pairs = materialise(both.where(far <= near).select("tile", "tile2", F.concat_ws("+", F.least("block", "block2"), F.greatest("block", "block2")).alias("pair")), "pairs")
+    none = F.lit(None).cast("string")
+    rows = pairs.select("tile", "pair", "tile2").union(pairs.where("tile <> tile2").select("tile2", "pair", none)).groupBy("tile", "pair").agg(F.collect_list("tile2").alias("partners"))
+    return materialise(rows, "sides")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -115,16 +135,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     size as its weight, so copies are never paired with each other. Null labels, null, empty or zero vectors and those
     with null or non-finite components link with nothing, nor do rows with a null id (component null, kept false);
     rows repeated with one id are copies of each other; vectors of different lengths never link; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. Labels may be of any type that casts to text.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("int").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0))
     distinct = materialise(fine.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     # As many pivots as make cells of about a tile, within a bound; any pivots give the same links.
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, size.n // (tile * max(1, size.labels))))).collect()
-    pivots = {d: np.stack([np.array(r.e) / np.linalg.norm(r.e) for r in taken if len(r.e) == d]) for d in {len(r.e) for r in taken}}
+    pivots = {d: unit_rows(np.array([r.e for r in taken if len(r.e) == d])) for d in {len(r.e) for r in taken}}
     tiles = tiles_of(distinct, pivots, tile)
     sides = tiles.select("tile", "blob").hint("merge").join(tile_pairs(tiles, pivots, threshold), "tile")
     part = materialise(sides.groupBy("pair").applyInPandas(_compare(threshold), "rep long, links long, anchor long"), "links")
