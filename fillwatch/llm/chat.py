@@ -113,21 +113,23 @@ def pack(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     return materialise(running(nodes, ["rank", "depth"], "n_tokens", n, "ranged").drop("rank"), "packed")
 
 
+def intervals(spans: Column) -> Column:
+    """Ancestor attention intervals of a root-to-leaf chain of (start, n_tokens): (start, length), neighbours in the stream merged."""
+    end = lambda x: x["start"] + x["n_tokens"]
+    starts = F.filter(spans, lambda x, i: (i == 0) | (end(F.get(spans, i - 1)) != x["start"]))
+    ends = F.filter(spans, lambda x, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] != end(x)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), (end(b) - a["start"]).alias("length")))
+
+
 def attention(turns: DataFrame, packed: DataFrame) -> DataFrame:
-    """(conv_id, spans): for each conversation its segments in order, with their places in the stream and loss masks."""
-    at = turns.select("conv_id", "depth", "node").hint("merge").join(packed.select("node", "start", "seg", "mask_from", "mask_to"), "node")
-    return at.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "seg", "mask_from", "mask_to"))).alias("spans"))
-
-
-def intervals(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ancestor attention intervals: (start, length) of a root-to-leaf chain, neighbours in the stream merged."""
-    out: list[list[int]] = []
-    for start, length in spans:
-        if out and out[-1][0] + out[-1][1] == start:
-            out[-1][1] += length
-        else:
-            out.append([start, length])
-    return [(a, b) for a, b in out]
+    """(conv_id, spans, intervals): for each conversation its segments in order, with their places in the stream, first position ids
+    and loss masks; and the intervals of the stream that its tokens attend to.
+
+    A token sees of these what stands before it: the intervals of a node are those of any leaf below it up to its end.
+    """
+    at = turns.select("conv_id", "depth", "node").hint("merge").join(packed.select("node", "start", "n_tokens", "position", "seg", "mask_from", "mask_to"), "node")
+    out = at.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "n_tokens", "position", "seg", "mask_from", "mask_to"))).alias("spans"))
+    return out.withColumn("intervals", intervals(F.col("spans")))
 
 
 def _unescaped(c: Column) -> Column:

@@ -155,9 +155,21 @@ def test_embeddings_equal_brute_force(spark):
                 s = near[a[0]] | near[b[0]]
                 for x in s:
                     near[x] = s
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, tile=16).collect()}
-    assert got.pop(None) == (0, None, False)
-    assert got == {i: (link.get(i, 0), min(s), min(s) == i) for i, s in near.items()}
+    want = {i: (link.get(i, 0), min(s), min(s) == i) for i, s in near.items()}
+    for tile, kind in ((16, "int"), (4, "string")):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df.withColumn("label", F.col("label").cast(kind)), tile=tile).collect()}
+        assert got.pop(None) == (0, None, False)
+        assert got == want
+    assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_far_out_numbers_and_labels(spark):
+    x = [1.0, 2.0, 2.0]
+    rows = [(i, [v * s for v in x], "a/b") for i, s in enumerate((1e200, 1e-300, 1.0, 8e307))] + [(9, x, "a"), (10, [1.0, -1.0, 0.0], "a/b")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {i: (3, 0) for i in range(4)} | {9: (0, 9), 10: (0, 10)}
+    big = spark.createDataFrame([(1, x, 1 << 40), (2, x, 1 << 40), (3, x, 1)], "vec_id long, embedding array<double>, label long")
+    assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(big).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_quantisation_bound():
@@ -352,6 +364,7 @@ def test_long_conversations_with_shared_beginnings(spark):
     assert turns.agg(F.sum(F.length("path"))).first()[0] == 16 * len(rows)
     nodes, end, open_ = {r.node: r for r in packed.collect()}, 0, []
     assert set(nodes) == {r.node for r in turns.select("node").collect()} and sum(r.n_convs for r in nodes.values()) == len(rows)
+    check_attention(chat.attention(turns, packed).collect(), nodes)
     for r in sorted(nodes.values(), key=lambda r: r.start):  # a node follows its parent or a finished subtree of it
         assert r.start == end
         del open_[r.depth :]
@@ -360,6 +373,24 @@ def test_long_conversations_with_shared_beginnings(spark):
         end += r.n_tokens
 
 
+def check_attention(chats, nodes):
+    """Intervals and position ids of each chain against a walk from the leaf up to the root of the emitted tree."""
+    by_start = {r.start: r for r in nodes.values()}
+    for r in chats:
+        seen, node = set(), by_start[r.spans[-1].start]
+        while node:
+            seen |= set(range(node.start, node.start + node.n_tokens))
+            node = nodes.get(node.parent)
+        assert seen == {p for x in r.intervals for p in range(x.start, x.start + x.length)}
+        assert all(a.start + a.length < b.start for a, b in itertools.pairwise(r.intervals))
+        assert [s.position for s in r.spans] == list(itertools.accumulate((s.n_tokens for s in r.spans[:-1]), initial=0))
+
+
+def test_no_conversations(spark):
+    turns, packed = chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert packed.count() == 0 and chat.read_back(chat.attention(turns, packed)).count() == 0
+
+
 def test_prefix_tree(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "x"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (None, 0, None, None), (4, 1, "b", "t"), (4, 1, "a", "t"), (4, None, "z", "")]
     turns, packed = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1)))
@@ -374,7 +405,7 @@ def test_prefix_tree(spark):
     assert [s.seg for s in spans[4].spans] == [chat.segment(r, t)[0] for r, t in (("z", ""), ("a", "t"), ("b", "t"))]
     back = {r.conv_id: r for r in chat.read_back(chat.attention(turns, packed)).collect()}
     assert (back[2].n_turns, back[2].loss_chars, back[2].turns_sha256) == (3, 2, hashlib.sha256(b"user\nhi\nassistant\nno\nuser\nx\n").hexdigest())
-    assert chat.intervals([(0, 5), (5, 2), (9, 1)]) == [(0, 7), (9, 1)]
+    check_attention(chat.attention(turns, packed).collect(), nodes)
 
 
 # 9: lines
