@@ -270,6 +270,15 @@ def test_license_places(spark):
     assert got == {0: (9, 3, 1, 7, "cc-by"), 1: (9, 2, 1, 4, "gpl,reserved"), 2: (3, 0, None, None, ""), 3: (0, 0, None, None, "")}
 
 
+def test_notices_are_scored_by_relative_position(spark):
+    notice = licenses.MORE["mit"][0]
+    words = notice.split()
+    t = [notice, f"x {notice} y {notice}", " ".join(reversed(words)), f"Permission is hereby granted, free of charge, {' '.join(words[:6])}", notice.replace("person", "robot"), "charge", None, "permission is hereby granted free"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs(spark, t)).collect()}
+    assert got[0] == got[1] == ("mit", 1.0) and got[4][0] == "mit" and 0.8 < got[4][1] < 1 and got[3][0] == "mit" and got[3][1] < got[4][1]
+    assert got[2][0] == got[5][0] == got[6][0] == got[7][0] == "" and got[2][1] < 0.2 and got[6][1] == 0
+
+
 # 6: SimHash
 def plain_fingerprint(text):
     w = text.encode().lower().split()
