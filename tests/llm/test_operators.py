@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,11 +119,72 @@ def test_repeated_rows_leak_once(spark):
 
 
 # 2: quality
-def test_ngrams_equal_a_plain_count():
-    a, na = quality.ngrams([b"One two  two", b"", b"x"])
-    b, nb = quality.ngrams([b"One two  two"])
-    assert list(na) == [15, 0, 5] and list(nb) == [15] and list(a[:15]) == list(b)
-    assert list(quality.ngrams([b"  lead", b"x"])[0][5:]) == list(quality.ngrams([b"x"])[0])
+def plain_ngrams(text):
+    """Buckets of a text, by the definition and with Python's integers."""
+    full, a, b = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    mixed = lambda h: (h := ((h ^ (h >> 31)) * a) & full) ^ (h >> 29)
+    kind = lambda c: 3 if c > 127 else 1 if chr(c).isdigit() else 2 if chr(c).isupper() else 3 if chr(c).islower() else 16 + c if c > 32 else 5
+    words, shapes, out = [], [], []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text):
+        word = mixed(sum(mixed(((c + 32 if 64 < c < 91 else c) + 1) * b + k * a & full) for k, c in enumerate(w)) & full)
+        runs = [k for k, _ in itertools.groupby(map(kind, w))]
+        shape = sum(mixed(k * b + min(i, 6) * a & full) for i, k in enumerate(runs)) + (b if words and words[-1] == word else 0)
+        words.append(word)
+        shapes.append(mixed(shape & full))
+    for i, (w, s) in enumerate(zip(words, shapes, strict=True)):
+        w1, s1, s2 = (words[i - 1] if i else 1), (shapes[i - 1] if i else 1), (shapes[i - 2] if i > 1 else 2)
+        kinds = [w, w * a + w1, s * b, (s * b + s1) * a, ((s * a + s1) * b + s2) * a]
+        out += [mixed((v + k) & full) >> (64 - quality.BITS) for k, v in enumerate(kinds)]
+    return out
+
+
+def plain_ftrl(rows, z, n):
+    """FTRL-Proximal over (text, label) rows, from a state of two dicts; returns the new state."""
+    z, n = dict(z), dict(n)
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for text, y in rows:
+        grams = plain_ngrams(text)
+        x = {i: grams.count(i) * quality.SCALE / len(grams) for i in set(grams)} | {1 << quality.BITS: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g, was = (p - y) * v, n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / quality.ALPHA * w[i]
+            n[i] = was + g * g
+    return z, n
+
+
+def test_ngrams_by_definition():
+    rng = random.Random(2)
+    texts = ["One two  two", "", "x", "A1b2--C3 !!?? éà É", " lead\ttab", *("".join(rng.choices("aB3 .-é\n", k=rng.randrange(40))) for _ in range(40))]
+    h, n = quality.ngrams([t.encode() for t in texts])
+    assert [list(p) for p in np.split(h, np.cumsum(n)[:-1])] == [plain_ngrams(t.encode()) for t in texts]
+
+
+def test_quality_fit_by_definition(spark):
+    """Shards, epochs and averages of the whole fit, and the scores, against a plain version."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(1, 12)) + (" GOOD!" if i % 3 else " bad 7") for i in range(40)] + [None, ""]
+    df = docs(spark, texts)
+    df = df.union(df.where("doc_id = 3"))  # repeated rows count once
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(41)] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.sample(df, labels, "quality", quality.MOST).select(F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS)).alias("s"), F.xxhash64("doc_id", F.lit(1)).alias("o"), "text", "y", "doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == [i for i in range(41) if zlib.crc32(str(i).encode()) % 5]
+    z, n = {}, {}
+    for epoch in range(quality.EPOCHS):
+        got = []
+        for s in range(quality.SHARDS):
+            part = sorted((r for r in rows if r.s == s), key=lambda r: r.o, reverse=epoch % 2 == 1)
+            if part:
+                got.append(plain_ftrl([(r.text.encode(), r.y) for r in part], z, n))
+        z, n = ({i: sum(state[k].get(i, 0.0) for state in got) / quality.SHARDS for i in {i for state in got for i in state[k]}} for k in (0, 1))
+    weights = quality.fit(df, labels)
+    want = {i: -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2) for i in z if abs(z[i]) > quality.L1}
+    assert set(np.flatnonzero(weights)) == set(want) and all(math.isclose(weights[i], v, rel_tol=1e-9) for i, v in want.items())
+    for r in quality.classify(df, weights).collect():
+        grams = plain_ngrams((texts[r.doc_id] or "").encode())
+        v = sum(want.get(i, 0.0) for i in grams) * quality.SCALE / max(1, len(grams)) + want.get(1 << quality.BITS, 0.0)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-v)), rel_tol=1e-9) and r.predicted == (r.score >= 0.3)
 
 
 @have_data
@@ -339,6 +401,37 @@ def test_windows_cover_the_whole_text():
         assert b"".join(toxicity.windows(t)) == b" ".join(t.lower().split()) and all(len(w) <= toxicity.WINDOW + 1 for w in toxicity.windows(t))
 
 
+def test_toxic_dictionaries_by_definition(spark):
+    """Telling strings and pieces against plain counts, scores against plain compression, on texts with a planted word."""
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(30, 90)) + (" zqxblarg you " if i % 4 == 0 else " ") + prose(rng, 20) for i in range(160)] + [None, "", "zqxblarg"]
+    df = docs(spark, texts)
+    df = df.union(df.where("doc_id in (0, 4)"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.sample(df, labels, "toxic", {1: 20, 0: 60})
+    have = [(r.text, r.y) for r in rows.collect()]
+    assert sorted(y for _, y in have) == [0] * 60 + [1] * 20
+    grams = lambda t: {b[k : k + 8] for b in [" ".join(t.lower().split()).encode()] for k in range(len(b) - 7)}
+    count = lambda y: Counter(g for t, k in have if k == y for g in grams(t))
+    t, o = count(1), count(0)
+    want = {g for g, k in t.items() if k >= toxicity.LEAST and (k + 0.5) / 20 >= toxicity.LIFT * (o[g] + 0.5) / 60}
+    known = toxicity.telling(rows)
+    assert want and {int(x).to_bytes(8, "little", signed=True) for x in known} == want
+    pieces = {p for text, k in have if k for p in toxicity.toxic_pieces(text.encode(), known)}
+    assert pieces and all(b"zqxblarg" in p for p in pieces)
+    model = toxicity.fit(df, labels)
+    assert b"zqxblarg" in model.toxic and b"zqxblarg" not in model.ordinary and model.toxic.endswith(model.ordinary)
+    out = {r.doc_id: r for r in toxicity.classify(df, model).collect()}
+    held = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i].predicted == (i % 4 == 0) for i in held) and {out[i].predicted for i in held} == {0, 1}
+    assert (out[160].predicted, out[161].predicted) == (0, 0)
+    size = lambda d, w: len(toxicity._compressor(d).compress(w))
+    for i in [*held[:6], 160, 162]:
+        d = sorted((size(model.ordinary, w) - size(model.toxic, w) for w in toxicity.windows((texts[i] or "").encode())), reverse=True)
+        f = [1.0, d[0], sum(d[:3]), math.log(len(d))] if d else [1.0, 0.0, 0.0, 0.0]
+        assert math.isclose(out[i].score, 1 / (1 + math.exp(-max(-30, min(30, np.dot(f, model.weights))))), rel_tol=1e-9)
+
+
 def test_no_labels_scores_low(spark):
     df = docs(spark, ["some text", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
