@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the manifest format.
@@ -34,17 +34,32 @@ def registry_audit(bundles: DataFrame, artifacts: DataFrame, allowed: list[str]
     return x.select("bundle", F.explode(F.filter(failures, lambda f: f.isNotNull())).alias("failure"))
 
 
+def _merged(m: Column, new: dict[str, Column]) -> Column:
+    """A map of JSON values with some of its keys set anew."""
+    return F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(*new)), F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v)]))
+
+
 def migrate_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(migrated, quarantine) of documents (key, doc JSON text). Versions 1 to 3 become 3; others, and unreadable ones, stay untouched.
 
-    Attachments default to none, nearbyBinAlerts to reminders or else true, nextItemType to Can; the original is kept.
+    doc is the whole document in version 3: attachments default to none, nearbyBinAlerts to reminders or else true,
+    nextItemType to Can, and everything else is kept as it is, known or not. The original is kept beside it.
     """
     x = docs.withColumn("d", F.from_json("doc", _DOC))
     known = F.coalesce(F.col("d.version").isin(1, 2, 3), F.lit(False))
     good = x.where(known)
     reports = F.transform(F.coalesce("d.reports", F.array().cast("array<struct<id:string,attachments:array<string>>>")), lambda r: F.struct(r["id"].alias("id"), F.coalesce(r["attachments"], F.array().cast("array<string>")).alias("attachments")))
+    alerts, kind = F.coalesce("d.settings.nearbyBinAlerts", "d.settings.reminders", F.lit(True)), F.coalesce("d.settings.nextItemType", F.lit("Can"))
+    value = lambda c: F.parse_json(F.to_json(c))
+    none = F.create_map().cast("map<string,variant>")
+    top = F.from_json("doc", "map<string,variant>")
+    each = F.coalesce(F.from_json(F.to_json(top["reports"]), "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))
+    each = F.transform(each, lambda r: _merged(r, {"attachments": F.coalesce(F.when(~F.is_variant_null(r["attachments"]), r["attachments"]), F.parse_json(F.lit("[]")))}))
+    settings = F.coalesce(F.from_json(F.to_json(top["settings"]), "map<string,variant>"), none)
+    settings = _merged(settings, {"nearbyBinAlerts": F.parse_json(alerts.cast("string")), "nextItemType": F.variant_get(value(F.struct(kind.alias("k"))), "$.k", "variant")})
+    whole = _merged(top, {"version": F.parse_json(F.lit("3")), "reports": value(each), "settings": value(settings)})
     migrated = good.select(
-        "key", F.lit(3).alias("version"), F.col("d.version").alias("from_version"), F.col("d.auth.userId").alias("user_id"), reports.alias("reports"),
-        F.coalesce("d.settings.nearbyBinAlerts", "d.settings.reminders", F.lit(True)).alias("nearby_bin_alerts"), F.coalesce("d.settings.nextItemType", F.lit("Can")).alias("next_item_type"), F.col("doc").alias("original"),
+        "key", F.lit(3).alias("version"), F.col("d.version").alias("from_version"), F.col("d.auth.userId").alias("user_id"), reports.alias("reports"), alerts.alias("nearby_bin_alerts"), kind.alias("next_item_type"),
+        F.to_json(whole).alias("doc"), F.col("doc").alias("original"),
     )
     return migrated, x.where(~known).select("key", F.col("d.version").alias("version"), "doc")

@@ -9,6 +9,8 @@ from fillwatch.sources.adapters import CATEGORIES, REASONS, STATUSES
 
 VALUE_CENTS = 20
 HAZARDS = ("Hazardous waste", "Discarded sharps")
+#: Keywords that a table of rules may have.
+MAX_KEYWORDS = 10_000
 MIME_TYPES = ("image/jpeg", "image/png", "image/webp")
 
 
@@ -65,6 +67,12 @@ def retried_items(items: DataFrame) -> DataFrame:
     return x.where((F.col("result") == "rejected") & (F.col("reason") == REASONS[0]) & (F.col("next_result") == "accepted") & (F.col("next_type") == F.col("type"))).drop("next_result", "next_type")
 
 
+def append_retries(items: DataFrame, retries: DataFrame) -> DataFrame:
+    """The log with an accepted, priced item for each retry (session_id, type, created_us); the rejected ones stay."""
+    again = retries.select("session_id", "type", "created_us").withColumn("result", F.lit("accepted")).withColumn("reason", F.lit(None).cast("string"))
+    return price_items(items.unionByName(again, allowMissingColumns=True))
+
+
 def session_state(sessions: DataFrame, items: DataFrame, finished: DataFrame, payments: DataFrame) -> DataFrame:
     """active, awaiting-payout once finished with an accepted item, paid after the first successful payment.
 
@@ -104,6 +112,55 @@ def remove_method(methods: DataFrame, removed: DataFrame) -> DataFrame:
     return left.withColumn("is_default", F.when(F.max("is_default").over(whole), F.col("is_default")).otherwise(first))
 
 
+def set_default(methods: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Methods after each resident of chosen (resident, method_id) has set a default: that one alone is it."""
+    c = chosen.groupBy("resident").agg(F.max("method_id").alias("_chosen"))
+    x = methods.hint("merge").join(c, "resident", "left")
+    return x.withColumn("is_default", F.when(F.col("_chosen").isNull(), F.col("is_default")).otherwise(F.col("method_id") == F.col("_chosen"))).select(*methods.columns)
+
+
+def add_methods(methods: DataFrame, added: DataFrame) -> DataFrame:
+    """Methods with those added behind them, in the order of their ids; a resident's first one becomes the default."""
+    end = methods.groupBy("resident").agg((F.max("position") + 1).alias("_end"))
+    k = F.row_number().over(Window.partitionBy("resident").orderBy("method_id")) - 1
+    new = added.hint("merge").join(end, "resident", "left").withColumn("position", (F.coalesce("_end", F.lit(0)) + k).cast("long"))
+    new = new.withColumn("is_default", F.col("position") == 0).withColumn("label", F.when(F.col("type") == "bank", "Bank Transfer").otherwise("E-Wallet"))
+    return methods.unionByName(new.drop("_end"), allowMissingColumns=True)
+
+
+def newest_return(sessions: DataFrame) -> DataFrame:
+    """Each resident's newest return, whatever its status."""
+    return sessions.groupBy("resident").agg(F.max_by(F.struct("session_id", "status"), F.struct("created_us", "session_id")).alias("s")).select("resident", "s.*")
+
+
+def payment_receipts(sessions: DataFrame, items: DataFrame, methods: DataFrame, state: DataFrame) -> DataFrame:
+    """One row for each session paid by its state: total, accepted items, the masked method it was paid to, transaction and time of payment.
+
+    A method that is gone reads "Saved payout method", a missing transaction "TXN-DEMO"; without a time of payment the creation counts.
+    """
+    tot = price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("c"), F.count_if(F.col("result") == "accepted").alias("n"))
+    to = methods.select("method_id", mask_identifier(F.col("raw"), F.col("type")).alias("to"))
+    paid = state.where("status = 'paid'").select("session_id", "paid_us", "method_id", "transaction_id")
+    x = sessions.select("session_id", "resident", "created_us").hint("merge").join(paid, "session_id").join(tot, "session_id", "left").hint("merge").join(to, "method_id", "left")
+    return x.select(
+        "session_id", "resident", F.coalesce("c", F.lit(0)).cast("long").alias("total_cents"), money(F.coalesce("c", F.lit(0))).alias("total_text"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("to", F.lit("Saved payout method")).alias("method"), F.coalesce("transaction_id", F.lit("TXN-DEMO")).alias("transaction_id"), date_text(F.coalesce("paid_us", "created_us")).alias("paid_text"),
+    )
+
+
+def create_reports(reports: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports with the new ones, which start as the first status and hazardous where their category is, and their notifications."""
+    entered = flag_hazards(new.withColumn("status", F.lit(STATUSES[0])))
+    return reports.unionByName(entered, allowMissingColumns=True), report_notifications(entered)
+
+
+def attachment_names(reports: DataFrame) -> DataFrame:
+    """names: those of the attachments, or where there are none the file names of older reports; none if both are null or empty."""
+    empty = F.array().cast("array<string>")
+    names = F.coalesce(F.transform("attachments", lambda a: a["name"]), empty)
+    return reports.withColumn("names", F.when(F.size(names) > 0, names).otherwise(F.coalesce("image_names", empty)))
+
+
 def receipts(sessions: DataFrame, items: DataFrame, methods: DataFrame) -> DataFrame:
     """Paid sessions with total, item count, method text (or "Saved payout method"), and paid_at or else creation time."""
     tot = price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("c"), F.count(F.lit(1)).alias("n"))
@@ -212,11 +269,15 @@ def first_rule(texts: DataFrame, text_col: str, rules: list[tuple[str, list[str]
 def rules_join(texts: DataFrame, key: str, text_col: str, rules: DataFrame) -> DataFrame:
     """The same with the rules as a table (rule_order, rule_id, keywords): a keyword matches where it is contained.
 
-    For rule tables that don't fit an expression; they are small next to the texts and are broadcast.
+    For rule tables that don't fit an expression. Rules are put into one array, at most MAX_KEYWORDS of them (more is an
+    error), which each text runs through: texts don't move.
     """
-    words = rules.select("rule_order", "rule_id", F.explode("keywords").alias("k"))
-    hits = texts.join(F.broadcast(words), F.lower(F.trim(F.col(text_col))).contains(F.col("k")) & (F.length(F.trim(F.col(text_col))) >= 2), "left")
-    return hits.groupBy(key).agg(F.min_by("rule_id", "rule_order").alias("rule"))
+    words = rules.select("rule_order", "rule_id", F.explode("keywords").alias("k")).limit(MAX_KEYWORDS + 1)
+    table = words.agg(F.array_sort(F.collect_list(F.struct("rule_order", "rule_id", "k"))).alias("rules"))
+    table = table.select(F.when(F.size("rules") <= MAX_KEYWORDS, F.col("rules")).otherwise(F.raise_error(F.lit(f"more than {MAX_KEYWORDS} keywords"))).alias("rules"))
+    text = F.lower(F.trim(F.col(text_col)))
+    first = F.get(F.filter("_rules", lambda r: text.contains(r["k"]) & (F.length(text) >= 2)), 0)
+    return texts.withColumn("_rules", table.scalar()).select(key, first["rule_id"].alias("rule"))
 
 
 def faq_search(items: DataFrame, query: str, category: str = "All") -> DataFrame:

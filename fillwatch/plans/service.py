@@ -75,14 +75,14 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     """One application document a customer, versions 1 to 4."""
     c = spark.read.parquet(f"{d}/customer.parquet")
     report = F.array(F.struct(F.col("c_name").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.array("c_mktsegment")).alias("attachments")))
-    doc = F.struct((1 + F.col("c_custkey") % 4).cast("int").alias("version"), F.struct(F.col("c_name").alias("userId")).alias("auth"), report.alias("reports"), F.struct(F.when(F.col("c_custkey") % 3 == 0, F.lit(False)).alias("reminders"), F.when(F.col("c_custkey") % 5 == 0, F.lit("Bottle")).alias("nextItemType")).alias("settings"))
+    doc = F.struct((1 + F.col("c_custkey") % 4).cast("int").alias("version"), F.struct(F.col("c_name").alias("userId")).alias("auth"), report.alias("reports"), F.struct(F.when(F.col("c_custkey") % 3 == 0, F.lit(False)).alias("reminders"), F.when(F.col("c_custkey") % 5 == 0, F.lit("Bottle")).alias("nextItemType"), F.col("c_nationkey").alias("radius")).alias("settings"), F.array(F.struct(F.col("c_custkey").alias("id"))).alias("returns"))
     return c.select(F.col("c_custkey").alias("key"), F.to_json(doc).alias("doc"))
 
 
 def _migrate(spark: SparkSession, d: str) -> DataFrame:
     good, bad = audit.migrate_documents(_documents(spark, d))
-    a = good.select("key", "version", "from_version", "user_id", F.size("reports").alias("n_reports"), F.aggregate("reports", F.lit(0), lambda s, r: s + F.size(r["attachments"])).alias("n_attachments"), "nearby_bin_alerts", "next_item_type", F.lit(False).alias("quarantined"))
-    b = bad.select("key", "version", F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.lit(True))
+    a = good.select("key", "version", "from_version", "user_id", F.size("reports").alias("n_reports"), F.aggregate("reports", F.lit(0), lambda s, r: s + F.size(r["attachments"])).alias("n_attachments"), "nearby_bin_alerts", "next_item_type", F.get_json_object("doc", "$.returns[0].id").alias("return_id"), F.get_json_object("doc", "$.settings.radius").alias("radius"), F.get_json_object("doc", "$.settings.nextItemType").alias("new_type"), F.get_json_object("doc", "$.reports[0].attachments").alias("new_attachments"), F.get_json_object("doc", "$.version").alias("new_version"), F.lit(False).alias("quarantined"))
+    b = bad.select("key", "version", F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(None).cast("boolean"), *[F.lit(None).cast("string")] * 6, F.lit(True))
     return a.union(b)
 
 
@@ -144,6 +144,38 @@ def _artifacts(spark: SparkSession, d: str) -> DataFrame:
     return I.scan_artifacts(spark, _files(_brands(spark, d), "p_brand", "manifest")).select("length", "sha256")
 
 
+def _retries(spark: SparkSession, d: str) -> DataFrame:
+    """Every session whose last item's barcode couldn't be read tries it once more, a minute later."""
+    items = item_events(spark, d)
+    w = items.groupBy("session_id").agg(F.max("created_us").alias("t"))
+    again = R.recoverable_sessions(items).where("recoverable").join(w, "session_id").select("session_id", "type", (F.col("t") + 60_000_000).alias("created_us"))
+    x = R.append_retries(items, again)
+    return x.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result") == "accepted").alias("accepted"), F.sum("value_cents").alias("cents"))
+
+
+def _add(spark: SparkSession, d: str) -> DataFrame:
+    """A wallet for every third customer, half of whom have no method yet."""
+    m = payout_methods(spark, d).where("resident % 6 <> 0")
+    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0")
+    new = c.select((F.col("c_custkey") + 10_000_000_000).alias("method_id"), F.col("c_custkey").alias("resident"), F.lit("wallet").alias("type"), F.col("c_name").alias("raw"))
+    return R.add_methods(m, new).select("method_id", "resident", "label", "is_default", "position")
+
+
+def _create(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as new reports beside those of the documents."""
+    new = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") + 10_000_000_000).alias("report_id"), F.when(F.col("item_id") % 2 == 0, "Hazardous waste").otherwise("Missed collection").alias("category"), F.col("text").alias("description"), F.lit(False).alias("hazardous"), F.lit(0).cast("long").alias("created_us"))
+    every, told = R.create_reports(reports(spark, d), new)
+    n = told.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return every.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("hazardous").alias("n_hazardous")).unionByName(n.select(F.col("title").alias("status"), "n", F.lit(0).cast("long").alias("n_hazardous")))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as reports with new attachments, older file names, both or none, by their url's length."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("url", (F.length("url") % 4).alias("k"))
+    p = p.withColumn("attachments", F.when(F.col("k") % 2 == 1, F.array(F.struct(F.concat("url", F.lit(".png")).alias("name"))))).withColumn("image_names", F.when(F.col("k") >= 2, F.array(F.lit("old.jpg"))))
+    return R.attachment_names(p).select("url", F.array_join("names", ",").alias("names"))
+
+
 def _read_documents(spark: SparkSession, d: str) -> DataFrame:
     _documents(spark, d).select("doc").write.text(at := f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}")
     x = I.read_documents(spark, at).select(F.from_json("doc", "version int, auth struct<userId:string>").alias("d"))
@@ -163,6 +195,13 @@ QUERIES = {
     "retried_items": lambda s, d: R.retried_items(item_events(s, d)).groupBy("session_id").agg(F.count(F.lit(1)).alias("retries")),
     "session_state": lambda s, d: _state(s, d).select("session_id", "status", "transaction_id"),
     "payout_attempts": lambda s, d: _state(s, d).select("session_id", "paid_us", "method_id", "attempts", "failed"),
+    "append_retries": _retries,
+    "set_default": lambda s, d: R.set_default(payout_methods(s, d), payout_methods(s, d).where("resident % 3 = 0 AND position = 1").select("resident", "method_id")).select("method_id", "resident", "is_default"),
+    "add_methods": _add,
+    "newest_return": lambda s, d: R.newest_return(sessions(s, d)),
+    "payment_receipts": lambda s, d: R.payment_receipts(sessions(s, d), item_events(s, d), payout_methods(s, d), _state(s, d)),
+    "create_reports": _create,
+    "attachment_names": _names,
     "receipts": lambda s, d: R.receipts(sessions(s, d), item_events(s, d), payout_methods(s, d)),
     "payout_by_method": lambda s, d: R.payout_by_method(sessions(s, d), item_events(s, d), payout_methods(s, d)),
     "mask_identifier": lambda s, d: payout_methods(s, d).select("method_id", R.mask_identifier(F.col("raw"), F.col("type")).alias("masked")),
@@ -210,6 +249,13 @@ ORACLES = {
     "retried_items": f"WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS k FROM item_events) SELECT a.session_id, count(*) AS retries FROM n a JOIN n b ON a.session_id = b.session_id AND b.k = a.k + 1 AND a.type = b.type WHERE a.reason = '{REASONS[0]}' AND b.result = 'accepted' GROUP BY a.session_id",
     "session_state": f"WITH {STATE_SQL} SELECT session_id, status, CASE WHEN status = 'paid' THEN 'TXN-' || session_id END AS transaction_id FROM ss",
     "payout_attempts": f"WITH {STATE_SQL} SELECT session_id, CASE WHEN status = 'paid' THEN us END AS paid_us, CASE WHEN status = 'paid' THEN method_id END AS method_id, attempts, failed FROM ss",
+    "append_retries": f"WITH {ITEMS_SQL}, la AS (SELECT session_id, result = 'rejected' AND reason = '{REASONS[0]}' AS again FROM item_events QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, line DESC, item_id DESC, type DESC, result DESC) = 1) SELECT i.session_id, count(*) + any_value(again::INT) AS n, count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT) AS accepted, CAST(20 * (count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT)) AS BIGINT) AS cents FROM item_events i JOIN la USING (session_id) GROUP BY i.session_id",
+    "set_default": f"WITH {METHODS_SQL} SELECT method_id, resident, CASE WHEN resident % 3 = 0 THEN position = 1 ELSE is_default END AS is_default FROM payout_methods",
+    "add_methods": f"WITH {METHODS_SQL} SELECT method_id, resident, label, is_default, position FROM payout_methods WHERE resident % 6 <> 0 UNION ALL SELECT c_custkey + 10000000000, c_custkey, 'E-Wallet', c_custkey % 6 = 0, CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE 2 END FROM customer WHERE c_custkey % 3 = 0",
+    "newest_return": f"WITH {SESSIONS_SQL} SELECT resident, session_id, status FROM sessions QUALIFY row_number() OVER (PARTITION BY resident ORDER BY created_us DESC, session_id DESC) = 1",
+    "payment_receipts": f"WITH {STATE_SQL}, {METHODS_SQL}, g AS (SELECT method_id, type, regexp_replace(raw, '[^0-9]', '', 'g') AS g FROM payout_methods) SELECT ss.session_id, s.resident, CAST(coalesce(ac.n, 0) * 20 AS BIGINT) AS total_cents, 'RM' || format('{{:.2f}}', coalesce(ac.n, 0) * 20 / 100) AS total_text, coalesce(ac.n, 0) AS n_items, CASE WHEN length(g) >= 4 THEN CASE WHEN type = 'bank' THEN 'Bank account' ELSE 'E-Wallet' END || ' •••• ' || right(g, 4) ELSE 'Saved payout method' END AS method, 'TXN-' || ss.session_id AS transaction_id, strftime(make_timestamp(ss.us), '%-d %b %Y, %H:%M') AS paid_text FROM ss JOIN sessions s USING (session_id) LEFT JOIN ac USING (session_id) LEFT JOIN g USING (method_id) WHERE ss.status = 'paid'",
+    "create_reports": f"WITH {REPORTS_SQL} SELECT status, count(*) AS n, count(*) FILTER (WHERE hazardous) AS n_hazardous FROM (SELECT status, hazardous FROM reports UNION ALL SELECT 'Submitted', item_id % 2 = 0 FROM benchmark) GROUP BY status UNION ALL SELECT 'Report submitted', count(*), 0 FROM benchmark",
+    "attachment_names": "SELECT url, CASE WHEN length(url) % 2 = 1 THEN url || '.png' WHEN length(url) % 4 = 2 THEN 'old.jpg' ELSE '' END AS names FROM pages",
     "receipts": f"WITH {RECEIPTS} SELECT session_id, resident, total_cents, {MONEY} AS total_text, n_items, method, strftime(make_timestamp(created_us), '%-d %b %Y, %H:%M') AS paid_text FROM rc",
     "payout_by_method": f"WITH {RECEIPTS} SELECT method, count(*) AS n_sessions, CAST(sum(total_cents) AS BIGINT) AS total_cents, count(DISTINCT resident) AS n_residents FROM rc GROUP BY method",
     "mask_identifier": f"WITH {METHODS_SQL}, x AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS g FROM payout_methods) SELECT method_id, CASE WHEN length(g) >= 4 THEN CASE WHEN type = 'bank' THEN 'Bank account' ELSE 'E-Wallet' END || ' •••• ' || right(g, 4) END AS masked FROM x",
@@ -231,7 +277,7 @@ ORACLES = {
     "faq_categories": f"WITH {REPORTS_SQL} SELECT category, min(report_id) AS first_at FROM reports GROUP BY category UNION ALL SELECT 'All', -1",
     "locations_sorted": "SELECT s_suppkey AS location_id, s_name AS name, abs(s_acctbal) AS distance FROM supplier ORDER BY distance, name",
     "registry_audit": "WITH b AS (SELECT CAST(p_partkey AS VARCHAR) AS bundle, p_partkey % 8 AS k FROM part) SELECT bundle, unnest(CASE k WHEN 1 THEN ['checksum differs'] WHEN 2 THEN ['estimator not allowed'] WHEN 3 THEN ['fields missing: model_version'] WHEN 4 THEN ['dependencies empty'] WHEN 5 THEN ['dependency version malformed'] WHEN 6 THEN ['manifest missing', 'estimator not allowed', 'feature list differs', 'dependencies empty', 'checksum differs'] WHEN 7 THEN ['feature list differs'] ELSE [] END) AS failure FROM b",
-    "migrate_documents": "SELECT c_custkey AS key, CAST(CASE WHEN c_custkey % 4 = 3 THEN 4 ELSE 3 END AS INTEGER) AS version, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 + c_custkey % 4 END AS INTEGER) AS from_version, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS user_id, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_reports, CAST(CASE WHEN c_custkey % 4 < 3 AND c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_attachments, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 3 <> 0 END AS nearby_bin_alerts, CASE WHEN c_custkey % 4 < 3 THEN CASE WHEN c_custkey % 5 = 0 THEN 'Bottle' ELSE 'Can' END END AS next_item_type, c_custkey % 4 = 3 AS quarantined FROM customer",
+    "migrate_documents": """SELECT c_custkey AS key, CAST(CASE WHEN c_custkey % 4 = 3 THEN 4 ELSE 3 END AS INTEGER) AS version, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 + c_custkey % 4 END AS INTEGER) AS from_version, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS user_id, CAST(CASE WHEN c_custkey % 4 < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_reports, CAST(CASE WHEN c_custkey % 4 < 3 AND c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_attachments, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 3 <> 0 END AS nearby_bin_alerts, CASE WHEN c_custkey % 4 < 3 THEN CASE WHEN c_custkey % 5 = 0 THEN 'Bottle' ELSE 'Can' END END AS next_item_type, CASE WHEN c_custkey % 4 < 3 THEN CAST(c_custkey AS VARCHAR) END AS return_id, CASE WHEN c_custkey % 4 < 3 THEN CAST(c_nationkey AS VARCHAR) END AS radius, CASE WHEN c_custkey % 4 < 3 THEN CASE WHEN c_custkey % 5 = 0 THEN 'Bottle' ELSE 'Can' END END AS new_type, CASE WHEN c_custkey % 4 < 3 THEN CASE WHEN c_custkey % 2 = 0 THEN '["' || c_mktsegment || '"]' ELSE '[]' END END AS new_attachments, CASE WHEN c_custkey % 4 < 3 THEN '3' END AS new_version, c_custkey % 4 = 3 AS quarantined FROM customer""",
     "kpi_contamination": f"WITH {ITEMS_SQL} SELECT type, count(*) FILTER (WHERE result = 'rejected') AS rejected, count(*) AS inspected, round(count(*) FILTER (WHERE result = 'rejected') / count(*), 9) AS contamination FROM item_events GROUP BY type",
     "kpi_compare": f"WITH {KPIS_SQL} SELECT run, b IS NOT NULL AND p IS NOT NULL AND run % 7 <> 0 AS valid, b IS NOT NULL AND p IS NOT NULL AS complete, CASE WHEN run % 7 <> 0 THEN round(p - b, 2) END AS change, CASE WHEN run % 7 <> 0 THEN round((p - b) * 100 / nullif(abs(b), 0), 6) END AS change_pct FROM pv",
     "paired_runs": f"WITH {KPIS_SQL}, x AS (SELECT p - b AS v FROM pv WHERE p - b IS NOT NULL), y AS (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) / sqrt(count(*)) * 1.959964 AS h FROM x) SELECT n, round(m, 2) AS mean_diff, round(m - h, 2) AS low, round(m + h, 2) AS high FROM y",

@@ -46,7 +46,7 @@ def test_masking(spark):
 
 def test_audit_never_fails_open(spark):
     good = {"sha256_checksum": "aa", "estimator_class": "GBTRegressor", "feature_columns": ["a"], "model_version": "1", "dependencies": {"x": "1.2"}}
-    cases = {"good": good, "zero": good | {"sha256_checksum": "0"}, "dep": good | {"dependencies": {"x": ">=1"}}, "nodeps": good | {"dependencies": {}}, "none": None, "broken": "{"}
+    cases = {"good": good, "zero": good | {"sha256_checksum": "0"}, "dep": good | {"dependencies": {"x": ">=1"}}, "nodeps": good | {"dependencies": {}}, "none": None, "broken": "{", "null": good | {"sha256_checksum": None, "model_version": None}}
     b = spark.createDataFrame([(k, v if isinstance(v, str) or v is None else json.dumps(v), ["a"]) for k, v in cases.items()], "bundle string, manifest string, feature_list array<string>")
     a = spark.createDataFrame([(k, "aa") for k in cases], "bundle string, sha256 string")
     bad = {r.bundle for r in audit.registry_audit(b, a).collect()}
@@ -61,6 +61,9 @@ def test_migration(spark):
     (m,) = good.collect()
     assert (m.version, m.user_id, [r.attachments for r in m.reports], m.nearby_bin_alerts, m.next_item_type, m.original) == (3, "u", [[], ["x"]], False, "Can", v2)
     assert {r.key for r in bad.collect()} == {2, 3, 4}
+    whole = {"version": 1, "auth": {"userId": "u", "n": 1.5}, "reports": [{"id": "r", "attachments": None, "place": "a\"b"}, {"id": "s", "attachments": [{"name": "x"}], "rating": 3}], "settings": {"serviceAlerts": False, "failNextPayment": True, "nearbyBinAlerts": False}, "returns": [{"id": 7, "events": []}], "payoutMethods": [], "extra": {"k": [1, None, "x"]}}
+    (m,) = audit.migrate_documents(spark.createDataFrame([(1, json.dumps(whole))], "key long, doc string"))[0].collect()
+    assert json.loads(m.doc) == whole | {"version": 3, "reports": [whole["reports"][0] | {"attachments": []}, whole["reports"][1]], "settings": whole["settings"] | {"nextItemType": "Can"}}
 
 
 def test_kpi_zero_baseline(spark):
