@@ -27,3 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="fillwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -9,9 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fillwatch.operators.features import BANDS, BARRIER, HOUR, RATE_LIMIT, RESET, SECOND
+from fillwatch.operators.labels import naive_forecast, risk_level
 from fillwatch.operators.records import price_items
+from fillwatch.operators.snapshot import MAX_STALENESS
+from fillwatch.session import exists
 
-HOUR_US, LOOKBACK_US = 3_600_000_000, 9 * 3_600_000_000
+#: What a bin's state remembers of its segment for the rates.
+LOOKBACK_US = max(high for _, _, high in BANDS.values()) * SECOND
+_STATE = "waiting array<struct<us:long,fill:double>>, recent array<struct<us:long,fill:double>>, last long, reset long, cycle long"
+_READING = "bin_id string, us long, fill_pct double, cycle_id long, time_since_reset_hours double, fill_rate_1h double, fill_rate_6h double"
+
+
+def rates(recent: list[tuple[int, float]], t: int, fill: float) -> tuple[float, float]:
+    """The 1 h and 6 h rates of a reading, from the earlier ones of its segment (newest last; see add_rate_features)."""
+
+    def nearest(low: int, target: int, high: int) -> float | None:
+        near = min(((abs(t - u - target * SECOND), t - u, f) for u, f in recent if low * SECOND <= t - u <= high * SECOND), default=None)
+        return None if near is None else ((fill - near[2]) / (near[1] / HOUR) if near[1] / HOUR > 0.01 else 0.0)
+
+    one, six = nearest(*BANDS[1]), nearest(*BANDS[2])
+    if one is None:
+        u, f = recent[-1] if recent else (t, fill)
+        one = (fill - f) / ((t - u) / HOUR) if 60 * SECOND <= t - u <= 86400 * SECOND else 0.0
+    clip = lambda x: max(-RATE_LIMIT, min(RATE_LIMIT, x))
+    return clip(one), clip(one if six is None else six)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -30,34 +52,38 @@ def session_totals_stream(items: DataFrame) -> DataFrame:
     return price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("total_cents"), F.count_if(F.col("result") == "accepted").alias("accepted"), F.count(F.lit(1)).alias("n_events"))
 
 
-def reset_stream(log: DataFrame, late: str = "2 hours", drop_pct: float = 35.0) -> DataFrame:
-    """(bin_id, us, fill_pct, cycle_id, time_since_reset_hours), each reading once the watermark has passed it.
+def reset_stream(log: DataFrame, late: str = "2 hours", drop_pct: float = RESET, barrier: float = BARRIER) -> DataFrame:
+    """Each reading with its cycle, hours since the last reset and both rates, once the watermark has passed it.
 
-    State per bin: readings not yet passed, and of those emitted the last level, the last reset, the first time and the
-    cycle. Rows within the watermark may come in any order; an event-time timer emits a quiet bin's rows.
+    State per bin: readings not yet passed, and of those emitted the last nine hours of the segment (one reading at
+    least), the last reset, the first time and the cycle. Rows within the watermark may come in any order; an event-time
+    timer emits a quiet bin's rows. Readings without a level or time are left out.
     """
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, last, reset, cycle = state.get if state.exists else ([], None, None, 0)
-        waiting = list(map(tuple, waiting))
+        waiting, recent, last, reset, cycle = state.get if state.exists else ([], [], None, None, 0)
+        waiting, recent = [tuple(w) for w in waiting], [tuple(r) for r in recent]
         for b in batches:
-            waiting += list(zip(b.us.astype("int64"), b.fill_pct.astype("float64"), strict=True))
+            b = b.dropna(subset=["us", "fill_pct"])
+            waiting += list(zip(b.us.astype("int64").tolist(), b.fill_pct.astype("float64").tolist(), strict=True))
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(w for w in waiting if w[0] <= mark)
-        waiting = [w for w in waiting if w[0] > mark]
+        ready, waiting = sorted(w for w in waiting if w[0] <= mark), [w for w in waiting if w[0] > mark]
         out = []
         for t, fill in ready:
-            if last is not None and fill - last < -drop_pct:
+            if recent and fill - recent[-1][1] < -drop_pct:
                 cycle, reset = cycle + 1, t
-            reset, last = (t if reset is None else reset), fill
-            out.append((key[0], t, fill, cycle, (t - reset) / HOUR_US))
-        state.update(([x for w in waiting for x in [w]], last, reset, cycle))
+            if recent and fill - recent[-1][1] < -barrier:
+                recent = []
+            reset = t if reset is None else reset
+            out.append((key[0], t, fill, cycle, (t - reset) / HOUR, *rates(recent, t, fill)))
+            recent, last = [*(r for r in recent if t - r[0] <= LOOKBACK_US), (t, fill)], t
+        state.update((waiting, recent, last, reset, cycle))
         if waiting:
-            state.setTimeoutTimestamp(min(w[0] for w in waiting) // 1000 + 1 if min(w[0] for w in waiting) // 1000 + 1 > state.getCurrentWatermarkMs() else state.getCurrentWatermarkMs() + 1)
-        yield pd.DataFrame(out, columns=["bin_id", "us", "fill_pct", "cycle_id", "time_since_reset_hours"])
+            state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _READING.split(", ")])
 
     x = log.withWatermark("ts", late).select("bin_id", "ts", F.unix_micros("ts").alias("us"), "fill_pct")
-    return x.groupBy("bin_id").applyInPandasWithState(step, "bin_id string, us long, fill_pct double, cycle_id long, time_since_reset_hours double", "waiting array<struct<us:long,fill:double>>, last double, reset long, cycle long", "append", GroupStateTimeout.EventTimeTimeout)
+    return x.groupBy("bin_id").applyInPandasWithState(step, _READING, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 72.0) -> DataFrame:
@@ -80,14 +106,30 @@ def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 7
     return x.groupBy("bin_id").applyInPandasWithState(step, "bin_id string, last_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_upsert(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table of each bin's latest reading, one folder a batch; an epoch run again overwrites itself."""
+def snapshot_upsert(path: str, max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over reset_stream: after each batch, a snapshot of every bin seen so far, as of the newest reading.
+
+    Two folders take turns, so that the one before stays whole while a new one is written; an epoch run again
+    overwrites its own. Each row has its epoch; latest_snapshot reads the newest.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy("bin_id").agg(F.max_by(F.struct("ts", "fill_pct"), "ts").alias("r")).select("bin_id", "r.*")
-        if epoch > 0:
-            latest = latest.unionByName(spark.read.parquet(f"{path}/epoch={epoch - 1}")).groupBy("bin_id").agg(F.max_by(F.struct("ts", "fill_pct"), "ts").alias("r")).select("bin_id", "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark, keep = batch.sparkSession, ["us", "fill_pct", "fill_rate_1h", "n"]
+        rows = batch.withColumn("n", F.lit(1).cast("long")).select("bin_id", *keep)
+        before = f"{path}/turn={(epoch - 1) % 2}"
+        if exists(spark, f"{before}/_SUCCESS"):
+            rows = rows.unionByName(spark.read.parquet(before).where(F.col("epoch") < epoch).select("bin_id", *keep))
+        latest = rows.groupBy("bin_id").agg(F.max_by(F.struct("us", "fill_pct", "fill_rate_1h"), "us").alias("r"), F.sum("n").alias("n")).select("bin_id", "r.*", "n")
+        now = latest.agg(F.max("us")).scalar()
+        x = naive_forecast(latest, fallback_hours)
+        status = F.when((now - F.col("us")) / HOUR > max_staleness_hours, "stale").when(F.col("n") <= 1, "cold_start").otherwise("available")
+        out = x.select("bin_id", *keep, status.alias("status"), F.round("naive_hours", 2).alias("hours"), risk_level(F.col("naive_hours")).alias("risk_level"), F.lit(epoch).cast("long").alias("epoch"))
+        out.write.mode("overwrite").parquet(f"{path}/turn={epoch % 2}")
 
     return put
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot of the newest epoch that snapshot_upsert has written."""
+    x = spark.read.parquet(path).drop("turn")
+    return x.where(F.col("epoch") == x.agg(F.max("epoch")).scalar())

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillwatch.operators import features as X
+from fillwatch.operators.labels import naive_forecast
 from fillwatch.streaming import streams as T
 
 SCHEMA = "bin_id string, ts timestamp, fill_pct double, seq long"
@@ -34,8 +35,9 @@ def drain(spark, df, name, mode="append"):
 def test_resets(spark, parts):
     batch, path = parts
     got = drain(spark, T.reset_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path), "12 hours"), "resets").where("bin_id <> 'z'")
-    want = X.add_reset_features(batch).select("bin_id", X.us().alias("us"), "fill_pct", "cycle_id", "time_since_reset_hours")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = X.add_reset_features(X.add_rate_features(batch)).select("bin_id", X.us().alias("us"), "fill_pct", "cycle_id", "time_since_reset_hours", "fill_rate_1h", "fill_rate_6h")
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(got) == rows(want)
 
 
 def test_dedup(spark, parts):
@@ -59,14 +61,29 @@ def test_session_totals(spark, tmp_path):
     assert got == {k: (20 * sum(1 for i in range(50) if i % 5 == k and i % 3), 10) for k in range(5)}
 
 
-def test_latest_upsert(spark, parts, tmp_path):
+def test_snapshot_per_batch(spark, parts, tmp_path):
     batch, path = parts
-    put, ends = T.latest_upsert(str(tmp_path / "latest")), []
-    q = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, e: (put(b, e), ends.append(e))).start()
+    put, ends, out = T.snapshot_upsert(str(tmp_path / "latest")), [], str(tmp_path / "latest")
+
+    def each(b, epoch):
+        put(b, epoch)
+        put(b, epoch)  # a batch that is run again changes nothing
+        ends.append(epoch)
+
+    log = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    q = T.reset_stream(log, "12 hours").writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(each).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.bin_id: r.ts for r in spark.read.parquet(f"{tmp_path}/latest/epoch={max(ends)}").collect()}
-    want = {r.bin_id: r.ts for r in batch.groupBy("bin_id").agg(F.max("ts").alias("ts")).collect()}
-    assert {k: got[k] for k in want} == want
+    got = {r.bin_id: r for r in T.latest_snapshot(spark, out).collect()}
+    want = {r.bin_id: r for r in naive_forecast(X.latest_per_bin(X.add_rate_features(batch)), 168.0).collect()}
+    n = {r.bin_id: r["count"] for r in batch.groupBy("bin_id").count().collect()}
+    assert len(ends) > 2 and set(got) == set(want)
+    assert {k: (r.n, r.status, r.hours) for k, r in got.items()} == {k: (n[k], "available", round(r.naive_hours, 2)) for k, r in want.items()}
+
+
+def test_first_epoch_may_be_any(spark, tmp_path):
+    b = spark.createDataFrame([("a", 5, 80.0, 10.0)], "bin_id string, us long, fill_pct double, fill_rate_1h double")
+    T.snapshot_upsert(str(tmp_path / "s"))(b, 7)
+    assert [(r.bin_id, r.status, r.hours, r.epoch) for r in T.latest_snapshot(spark, str(tmp_path / "s")).collect()] == [("a", "cold_start", 1.0, 7)]
