@@ -14,7 +14,8 @@ from fillwatch.operators.labels import evaluate, leaks_label, naive_forecast, se
 #: Full sizes; the forest needs several GB of driver memory at these.
 FOREST = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, "seed": 42}
 BOOSTED = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
-ORDER = ["forest", "boosted", "linear", "naive"]
+#: Of what is fitted, what may be selected, ties to the first.
+ORDER = ["forest", "boosted"]
 
 
 def fit(train: DataFrame, kind: str, label: str = "time_to_overflow_hours", **params) -> PipelineModel:  # noqa: ANN003
@@ -32,8 +33,8 @@ def fit(train: DataFrame, kind: str, label: str = "time_to_overflow_hours", **pa
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Batch scoring; predicted hours are at least 0."""
-    return model.transform(df).withColumn("predicted_hours", F.greatest(F.lit(0.0), F.col("predicted_hours"))).drop("features")
+    """Batch scoring: predicted hours as the model gives them; snapshot() turns negative ones into model_error."""
+    return model.transform(df).drop("features")
 
 
 def scorer(model: PipelineModel):  # noqa: ANN201
@@ -42,7 +43,7 @@ def scorer(model: PipelineModel):  # noqa: ANN201
 
 
 def train_and_compare(labeled: DataFrame, val_from: str, test_from: str, params: dict[str, dict] | None = None) -> tuple[DataFrame, str, dict[str, PipelineModel]]:
-    """Fit on purged train, select on purged val, report on untouched test: (metrics, selected name, models).
+    """Fit on purged train, select forest or boosted on purged val, report on untouched test: (metrics, selected name, models).
 
     labeled needs `split` (chronological_split). All predictions go through one long table and one aggregate.
     """

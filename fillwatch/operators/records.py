@@ -194,6 +194,11 @@ def activity_feed(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("resident").orderBy(F.desc("created_us"), "kind", "ref_id")).cast("long"))
 
 
+def by_status(reports: DataFrame, status: str) -> DataFrame:
+    """Reports of a status; "All" is any."""
+    return reports if status == "All" else reports.where(F.col("status") == status)
+
+
 def flag_hazards(reports: DataFrame) -> DataFrame:
     return reports.withColumn("hazardous", F.col("hazardous") | F.col("category").isin(*HAZARDS))
 

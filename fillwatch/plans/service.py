@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fillwatch.operators import audit, kpi, models
 from fillwatch.operators import records as R
 from fillwatch.operators.labels import chronological_split
+from fillwatch.plans import telemetry
 from fillwatch.plans.telemetry import labeled
 from fillwatch.session import shared_dir
 from fillwatch.sources import readers as I
@@ -105,6 +106,11 @@ def _comparison(spark: SparkSession, d: str) -> DataFrame:
     return models.train_and_compare(x, VAL_FROM, TEST_FROM, small)[0]
 
 
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    x = chronological_split(labeled(spark, d), VAL_FROM, TEST_FROM)
+    return models.manifest(x, telemetry.QUERIES["eval_metrics"](spark, d), "naive", VAL_FROM, TEST_FROM).select("model_version", "estimator", "val_from", "test_from", "threshold", "counts", F.size("feature_columns").alias("n_features"))
+
+
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     x = chronological_split(labeled(spark, d), VAL_FROM, TEST_FROM).where("split = 'train'")
     return models.feature_importance(models.fit(x, "forest", numTrees=20, maxDepth=5), spark)
@@ -195,6 +201,7 @@ QUERIES = {
     "retried_items": lambda s, d: R.retried_items(item_events(s, d)).groupBy("session_id").agg(F.count(F.lit(1)).alias("retries")),
     "session_state": lambda s, d: _state(s, d).select("session_id", "status", "transaction_id"),
     "payout_attempts": lambda s, d: _state(s, d).select("session_id", "paid_us", "method_id", "attempts", "failed"),
+    "model_manifest": _manifest,
     "append_retries": _retries,
     "set_default": lambda s, d: R.set_default(payout_methods(s, d), payout_methods(s, d).where("resident % 3 = 0 AND position = 1").select("resident", "method_id")).select("method_id", "resident", "is_default"),
     "add_methods": _add,
@@ -210,7 +217,7 @@ QUERIES = {
     "recent_returns": lambda s, d: R.recent_returns(sessions(s, d)),
     "payout_notifications": lambda s, d: R.unread_count(R.mark_read(R.payout_notifications(_state(s, d), R.session_totals(sessions(s, d), item_events(s, d))), sessions(s, d).where("session_id % 3 = 0").select("session_id"), "session_id")),
     "report_notifications": lambda s, d: R.mark_read(R.report_notifications(reports(s, d)), reports(s, d).where("report_id % 4 = 1").select("report_id"), "report_id").select("report_id", "title", "detail", "read"),
-    "reports_by_status": lambda s, d: reports(s, d).where(F.col("status") == STATUSES[1]).select("report_id", "category", "created_us"),
+    "reports_by_status": lambda s, d: R.by_status(reports(s, d), STATUSES[1]).select("report_id", "category", "created_us"),
     "report_validation": lambda s, d: R.validate_reports(R.flag_hazards(reports(s, d))).select("report_id", F.array_join("reasons", ";").alias("reasons"), "hazardous"),
     "report_state": lambda s, d: R.report_state(report_actions(s, d)),
     "status_track": lambda s, d: R.status_track(reports(s, d)),
@@ -249,6 +256,7 @@ ORACLES = {
     "retried_items": f"WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS k FROM item_events) SELECT a.session_id, count(*) AS retries FROM n a JOIN n b ON a.session_id = b.session_id AND b.k = a.k + 1 AND a.type = b.type WHERE a.reason = '{REASONS[0]}' AND b.result = 'accepted' GROUP BY a.session_id",
     "session_state": f"WITH {STATE_SQL} SELECT session_id, status, CASE WHEN status = 'paid' THEN 'TXN-' || session_id END AS transaction_id FROM ss",
     "payout_attempts": f"WITH {STATE_SQL} SELECT session_id, CASE WHEN status = 'paid' THEN us END AS paid_us, CASE WHEN status = 'paid' THEN method_id END AS method_id, attempts, failed FROM ss",
+    "model_manifest": f"""WITH {telemetry.LABELS}, c AS (SELECT split, count(*) AS n, count(*) FILTER (WHERE {telemetry.LEAK}) AS p FROM lab GROUP BY split) SELECT '1' AS model_version, 'naive' AS estimator, '{VAL_FROM}' AS val_from, '{TEST_FROM}' AS test_from, 90.0::DOUBLE AS threshold, '[' || string_agg('{{"split":"' || split || '","n_raw":' || n || ',"n_purged":' || p || '}}', ',' ORDER BY split) || ']' AS counts, 10 AS n_features FROM c""",
     "append_retries": f"WITH {ITEMS_SQL}, la AS (SELECT session_id, result = 'rejected' AND reason = '{REASONS[0]}' AS again FROM item_events QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, line DESC, item_id DESC, type DESC, result DESC) = 1) SELECT i.session_id, count(*) + any_value(again::INT) AS n, count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT) AS accepted, CAST(20 * (count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT)) AS BIGINT) AS cents FROM item_events i JOIN la USING (session_id) GROUP BY i.session_id",
     "set_default": f"WITH {METHODS_SQL} SELECT method_id, resident, CASE WHEN resident % 3 = 0 THEN position = 1 ELSE is_default END AS is_default FROM payout_methods",
     "add_methods": f"WITH {METHODS_SQL} SELECT method_id, resident, label, is_default, position FROM payout_methods WHERE resident % 6 <> 0 UNION ALL SELECT c_custkey + 10000000000, c_custkey, 'E-Wallet', c_custkey % 6 = 0, CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE 2 END FROM customer WHERE c_custkey % 3 = 0",

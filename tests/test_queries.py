@@ -1,10 +1,13 @@
 """Every registered query that has SQL gives the SQL's rows on the smallest tables."""
 
+import builtins
 import os
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from fillwatch.operators.features import FEATURES
 from fillwatch.plans import service, telemetry
 from tests.sql_compare import assert_same, duck
 
@@ -35,6 +38,25 @@ def test_entry(spark):
     assert {"bin_id", "status", "hours", "risk_level"} <= set(df.columns)
 
 
-def test_models_have_rows(spark):
-    n = {r.split: r["count"] for r in PY["model_comparison"](spark, SF).groupBy("split").count().collect()}
-    assert all(v <= 4 for v in n.values())
+def test_model_comparison(spark):
+    rows = PY["model_comparison"](spark, SF).collect()
+    assert {r.model for r in rows} == {"linear", "forest", "boosted", "naive"} and {r.split for r in rows} <= {"val", "test"}
+    assert all(r.n_rows > 0 and 0 <= r.risk_accuracy <= 1 and r.mae_hours <= r.rmse_hours for r in rows)
+    top = PY["feature_importance"](spark, SF).collect()
+    assert {r.feature for r in top} == set(FEATURES) and abs(sum(r.importance for r in top) - 1) < 1e-9
+
+
+def test_entry_hides_no_missing_module(monkeypatch):
+    """A missing corpus part is left out; anything else that can't be imported is an error."""
+    pytest.importorskip("fillwatch.llm")
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
