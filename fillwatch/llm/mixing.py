@@ -33,15 +33,15 @@ def fill(children: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
 
     The closed form of repeated redistribution: with children in order of cap/weight, one is full as long as its
     proportional part of what is left reaches its cap; the rest share what then remains. Shortages thus go to siblings;
-    an ancestor sees them only through the parent's own cap.
+    an ancestor sees them only through the parent's own cap. Children of weight 0 get nothing, nor do they count to it.
     """
-    w = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), *order)
+    w = Window.partitionBy(*parent).orderBy(F.coalesce(F.try_divide(F.col("cap"), F.col("weight")), F.lit(float("inf"))), *order)
     before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parent)
     x = children.withColumn("b", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     x = x.withColumn("ww", F.sum("weight").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    x = x.withColumn("full", F.col("cap") * F.col("ww") <= F.col("weight") * F.col("b"))
+    x = x.withColumn("full", (F.col("weight") > 0) & (F.col("cap") * F.col("ww") <= F.col("weight") * F.col("b")))
     x = x.withColumn("bb", F.max(F.when(~F.col("full"), F.struct(F.col("ww"), F.col("b")))).over(whole))
-    return x.withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("bb.b") / F.col("bb.ww"))).drop("b", "ww", "full", "bb")
+    return x.withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(F.coalesce(F.try_divide(F.col("weight") * F.col("bb.b"), F.col("bb.ww")), F.lit(0.0)))).drop("b", "ww", "full", "bb")
 
 
 def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
@@ -49,7 +49,7 @@ def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
     L = ["domain", "lang", "source"]
     x = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
     langs = x.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    doms = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
+    doms = langs.groupBy("domain").agg(F.sum(F.when(_weight(LANG_WEIGHTS, "lang") > 0, F.col("cap")).otherwise(0.0)).alias("cap"))
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share
     doms = fill(doms.withColumn("budget", F.lit(float(total))).withColumn("weight", _weight(DOMAIN_WEIGHTS, "domain")).withColumn("all", F.lit(1)), ["all"], ["domain"])
     langs = langs.join(doms.select(F.col("domain").alias("d"), F.col("got").alias("budget")), F.col("domain").eqNullSafe(F.col("d"))).drop("d")

@@ -546,6 +546,12 @@ def plain_lines(rows, least):
     return {i: "\n".join(x for x in (t or "").split("\n") if not (x.strip(" ") in gone and i > first[x.strip(" ")])) for i, t, _ in rows}
 
 
+def test_weight_zero_gets_nothing(spark):
+    rows = [("p", "a", 10.0, 1.0, 100.0), ("p", "b", 500.0, 0.0, 100.0), ("p", "c", 500.0, 3.0, 100.0), ("q", "d", 5.0, 0.0, 9.0), ("r", "e", 5.0, 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "parent string, child string, cap double, weight double, budget double")
+    assert {r.child: r.got for r in mixing.fill(df, ["parent"], ["child"]).collect()} == {"a": 10.0, "b": 0.0, "c": 90.0, "d": 0.0, "e": 5.0}
+
+
 @have_data
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_pipeline_stages_equal_brute_force(spark, sf, tmp_path):
