@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from fillwatch.llm.substrings import Hashes, mix
 #: Words of a shingle; similarity of a near copy, 4 / 5; bands and rows of the signature: a pair at 0.8 shares none with a chance of 1.2e-7.
 SHINGLE, PART, WHOLE, BANDS, ROWS = 5, 4, 5, 40, 5
 
+#: Members, and shingles, of a bucket that one task compares with each other or with as many more.
+TILE, TILE_SHINGLES = 128, 1 << 20
+
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -84,12 +88,72 @@ def verify(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), "verified")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """How many elements each set of a shares with each of b: products of 0/1 matrices, `width` distinct elements at a time."""
+    sizes = [len(x) for x in (*a, *b)]
+    value, row = np.concatenate([*a, *b]), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(value, kind="stable")
+    column = np.cumsum(np.r_[0, value[order][1:] != value[order][:-1]])
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, int(column[-1]) + 1, width):
+        part = slice(*np.searchsorted(column, (k, k + width)))
+        x = np.zeros((len(sizes), width), np.float32)
+        x[row[order][part], column[part] - k] = 1
+        out += x[: len(a)] @ x[len(a) :].T
+    return out
+
+
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Near copies between two tiles of a bucket (or within one), as stars on the least key of each local component."""
+    i, j = pdf.i.iloc[0], pdf.j.iloc[0]
+    left, right = pdf[pdf["sub"] == i], pdf[pdf["sub"] == j]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    a, b = ([np.asarray(h, np.int64) for h in x.h] for x in (left, right))
+    both = overlaps(a, b)
+    u, v = np.nonzero(WHOLE * both >= PART * (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both))
+    ids, at = np.unique(np.r_[left.k.to_numpy(np.int64), right.k.to_numpy(np.int64)], return_inverse=True)
+    u, v, low = at[u], at[len(a) + v], np.arange(len(ids))
+    while len(u):
+        was = low.copy()
+        np.minimum.at(low, u, low[v])
+        np.minimum.at(low, v, low[u])
+        if (was == low).all():
+            break
+    linked = np.flatnonzero(low != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[low[linked]], "b": ids[linked]})
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, t in zip(batch.column(0), batch.column(1), strict=True):
+            h = shingles(t.as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([h], pa.list_(pa.int64()))], names=["k", "n", "h"])
+
+
+def within_buckets(placed: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """Links (a, b) that give the components of all near copies among the members (band, k) of each bucket.
+
+    Buckets are cut into tiles, and each pair of tiles is compared in one task: no pair of members is ever a row.
+    """
+    wanted = placed.select(F.col("k").alias("_key")).distinct()
+    texts = rows.join(sized(wanted), "_key", "left_semi").groupBy("_key").agg(F.min(text_col).cast("binary").alias("t"))
+    sets = materialise(texts.mapInArrow(_sets, "k long, n long, h array<long>"), "sets")
+    weighed = placed.select("band", "k").hint("merge").join(sets.select("k", "n"), "k")
+    subs = weighed.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("subs"))
+    x = placed.select("band", "k").hint("merge").join(subs, "band").withColumn("sub", F.pmod(F.xxhash64("k"), F.col("subs")).cast("int"))
+    x = x.select("band", "k", "sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("other"))
+    x = x.select("band", "k", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
+    x = x.hint("merge").join(sets.select("k", "h"), "k")
+    return materialise(x.groupBy("band", "i", "j").applyInPandas(_tile_links, "a long, b long").distinct(), "within")
+
+
 def links(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) between keys that give the components of all near copies that share a ball or a band.
 
     Fingerprints in a common ball are compared first. Of each band's bucket, members that this left apart are compared
-    with the least key, then all pairs that are in different components still: a large group of near copies costs one
-    comparison a member and bucket.
+    with the least key: a large group of near copies costs one comparison a member and bucket. Buckets that are in several
+    components still are compared in full, tile by tile.
     """
     distinct = materialise(rows.where("_key IS NOT NULL").groupBy(F.col("_key").alias("k")).agg(F.first("_fp").alias("fp"), F.first("_bands").alias("x")), "distinct")
     rep = materialise(distinct.groupBy("fp").agg(F.min("k").alias("a")), "reps")
@@ -108,10 +172,7 @@ def links(rows: DataFrame, text_col: str = "text") -> DataFrame:
     placed = found.select("band", "k").hint("merge").join(labels, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("component", "k").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
     placed = materialise(placed.hint("merge").join(mixed, "band", "left_semi"), "placed")
-    other = placed.select("band", F.col("k").alias("b"), F.col("c").alias("d"))
-    rest = placed.hint("merge").join(other, "band").where("k < b AND c <> d").select(F.col("k").alias("a"), "b").distinct()
-    rest = materialise(rest.hint("merge").join(stars.union(balls), ["a", "b"], "left_anti"), "rest")
-    return good.union(verify(rest, rows, text_col)) if rest.limit(1).count() else good
+    return good.union(within_buckets(placed, rows, text_col)) if placed.limit(1).count() else good
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

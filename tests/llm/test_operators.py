@@ -614,7 +614,16 @@ def plain_near_copies(texts):
     return {min(s) for s in comp.values()}
 
 
-def test_near_copies_equal_brute_force(spark):
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40))) for _ in range(30)]
+    got = nearcopies.overlaps(sets[:12], sets[12:], width=7)
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]).all()
+
+
+@pytest.mark.parametrize("tile", [128, 5])
+def test_near_copies_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(nearcopies, "TILE", tile)
     rng = random.Random(12)
     texts = [prose(rng, rng.choice([30, 80, 300])) for _ in range(25)] + ["", None, " \n", "one two", "One  TWO", "one"]
     for t in texts[:25] * 3:  # around the bound: a changed word takes up to five shingles
