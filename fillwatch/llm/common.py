@@ -13,6 +13,18 @@ from fillwatch.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: crc_.tab, the table of crc32 by its bits, as common table expressions of a recursive query; DuckDB has no such function.
+CRC_SQL = r"""
+ bits_(i, v, k) AS (SELECT i, i, 0 FROM range(256) AS r(i) UNION ALL SELECT i, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits_ WHERE k < 8),
+ crc_(tab) AS (SELECT list(v ORDER BY i) FROM bits_ WHERE k = 8),
+"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII text in SQL, where crc_ is joined."""
+    return f"xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split({text}, '')]), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
 #: Drops the shuffle files of a finished write, whose result stands in the shared folder.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fillwatch.llm import chat, decontam, embeddings, licenses, linededup, mixing, quality, simhash, substrings, toxicity
+from fillwatch.llm import chat, decontam, embeddings, licenses, linededup, mixing, periods, quality, simhash, substrings, tokenfiles, toxicity, turns
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_line_dedup": linededup.query,
     "op10_mix": mixing.query,
+    "op11_token_files": tokenfiles.query,
+    "op12_turn_repair": turns.query,
+    "op13_periodic_runs": periods.query,
 }
 
-ORACLES = {"op1_decontaminate": decontam.ORACLE, "op3_embedding_dedup": embeddings.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_chat_format": chat.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLES = {"op1_decontaminate": decontam.ORACLE, "op3_embedding_dedup": embeddings.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_chat_format": chat.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE, "op12_turn_repair": turns.ORACLE, "op13_periodic_runs": periods.ORACLE}
