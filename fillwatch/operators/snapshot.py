@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillwatch.operators.features import HOUR, build_feature_table, latest_per_bin, us
+from fillwatch.operators.features import BY, FEATURES, HOUR, build_feature_table, dedup_last, us
 from fillwatch.operators.labels import THRESHOLD, naive_forecast, risk_level
 
 HORIZONS, SUPPORTED, MAX_STALENESS = (6, 24, 48, 168), (90.0,), 72.0
@@ -56,82 +56,98 @@ def naive(fallback_hours: float = 168.0) -> Scorer:
     return lambda latest: naive_forecast(latest, fallback_hours).withColumnRenamed("naive_hours", "hours")
 
 
-def snapshot(log: DataFrame, decision_at: str, bins: DataFrame | list[str] | None = None, threshold: float = THRESHOLD, max_staleness_hours: float = MAX_STALENESS, available_after: str | None = None, scorer: Scorer | None = None, snapshot_id: str | None = None, model_version: str = "naive", model_sha256: str | None = None) -> DataFrame:
-    """One row per configured bin. The filter comes before any window, so later rows can't change the result.
+def known_pairs(log: DataFrame, decisions: list[str]) -> DataFrame:
+    """What was known of each bin at each decision time: its counts so far and its newest reading with all features.
 
-    Status, first match: model_unavailable, unavailable, unsupported_threshold, missing_required_columns, model_error,
-    low_confidence, cold_start, available; of the last three, those older than max_staleness_hours turn stale and keep
-    their prediction. Without any bin there is one row with a null id (invalid_input, or model_unavailable).
+    One scan and one exchange, by bin, whatever the number of decisions. A reading becomes visible at the later of its own
+    and its receipt's time; it is late for the decisions between the two. A bin without late readings at a decision needs
+    no features of its own there: features look back only, so the newest reading's are those of the whole log. Only for
+    decisions at which a bin has late readings are the bin's visible ones copied and computed apart, in the same
+    partition. Without a level or a time in the log there are no features.
     """
-    at = instant(decision_at)
-    spark, columns = log.sparkSession, set(log.columns)
-    seen = known_at(log, at)
-    gone = F.lit(False) if available_after is None else at < instant(available_after)
-    if available_after is not None and spark.range(1).select(gone.alias("x")).first()[0]:
-        wanted, gated = resolve_bins(bins, log), True
-    else:
-        wanted, gated = resolve_bins(bins, seen), False
-    usable = {"fill_pct", "ts"} <= columns
-    per_bin = seen.groupBy(F.col("bin_id").alias("b")).agg(
-        F.count(F.lit(1)).alias("n_raw"), F.min(F.coalesce(F.col("confidence_flag") == 0, F.lit(False)) if "confidence_flag" in columns else F.lit(False)).alias("all_low"),
-        F.min_by("waste_type", F.when(F.col("waste_type").isNotNull(), F.struct("ts", "seq"))).alias("waste_type") if "waste_type" in columns else F.lit(None).cast("string").alias("waste_type"),
-        F.max_by(F.struct("ts", F.col("fill_pct").alias("fill") if usable else F.lit(None).cast("double").alias("fill")), F.struct("ts", "seq")).alias("last"),
-    )
-    out = wanted.join(per_bin, F.col("bin_id") == F.col("b"), "left").drop("b")
-    if usable and not gated:
-        latest = (scorer or naive())(latest_per_bin(build_feature_table(seen)))
-        flag = F.col("confidence_flag").cast("int") if "confidence_flag" in columns else F.lit(1)
-        latest = latest.select(F.col("bin_id").alias("b"), "ts", "fill_pct", "fill_rate_1h", "hours", flag.alias("flag"))
-        out = out.join(latest, F.col("bin_id") == F.col("b"), "left").drop("b")
+    columns, usable = set(log.columns), {"fill_pct", "ts"} <= set(log.columns)
+    marks = F.array(*[F.unix_micros(instant(d)) for d in decisions])
+    x = log.where("bin_id IS NOT NULL").withColumns({"bin_id": F.col("bin_id").cast("string"), "_us": us() if "ts" in columns else F.lit(0).cast("long")})
+    x = x.withColumn("_seen_us", F.when(F.col("received_at").isNotNull(), F.greatest("_us", us("received_at"))) if "received_at" in columns else F.col("_us"))
+    x = x.where(F.col("_seen_us") <= F.array_max(marks))  # before any window: no decision sees the rest
+    if "received_at" in columns and len(decisions) > 1:
+        late = F.filter(marks, lambda d: (F.col("_us") <= d) & (d < F.col("_seen_us")))
+        x = x.withColumn("_late", F.array_distinct(F.flatten(F.collect_set(late).over(Window.partitionBy("bin_id")))))
+        x = x.withColumn("_at", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.filter("_late", lambda d: F.col("_seen_us") <= d))))
+        by = ("bin_id", "_at")
     else:
-        out = out.select("*", F.col("last.ts").alias("ts"), F.lit(None).cast("double").alias("fill_pct"), F.lit(None).cast("double").alias("fill_rate_1h"), F.lit(None).cast("double").alias("hours"), F.lit(None).cast("int").alias("flag"))
+        x, by = x.withColumns({"_late": F.array().cast("array<bigint>"), "_at": F.lit(None).cast("long")}), BY
+    order = Window.partitionBy(*by).orderBy("_us", "seq")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    low = F.coalesce(F.col("confidence_flag") == 0, F.lit(False)) if "confidence_flag" in columns else F.lit(False)
+    x = x.withColumns({"n_raw": F.count(F.lit(1)).over(run), "all_low": F.min(low).over(run), "_until": F.lead("_us").over(order), "first_waste": F.first("waste_type", ignorenulls=True).over(run) if "waste_type" in columns else F.lit(None).cast("string")})
+    x = build_feature_table(x, by) if usable else dedup_last(x, by).withColumns({c: F.lit(None).cast("double") for c in FEATURES if c not in columns})
+    mine = F.when(F.col("_at").isNotNull(), F.when(F.col("_until").isNull(), F.array("_at")))
+    mine = mine.otherwise(F.filter(marks, lambda d: (F.col("_us") <= d) & (F.col("_until").isNull() | (d < F.col("_until"))) & ~F.array_contains("_late", d)))
+    flag = F.col("confidence_flag").cast("int") if "confidence_flag" in columns else F.lit(1)
+    keep = [F.col(c) for c in ("n_raw", "all_low", "first_waste")]
+    return x.select("bin_id", F.explode(mine).alias("decision_us"), F.col("ts") if "ts" in columns else F.lit(None).cast("timestamp").alias("ts"), *keep, (flag if usable else F.lit(None).cast("int")).alias("flag"), *FEATURES)
+
+
+def _forecasts(log: DataFrame, decisions: list[str], wanted: DataFrame | None, threshold: float, max_staleness_hours: float, available_after: str | None, scorer: Scorer | None, snapshot_id: str | None, model_version: str, model_sha256: str | None) -> DataFrame:
+    """Every wanted bin (None: those known) at every decision time, with its status and forecast."""
+    usable = {"fill_pct", "ts"} <= set(log.columns)
+    known = known_pairs(log, decisions)
+    known = (scorer or naive())(known) if usable else known.withColumn("hours", F.lit(None).cast("double"))
+    out = known
+    if wanted is not None:
+        pairs = wanted.select("bin_id", F.explode(F.array(*[F.unix_micros(instant(d)) for d in decisions])).alias("decision_us"))
+        out = pairs.hint("merge").join(known, ["bin_id", "decision_us"], "left")
     finite = F.col("hours").isNotNull() & ~F.isnan("hours") & (F.abs("hours") != float("inf")) & (F.col("hours") >= 0)
+    early = F.lit(False) if available_after is None else F.col("decision_us") < F.unix_micros(instant(available_after))
     status = (
-        F.when(F.lit(gated), "model_unavailable").when(F.col("n_raw").isNull(), "unavailable").when(~F.lit(threshold).isin(*SUPPORTED), "unsupported_threshold").when(F.lit(not usable), "missing_required_columns")
+        F.when(early, "model_unavailable").when(F.col("n_raw").isNull(), "unavailable").when(~F.lit(threshold).isin(*SUPPORTED), "unsupported_threshold").when(F.lit(not usable), "missing_required_columns")
         .when(~finite, "model_error").when(F.col("all_low"), "low_confidence").when(F.col("n_raw") <= 1, "cold_start").otherwise("available")
     )
-    age = (F.unix_micros(at) - us()) / HOUR
+    age = (F.col("decision_us") - us()) / HOUR
     out = out.withColumn("_s", status).withColumn("_kept", F.col("_s").isin("low_confidence", "cold_start", "available")).withColumn("_old", F.col("_kept") & (age > max_staleness_hours))
+    # beside the rounded level below, a lambda's `fill_pct` would be taken for it
+    out = out.withColumn("_horizons", by_horizon(horizons(F.col("fill_pct"), F.col("fill_rate_1h"))))
     reason = F.when(F.col("_s") == "model_unavailable", F.lit(f"decision before {available_after}")).when(F.col("_s") == "unsupported_threshold", F.lit(f"threshold {threshold} is not supported")).when(F.col("_old"), F.format_string(f"latest reading is %.1f h old (at most {max_staleness_hours})", age))
     kept = lambda c: F.when(F.col("_kept"), c)
-    level = F.when(F.col("_s") == "unsupported_threshold", F.col("last.fill")).when(F.col("_kept") | (F.col("_s") == "model_error"), F.round("fill_pct", 1))
+    seen = lambda c: F.when(~F.col("_s").isin("unavailable", "model_unavailable"), c)
+    level = F.when(F.col("_s") == "unsupported_threshold", F.col("fill_pct")).when(F.col("_kept") | (F.col("_s") == "model_error"), F.round("fill_pct", 1))
     return out.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), "bin_id", F.when(F.col("_s").isin("unavailable", "model_unavailable"), F.lit(None).cast("timestamp")).otherwise(F.coalesce("ts", "last.ts")).alias("timestamp"),
-        F.when(F.col("_old"), "stale").otherwise(F.col("_s")).alias("status"), reason.alias("reason"), kept(F.round("hours", 2)).alias("time_to_service_threshold_hours"), kept(risk_level(F.col("hours"))).alias("risk_level"),
-        level.alias("fill_pct"), F.when(F.col("_s").isin("unavailable", "model_unavailable"), 0).otherwise(F.coalesce("flag", F.lit(0))).alias("confidence_flag"), F.lit(threshold).alias("target_threshold_pct"), F.lit(ESTIMATE).alias("estimate_type"),
-        F.lit(model_version).alias("model_version"), F.lit(model_sha256).cast("string").alias("model_sha256"), F.when(F.col("_s").isin("unavailable", "model_unavailable"), F.lit(None).cast("string")).otherwise(F.col("waste_type")).alias("waste_type"),
-        F.lit(False).alias("waste_type_used_as_feature"), at.alias("decision_at"), F.lit(snapshot_id).cast("string").alias("input_snapshot_id"),
-        kept(by_horizon(horizons(F.col("fill_pct"), F.col("fill_rate_1h")))).alias("horizons"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), "bin_id", seen(F.col("ts")).alias("timestamp"), F.when(F.col("_old"), "stale").otherwise(F.col("_s")).alias("status"), reason.alias("reason"),
+        kept(F.round("hours", 2)).alias("time_to_service_threshold_hours"), kept(risk_level(F.col("hours"))).alias("risk_level"), level.alias("fill_pct"), F.coalesce(seen(F.col("flag")), F.lit(0)).alias("confidence_flag"),
+        F.lit(threshold).alias("target_threshold_pct"), F.lit(ESTIMATE).alias("estimate_type"), F.lit(model_version).alias("model_version"), F.lit(model_sha256).cast("string").alias("model_sha256"), seen(F.col("first_waste")).alias("waste_type"),
+        F.lit(False).alias("waste_type_used_as_feature"), F.timestamp_micros("decision_us").alias("decision_at"), F.lit(snapshot_id).cast("string").alias("input_snapshot_id"), kept(F.col("_horizons")).alias("horizons"),
     )
 
 
-def snapshot_or_none(log: DataFrame, decision_at: str, **options) -> DataFrame:  # noqa: ANN003
-    """snapshot(), with the single null-id row where there is no bin at all."""
-    out = snapshot(log, decision_at, **options)
-    empty = log.sparkSession.range(1).select(F.lit("invalid_input").alias("_status"))
-    none = empty.join(out.select(F.lit(1).alias("one")).limit(1), how="left_anti", on=F.lit(True))
+def snapshot(log: DataFrame, decision_at: str, bins: DataFrame | list[str] | None = None, threshold: float = THRESHOLD, max_staleness_hours: float = MAX_STALENESS, available_after: str | None = None, scorer: Scorer | None = None, snapshot_id: str | None = None, model_version: str = "naive", model_sha256: str | None = None) -> DataFrame:
+    """One row per configured bin. The filter comes before any window, so later rows can't change the result.
+
+    Status, first match: model_unavailable, unavailable, unsupported_threshold, missing_required_columns, model_error,
+    low_confidence, cold_start, available; of the last three, those older than max_staleness_hours turn stale and keep
+    their prediction. Without any bin there is one row with a null id from snapshot_or_none (invalid_input). Counts,
+    flags and features come from the same windows: one exchange of the log.
+    """
+    gated = available_after is not None and log.sparkSession.range(1).select((instant(decision_at) < instant(available_after)).alias("x")).first()[0]
+    wanted = resolve_bins(bins, log) if bins is not None or gated else None
+    return _forecasts(log, [decision_at], wanted, threshold, max_staleness_hours, available_after, scorer, snapshot_id, model_version, model_sha256)
+
+
+def _or_none(out: DataFrame, bins: DataFrame) -> DataFrame:
+    """With a single row of a null id and status invalid_input where there is no bin."""
+    empty = out.sparkSession.range(1).select(F.lit("invalid_input").alias("_status"))
+    none = empty.join(bins.select(F.lit(1).alias("one")).limit(1), how="left_anti", on=F.lit(True))
     cols = [F.col("_status").alias(f.name) if f.name == "status" else F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema]
     return out.unionByName(none.select(*cols))
 
 
-def snapshot_grid(log: DataFrame, decisions: list[str], bins: DataFrame | list[str] | None = None, max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0, available_after: str | None = None) -> DataFrame:
-    """Forecasts of every configured bin at several decision times in one plan: the log once per decision, each key with its decision.
+def snapshot_or_none(log: DataFrame, decision_at: str, **options) -> DataFrame:  # noqa: ANN003
+    """snapshot(), with the single null-id row where there is no bin at all."""
+    there = resolve_bins(options.get("bins"), known_at(log, instant(decision_at)))
+    return _or_none(snapshot(log, decision_at, **options), there)
 
-    With late receipts a reading known at one decision may be unknown at an earlier one, so features are computed for
-    each decision; the number of decisions bounds the work. Statuses are snapshot()'s: model_unavailable before
-    available_after, unavailable without readings, else stale, low_confidence, cold_start or available.
-    """
-    rows = log.withColumn("decision_at", F.explode(F.array(*map(instant, decisions)))).where(F.col("ts") <= F.col("decision_at"))
-    rows = rows.where(F.col("received_at") <= F.col("decision_at")) if "received_at" in log.columns else rows
-    rows = rows.withColumn("bin_id", F.concat_ws("@", "bin_id", F.unix_micros("decision_at")))
-    low = F.coalesce(F.col("confidence_flag") == 0, F.lit(False)) if "confidence_flag" in log.columns else F.lit(False)
-    n = rows.groupBy(F.col("bin_id").alias("b")).agg(F.count(F.lit(1)).alias("n_raw"), F.min(low).alias("all_low"))
-    latest = naive_forecast(latest_per_bin(build_feature_table(rows)), fallback_hours).select("bin_id", "ts", "fill_pct", "naive_hours")
-    known = n.join(latest, F.col("bin_id") == F.col("b")).drop("bin_id")
-    wanted = resolve_bins(bins, log).withColumn("decision_at", F.explode(F.array(*map(instant, decisions)))).withColumn("key", F.concat_ws("@", "bin_id", F.unix_micros("decision_at")))
-    out = wanted.hint("merge").join(known, F.col("key") == F.col("b"), "left")
-    old = (F.unix_micros("decision_at") - us()) / HOUR > max_staleness_hours
-    early = F.lit(False) if available_after is None else F.col("decision_at") < instant(available_after)
-    status = F.when(early, "model_unavailable").when(F.col("n_raw").isNull(), "unavailable").when(old, "stale").when(F.col("all_low"), "low_confidence").when(F.col("n_raw") <= 1, "cold_start").otherwise("available")
-    kept = lambda c: F.when(~early, c)
-    return out.select(F.unix_micros("decision_at").alias("decision_us"), "bin_id", status.alias("status"), kept(F.round("fill_pct", 1)).alias("fill_pct"), kept(F.round("naive_hours", 2)).alias("hours"))
+
+def snapshot_grid(log: DataFrame, decisions: list[str], bins: DataFrame | list[str] | None = None, threshold: float = THRESHOLD, max_staleness_hours: float = MAX_STALENESS, available_after: str | None = None, scorer: Scorer | None = None, snapshot_id: str | None = None, model_version: str = "naive", model_sha256: str | None = None) -> DataFrame:
+    """snapshot() at several decision times in one plan: every configured bin (None: every bin of the log) at each, all statuses, one scan of the log (see known_pairs)."""
+    wanted = resolve_bins(bins, log)
+    return _or_none(_forecasts(log, decisions, wanted, threshold, max_staleness_hours, available_after, scorer, snapshot_id, model_version, model_sha256), wanted)

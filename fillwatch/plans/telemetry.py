@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,9 +126,40 @@ def _label_summary(spark: SparkSession, d: str) -> DataFrame:
     return x.select("n", *r6("mean", "std", "lo", "q25", "q50", "q75", "hi"))
 
 
+#: Thirty decision times, 20 hours and 7 minutes apart.
+DECISIONS = [f"{datetime(2024, 1, 4) + k * timedelta(hours=20, minutes=7):%Y-%m-%dT%H:%M:%SZ}" for k in range(30)]
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
+    return readings(spark, d).select("bin_id").distinct().union(spark.range(1).select(F.lit("BIN-NONE")))
+
+
+def _flat(x: DataFrame) -> DataFrame:
+    """All columns of a forecast, times as numbers and projections as text."""
+    h = F.array_join(F.transform(F.array(*[F.lit(str(k)) for k in S.HORIZONS]), lambda k: F.concat_ws(":", k, F.col("horizons")[k]["expected_fill_pct"].cast("decimal(9,1)"), F.col("horizons")[k]["expected_growth_pct_points"].cast("decimal(9,1)"), F.col("horizons")[k]["overflow_probability_status"])), ",")
+    return x.select(F.unix_micros("decision_at").alias("decision_us"), X.us("timestamp").alias("us"), F.when(F.col("horizons").isNotNull(), h).alias("horizons"), *[c for c in x.columns if c not in ("decision_at", "timestamp", "horizons")])
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    bins = readings(spark, d).select("bin_id").distinct().union(spark.range(1).select(F.lit("BIN-NONE")))
-    return S.snapshot_grid(readings_dup(spark, d), ["2024-01-10T00:00:00Z", DECISION], bins)
+    """Late receipts and thirty decisions, with a scorer of its own: hours to the threshold at the 6 h rate."""
+    def scorer(x: DataFrame) -> DataFrame:
+        return x.withColumn("hours", F.when(F.col("fill_rate_6h") > 0, F.greatest(F.lit(0.0), 90 - F.col("fill_pct")) / F.col("fill_rate_6h")).when(F.col("fill_rate_6h") == 0, 168.0).otherwise(-1.0))
+
+    return _flat(S.snapshot_grid(readings_dup(spark, d), DECISIONS, _bins(spark, d), available_after=DECISIONS[2], scorer=scorer, snapshot_id="grid-1", model_version="six-hour", model_sha256="0" * 64))
+
+
+def _grid_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Every status by what brings it about, at five decisions."""
+    log, bins, some = readings_dup(spark, d), _bins(spark, d), DECISIONS[::7]
+    cases = {
+        "plain": S.snapshot_grid(log, some, bins), "threshold": S.snapshot_grid(log, some, bins, threshold=75.0), "columns": S.snapshot_grid(log.drop("fill_pct"), some, bins), "early": S.snapshot_grid(log, some, available_after=some[2]),
+        "scorer": S.snapshot_grid(log, some, bins, scorer=lambda x: x.withColumn("hours", F.lit(float("nan")))), "no_bins": S.snapshot_grid(log.where("false"), some),
+    }
+    rows = None
+    for name, x in cases.items():
+        x = x.select(F.lit(name).alias("case_name"), F.unix_micros("decision_at").alias("decision_us"), "status", "bin_id", "time_to_service_threshold_hours", "fill_pct")
+        rows = x if rows is None else rows.unionByName(x)
+    return rows.groupBy("case_name", "decision_us", "status").agg(F.count(F.lit(1)).alias("n"), F.count("bin_id").alias("n_bins"), F.count("time_to_service_threshold_hours").alias("n_hours"), F.count("fill_pct").alias("n_fill"))
 
 
 def _stops(spark: SparkSession, d: str) -> DataFrame:
@@ -204,6 +236,7 @@ QUERIES = {
     "bin_coverage": lambda s, d: _snapshot(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("bin_id").alias("n_bins"), F.count_if(F.col("status") == "unavailable").alias("n_unavailable")),
     "resolve_bins": lambda s, d: S.resolve_bins(None, S.known_at(readings(s, d), S.instant("2024-01-02T00:00:00Z"))),
     "snapshot_grid": _grid,
+    "grid_statuses": _grid_statuses,
     "kpi_overflow": lambda s, d: kpi.overflow_incidents(readings(s, d)).select(F.col("day").cast("string").alias("day"), "overflowed", "bins"),
     "unnecessary_trips": lambda s, d: kpi.unnecessary_trips(_stops(s, d), readings(s, d)),
     "colour_band": lambda s, d: readings(s, d).select("seq", kpi.colour(F.col("fill_pct")).alias("colour")),
@@ -212,6 +245,13 @@ QUERIES = {
     "priority_rank": lambda s, d: kpi.priority(X.latest_per_bin(feats(s, d)).select("bin_id", F.col("waste_type").alias("area"), (F.col("fill_pct") / 100).alias("fill"), (F.abs("fill_rate_1h") / 50).alias("rate"), F.col("confidence_flag").cast("double").alias("sure")), {"fill": 0.6, "rate": 0.3, "sure": 0.1}).select("bin_id", "area", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place")),
 }
 
+SQL_TIMES = [t[:-1].replace("T", " ") for t in DECISIONS]
+#: For every bin and decision time what was known of it: the features' SQL over one copy of the log for each decision.
+KEYED = "rd1 AS (SELECT rd0.* REPLACE (bin_id || '@' || d AS bin_id) FROM rd0, (SELECT unnest([" + ", ".join(f"epoch_us(TIMESTAMP '{t}')" for t in SQL_TIMES) + "]) AS d) WHERE us <= d AND rec_us <= d), readings_dup AS (SELECT * FROM rd1)"
+GRID = READINGS_DUP_SQL.replace("readings_dup AS", "rd0 AS") + ", " + KEYED + FEATURES[len(READINGS_DUP_SQL):] + f""", nw AS (SELECT bin_id, count(*) AS n_raw, bool_and(confidence_flag = 0) AS all_low, arg_min(waste_type, us) AS first_waste FROM readings_dup GROUP BY bin_id),
+lt AS (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY us DESC) = 1),
+grid AS (SELECT b.bin_id, d, n_raw, all_low, first_waste AS waste_type, us, fill_pct, fill_rate_1h, fill_rate_6h, confidence_flag FROM (SELECT DISTINCT bin_id FROM readings UNION SELECT 'BIN-NONE') AS b, (SELECT unnest([{', '.join(f"epoch_us(TIMESTAMP '{t}')" for t in SQL_TIMES)}]) AS d)
+  LEFT JOIN nw ON nw.bin_id = b.bin_id || '@' || d LEFT JOIN lt ON lt.bin_id = b.bin_id || '@' || d)"""
 HR = ["(6)", "(24)", "(48)", "(168)"]
 ORACLES = {
     "read_log_csv": f"WITH {READINGS_SQL} SELECT bin_id, us, seq, fill_pct, confidence_flag, waste_type, rec_us FROM readings",
@@ -250,7 +290,20 @@ ORACLES = {
     "unsupported_threshold": f"WITH {READINGS_SQL} SELECT bin_id, 'unsupported_threshold' AS status, arg_max(fill_pct, us) AS fill_pct, CAST(NULL AS DOUBLE) AS time_to_service_threshold_hours FROM readings WHERE us <= epoch_us({DEC}) AND rec_us <= epoch_us({DEC}) GROUP BY bin_id",
     "bin_coverage": f"WITH {SNAP} SELECT count(*) AS n_rows, count(DISTINCT bin_id) AS n_bins, count(*) FILTER (WHERE status = 'unavailable') AS n_unavailable FROM sn",
     "resolve_bins": f"WITH {READINGS_SQL} SELECT DISTINCT bin_id FROM readings WHERE us <= epoch_us(TIMESTAMP '2024-01-02') AND rec_us <= epoch_us(TIMESTAMP '2024-01-02')",
-    "snapshot_grid": " UNION ALL ".join(f"SELECT epoch_us({t}) AS decision_us, bin_id, status, round(fill_pct, 1) AS fill_pct, CASE WHEN status <> 'unavailable' THEN round(hours, 2) END AS hours FROM (WITH {SNAP.replace(DEC, t)} SELECT * FROM sn)" for t in ("TIMESTAMP '2024-01-10 00:00:00'", DEC)),
+    "snapshot_grid": f"""WITH {GRID}, sc AS (SELECT g.*, CASE WHEN fill_rate_6h > 0 THEN greatest(0, 90 - fill_pct) / fill_rate_6h WHEN fill_rate_6h = 0 THEN 168.0 ELSE -1 END AS hours FROM grid AS g),
+sx AS (SELECT *, CASE WHEN d < epoch_us(TIMESTAMP '{SQL_TIMES[2]}') THEN 'model_unavailable' WHEN n_raw IS NULL THEN 'unavailable' WHEN hours < 0 THEN 'model_error' WHEN (d - us) / 3.6e9 > 72 THEN 'stale' WHEN all_low THEN 'low_confidence' WHEN n_raw <= 1 THEN 'cold_start' ELSE 'available' END AS status FROM sc),
+fn AS (SELECT *, status IN ('stale', 'low_confidence', 'cold_start', 'available') AS kept, status NOT IN ('model_unavailable', 'unavailable') AS seen, greatest(0, fill_rate_1h) AS grow FROM sx)
+SELECT d AS decision_us, CASE WHEN seen THEN us END AS us, '2.0' AS schema_version, bin_id, status, CASE WHEN status = 'model_unavailable' THEN 'decision before {DECISIONS[2]}' WHEN status = 'stale' THEN 'latest reading is ' || format('{{:.1f}}', (d - us) / 3.6e9) || ' h old (at most 72.0)' END AS reason,
+ CASE WHEN kept THEN round(hours, 2) END AS time_to_service_threshold_hours, CASE WHEN kept THEN {_risk('hours')} END AS risk_level, CASE WHEN kept OR status = 'model_error' THEN round(fill_pct, 1) END AS fill_pct, CASE WHEN seen THEN confidence_flag ELSE 0 END AS confidence_flag,
+ 90.0 AS target_threshold_pct, 'expected_hours_to_service_threshold' AS estimate_type, 'six-hour' AS model_version, repeat('0', 64) AS model_sha256, CASE WHEN seen THEN waste_type END AS waste_type, false AS waste_type_used_as_feature, 'grid-1' AS input_snapshot_id,
+ CASE WHEN kept THEN array_to_string([h || ':' || format('{{:.1f}}', round(least(100, fill_pct + grow * h), 1)) || ':' || format('{{:.1f}}', round(grow * h, 1)) || ':unsupported' FOR h IN [6, 24, 48, 168]], ',') END AS horizons FROM fn""",
+    "grid_statuses": f"""WITH {GRID}, few AS (SELECT * FROM grid WHERE d IN ({', '.join(f"epoch_us(TIMESTAMP '{t}')" for t in SQL_TIMES[::7])})),
+p AS (SELECT *, n_raw IS NULL AS none, CASE WHEN (d - us) / 3.6e9 > 72 THEN 'stale' WHEN all_low THEN 'low_confidence' WHEN n_raw <= 1 THEN 'cold_start' ELSE 'available' END AS good FROM few),
+c AS (SELECT 'plain' AS case_name, d, bin_id, CASE WHEN none THEN 'unavailable' ELSE good END AS status, NOT none AS h, NOT none AS f FROM p UNION ALL SELECT 'threshold', d, bin_id, CASE WHEN none THEN 'unavailable' ELSE 'unsupported_threshold' END, false, NOT none FROM p
+ UNION ALL SELECT 'columns', d, bin_id, CASE WHEN none THEN 'unavailable' ELSE 'missing_required_columns' END, false, false FROM p UNION ALL SELECT 'scorer', d, bin_id, CASE WHEN none THEN 'unavailable' ELSE 'model_error' END, false, NOT none FROM p
+ UNION ALL SELECT 'early', d, bin_id, CASE WHEN d < epoch_us(TIMESTAMP '{SQL_TIMES[14]}') THEN 'model_unavailable' WHEN none THEN 'unavailable' ELSE good END, NOT none AND d >= epoch_us(TIMESTAMP '{SQL_TIMES[14]}'), NOT none AND d >= epoch_us(TIMESTAMP '{SQL_TIMES[14]}') FROM p WHERE bin_id <> 'BIN-NONE'
+ UNION ALL SELECT 'no_bins', NULL, NULL, 'invalid_input', false, false)
+SELECT case_name, d AS decision_us, status, count(*) AS n, count(bin_id) AS n_bins, count(*) FILTER (WHERE h) AS n_hours, count(*) FILTER (WHERE f) AS n_fill FROM c GROUP BY ALL""",
     "kpi_overflow": f"WITH {READINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT bin_id) FILTER (WHERE fill_pct >= 90) AS overflowed, count(DISTINCT bin_id) AS bins FROM readings GROUP BY CAST(ts AS DATE)",
     "unnecessary_trips": f"WITH {READINGS_SQL}, {STOPS_SQL}, x AS (SELECT s.route, s.stop_id, r.fill_pct FROM stops s ASOF LEFT JOIN readings r ON s.bin_id = r.bin_id AND s.us >= r.us) SELECT route, count(*) AS stops, count(*) FILTER (WHERE fill_pct < 60) AS unnecessary, count(*) FILTER (WHERE fill_pct IS NULL) AS unknown FROM x GROUP BY route",
     "colour_band": f"WITH {READINGS_SQL} SELECT seq, CASE WHEN fill_pct > 85 THEN 'red' WHEN fill_pct >= 60 THEN 'amber' ELSE 'green' END AS colour FROM readings",

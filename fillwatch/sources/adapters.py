@@ -24,9 +24,9 @@ def pick(values: list[str], index):  # noqa: ANN001, ANN201
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings: a saw-tooth level per user, 0 to 105."""
     e = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(
-        F.format_string("BIN-%03d", "user_id").alias("bin_id"), "ts", F.col("event_id").alias("seq"), ((F.sum(F.round(F.col("value") * 100).cast("long")).over(w) % 10500) / 100.0).alias("fill_pct"),
+    w = Window.partitionBy("bin_id").orderBy("ts", "event_id")  # by the operators' key, so that they need no exchange of their own
+    return e.withColumn("bin_id", F.format_string("BIN-%03d", "user_id")).select(
+        "bin_id", "ts", F.col("event_id").alias("seq"), ((F.sum(F.round(F.col("value") * 100).cast("long")).over(w) % 10500) / 100.0).alias("fill_pct"),
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("confidence_flag"), pick(WASTE, F.col("user_id") % 4).alias("waste_type"),
         F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") * 37 % 7200 * 1_000_000).alias("received_at"),
     )
@@ -39,8 +39,12 @@ READINGS_SQL = f"""readings AS (SELECT 'BIN-' || format('{{:03d}}', user_id) AS
 
 def readings_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings, every tenth of them sent twice with another level."""
+    sent = F.struct("seq", "fill_pct")
+    again = F.struct((F.col("seq") + 1_000_000_000).alias("seq"), ((F.col("fill_pct") + 7.25) % 105.0).alias("fill_pct"))
     r = readings(spark, sf_dir)
-    return r.union(r.where("seq % 10 = 0").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("fill_pct", (F.col("fill_pct") + 7.25) % 105.0))
+    names = r.columns
+    r = r.withColumn("_sent", F.explode(F.when(F.col("seq") % 10 == 0, F.array(sent, again)).otherwise(F.array(sent))))
+    return r.withColumns({"seq": F.col("_sent.seq"), "fill_pct": F.col("_sent.fill_pct")}).select(*names)
 
 
 READINGS_DUP_SQL = READINGS_SQL + """, readings_dup AS (SELECT * FROM readings UNION ALL

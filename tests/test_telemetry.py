@@ -243,3 +243,42 @@ def test_fitted_models_beat_the_rule(spark):
     m = M.manifest(x, metrics, chosen, "2026-01-25", "2026-02-03").first()
     assert len(m.sha256_checksum) == 64 and m.estimator == "forest"
     assert M.feature_importance(fitted["forest"], spark).count() == 10
+
+
+def test_one_exchange_in_registered_queries(spark):
+    """Features cost one exchange and one scan from the adapter on; so does a grid's log, whatever the number of decisions."""
+    import os
+
+    from fillwatch.plans import telemetry
+
+    if not os.path.isdir(d := "/root/testdata/sf0.001"):
+        pytest.skip("the supplied tables aren't there")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name, sorts in (("nearest_lookback", 2), ("feature_table", 3), ("label_cycles", 5)):
+        p = plan(telemetry.QUERIES[name](spark, d))
+        assert (p.count("Exchange hashpartitioning"), p.count("FileScan")) == (1, 1) and p.count("Sort [") <= sorts, name
+    log = telemetry.readings_dup(spark, d)
+    for decisions in (telemetry.DECISIONS[:2], telemetry.DECISIONS):
+        p = plan(S.known_pairs(log, decisions))
+        assert (p.count("Exchange hashpartitioning"), p.count("FileScan")) == (1, 1)
+    assert plan(S.snapshot(log, telemetry.DECISION)).count("Exchange hashpartitioning") == 1
+
+
+def test_grid_equals_snapshots(spark):
+    """Late, repeated and never received readings: every pair of the grid is the snapshot's."""
+    rng = random.Random(9)
+    rows = [(f"b{rng.randrange(4)}", f"{DAY} {h:02d}:{m:02d}:00", float(rng.randrange(100)), rng.randrange(2)) for h in range(24) for m in (0, 20, 40) for _ in range(rng.randrange(1, 4))]
+    wait = (F.col("seq") * 7919 % 300).cast("long")
+    df = log(spark, rows, received_at=F.when(F.col("seq") % 11 > 0, F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("seq") % 3 == 0, wait).otherwise(0) * 60_000_000)), waste_type=F.when(F.col("seq") % 5 == 0, F.concat(F.lit("w"), F.col("seq").cast("string"))))
+    times, bins = [f"{DAY}T{h:02d}:10:00Z" for h in range(0, 24, 3)], ["b0", "b1", "b2", "b3", "b9"]
+    got = sorted(map(repr, S.snapshot_grid(df, times, bins).collect()))
+    assert got == sorted(repr(r) for t in times for r in S.snapshot(df, t, bins).collect())
+    assert len(got) == 40
+
+
+def test_grid_without_columns(spark):
+    df = log(spark, [(f"{DAY} 10:00:00", 20), (f"{DAY} 11:00:00", 30)])
+    for gone in ("fill_pct", "ts"):
+        assert [r.status for r in S.snapshot_grid(df.drop(gone), [f"{DAY}T12:00:00Z", f"{DAY}T13:00:00Z"]).collect()] == ["missing_required_columns"] * 2
+    assert [r.status for r in S.snapshot_grid(df.drop("fill_pct"), [f"{DAY}T12:00:00Z"], threshold=75.0).collect()] == ["unsupported_threshold"]
+    assert [(r.bin_id, r.status) for r in S.snapshot_grid(df.where("false"), [f"{DAY}T12:00:00Z"]).collect()] == [(None, "invalid_input")]
