@@ -1,23 +1,24 @@
-"""The operators on streams."""
+"""The operators on streams: keyed state by time, event-time timers, and sinks that a replayed batch can't spoil."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from fillwatch.operators.features import BANDS, BARRIER, HOUR, RATE_LIMIT, RESET, SECOND
 from fillwatch.operators.labels import naive_forecast, risk_level
 from fillwatch.operators.records import price_items
-from fillwatch.operators.snapshot import MAX_STALENESS
+from fillwatch.operators.snapshot import MAX_STALENESS, resolve_bins
 from fillwatch.session import exists
 
 #: What a bin's state remembers of its segment for the rates.
 LOOKBACK_US = max(high for _, _, high in BANDS.values()) * SECOND
-_STATE = "waiting array<struct<us:long,fill:double>>, recent array<struct<us:long,fill:double>>, last long, reset long, cycle long"
 _READING = "bin_id string, us long, fill_pct double, cycle_id long, time_since_reset_hours double, fill_rate_1h double, fill_rate_6h double"
 
 
@@ -36,15 +37,105 @@ def rates(recent: list[tuple[int, float]], t: int, fill: float) -> tuple[float,
     return clip(one), clip(one if six is None else six)
 
 
+class InOrder(StatefulProcessor):
+    """Hands a bin's readings on in the order of time, one for each time, as soon as the watermark has passed them.
+
+    State: a map by time of the readings that the watermark hasn't passed, the last by seq for each time, and the time
+    that the bin's timer is set to. Each new reading is one entry written, each one passed on an entry removed.
+    """
+
+    values = "seq long, fill_pct double"
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us long", self.values)
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
+        """Output rows for readings (us, *values) that the watermark has passed, and when to be woken at the latest."""
+        raise NotImplementedError
+
+    def _wake(self, us: int | None) -> None:
+        """One timer a bin, at the next full millisecond."""
+        ms, was = None if us is None else -(-us // 1000), self.timer.get()[0] if self.timer.exists() else None
+        if ms == was:
+            return
+        if was is not None:
+            self.handle.deleteTimer(was)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = self.timer.get()[0] * 1000 if self.timer.exists() else None
+        for b in rows:
+            b = b.sort_values("seq", kind="stable", na_position="first").drop_duplicates("us", keep="last")
+            for us, value in zip(b.us.tolist(), zip(*(b[c].astype(object).where(b[c].notna(), None) for c in self.names), strict=True), strict=True):
+                was = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else None
+                if was is None or was[0] is None or (value[0] is not None and value[0] >= was[0]):
+                    self.waiting.updateValue((us,), tuple(value))
+                first = us if first is None else min(first, us)
+        self._wake(first)
+        yield pd.DataFrame(columns=self.out).astype("object")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((k[0], *v) for k, v in self.waiting.iterator())
+        ready = [x for x in held if x[0] <= mark]
+        for x in ready:
+            self.waiting.removeKey((x[0],))
+        self.timer.clear()  # it has gone off
+        rows, wake = self.passed(key[0], ready, mark)
+        left = [x[0] for x in held[len(ready) : len(ready) + 1]] + ([] if wake is None else [wake])
+        self._wake(min(left, default=None))
+        yield pd.DataFrame(rows, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(log: DataFrame, late: str, processor: InOrder, out: str | T.StructType) -> DataFrame:
+    """Runs a processor over a log (bin_id, ts, seq, ..); readings without a time are left out, late ones dropped (see late_rows)."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = T.StructType.fromDDL(out) if isinstance(out, str) else out
+    values = T.StructType.fromDDL(processor.values) if isinstance(processor.values, str) else processor.values
+    processor.names, processor.out = values.names, schema.names
+    seq = F.col("seq").cast("long") if "seq" in log.columns else F.lit(None).cast("long")
+    x = log.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("bin_id").cast("string").alias("bin_id"), "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), *[c for c in values.names if c != "seq"])
+    return x.groupBy("bin_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, as far as the query's progress reports go back."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """A supplied Parquet table as a file stream of the batch table's schema."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+class LastReading(InOrder):
+    def __init__(self, values: T.StructType):
+        self.values = values
+
+    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
+        return [(bin_id, *r) for r in ready], None
+
+
 def dedup_stream(log: DataFrame, late: str = "2 hours") -> DataFrame:
-    """One reading per bin and time within the watermark: the first to come (batch keeps the last)."""
-    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["bin_id", "ts"])
+    """One reading per bin and time, the last by seq as in batch, once the watermark has passed the time.
+
+    (bin_id, us, seq, ..): all columns of the log, with the time in microseconds. Equal to dedup_last on the rows that
+    aren't late.
+    """
+    rest = [f for f in log.schema if f.name not in ("bin_id", "ts", "seq")]
+    values = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rest]])
+    out = T.StructType([T.StructField("bin_id", T.StringType()), T.StructField("us", T.LongType()), *values])
+    return _in_order(log, late, LastReading(values), out)
 
 
 def session_totals_stream(items: DataFrame) -> DataFrame:
@@ -52,84 +143,155 @@ def session_totals_stream(items: DataFrame) -> DataFrame:
     return price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("total_cents"), F.count_if(F.col("result") == "accepted").alias("accepted"), F.count(F.lit(1)).alias("n_events"))
 
 
+class Rates(InOrder):
+    """Cycles and rates. Besides what waits: the last reading, reset and cycle as one value, and a map by time of the segment's last nine hours, of which only what comes and goes is written."""
+
+    def __init__(self, drop_pct: float, barrier: float):
+        self.drop_pct, self.barrier = drop_pct, barrier
+
+    def init(self, handle: Any) -> None:
+        super().init(handle)
+        self.bin = handle.getValueState("bin", "last long, fill double, reset long, cycle long")
+        self.recent = handle.getMapState("recent", "us long", "fill double")
+
+    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
+        last, before, reset, cycle = self.bin.get() if self.bin.exists() else (None, None, None, 0)
+        kept = {k[0]: v[0] for k, v in self.recent.iterator()}
+        segment, out = sorted(kept.items()), []
+        for t, _, fill in ready:
+            step = None if last is None else fill - before
+            if step is not None and step < -self.drop_pct:
+                cycle, reset = cycle + 1, t
+            if step is not None and step < -self.barrier:
+                segment = []
+            elif last is not None and not segment:
+                segment = [(last, before)]
+            reset = t if reset is None else reset
+            out.append((bin_id, t, fill, cycle, (t - reset) / HOUR, *rates(segment, t, fill)))
+            segment, last, before = [*(r for r in segment if t - r[0] <= LOOKBACK_US), (t, fill)], t, fill
+        now = dict(segment)
+        for t in kept.keys() - now.keys():
+            self.recent.removeKey((t,))
+        for t in now.keys() - kept.keys():
+            self.recent.updateValue((t,), (now[t],))
+        if ready:
+            self.bin.update((last, before, reset, cycle))
+        return out, None
+
+
 def reset_stream(log: DataFrame, late: str = "2 hours", drop_pct: float = RESET, barrier: float = BARRIER) -> DataFrame:
     """Each reading with its cycle, hours since the last reset and both rates, once the watermark has passed it.
 
-    State per bin: readings not yet passed, and of those emitted the last nine hours of the segment (one reading at
-    least), the last reset, the first time and the cycle. Rows within the watermark may come in any order; an event-time
-    timer emits a quiet bin's rows. Readings without a level or time are left out.
+    Equal to the batch operators over the rows that aren't late: rows within the watermark may come in any order and more
+    than once (the last by seq counts). A timer emits a quiet bin's rows. Readings without a level or time are left out.
     """
+    return _in_order(log.where("fill_pct IS NOT NULL"), late, Rates(drop_pct, barrier), _READING)
 
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, recent, last, reset, cycle = state.get if state.exists else ([], [], None, None, 0)
-        waiting, recent = [tuple(w) for w in waiting], [tuple(r) for r in recent]
-        for b in batches:
-            b = b.dropna(subset=["us", "fill_pct"])
-            waiting += list(zip(b.us.astype("int64").tolist(), b.fill_pct.astype("float64").tolist(), strict=True))
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = sorted(w for w in waiting if w[0] <= mark), [w for w in waiting if w[0] > mark]
-        out = []
-        for t, fill in ready:
-            if recent and fill - recent[-1][1] < -drop_pct:
-                cycle, reset = cycle + 1, t
-            if recent and fill - recent[-1][1] < -barrier:
-                recent = []
-            reset = t if reset is None else reset
-            out.append((key[0], t, fill, cycle, (t - reset) / HOUR, *rates(recent, t, fill)))
-            recent, last = [*(r for r in recent if t - r[0] <= LOOKBACK_US), (t, fill)], t
-        state.update((waiting, recent, last, reset, cycle))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in _READING.split(", ")])
 
-    x = log.withWatermark("ts", late).select("bin_id", "ts", F.unix_micros("ts").alias("us"), "fill_pct")
-    return x.groupBy("bin_id").applyInPandasWithState(step, _READING, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class Silence(InOrder):
+    values = "seq long"
+
+    def __init__(self, max_us: int):
+        self.max_us = max_us
+
+    def init(self, handle: Any) -> None:
+        super().init(handle)
+        self.bin = handle.getValueState("bin", "last long, told boolean")
+
+    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
+        last, told = self.bin.get() if self.bin.exists() else (None, True)
+        out = []
+        for t in [*(r[0] for r in ready), None]:
+            if not told and (watermark_us if t is None else t) - last > self.max_us:
+                out.append((bin_id, last))
+                told = True
+            if t is not None:
+                last, told = t, False
+        self.bin.update((last, told))
+        return out, None if told else last + self.max_us + 1
 
 
 def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 72.0) -> DataFrame:
-    """(bin_id, last_us): an alert once a bin has been silent for max_hours of event time."""
+    """(bin_id, last_us): an alert for each silence of more than max_hours of event time, as soon as the watermark proves it.
+
+    Readings wait for the watermark, so one that comes late, but not too late, breaks a silence as it should. Readings
+    without a time are left out.
+    """
+    return _in_order(log, late, Silence(int(max_hours * HOUR)), "bin_id string, last_us long")
 
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"bin_id": [key[0]], "last_us": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        for b in batches:
-            last = max(last, int(b.us.max()))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + int(max_hours * 3_600_000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"bin_id": pd.Series(dtype=str), "last_us": pd.Series(dtype="int64")})
 
-    x = log.withWatermark("ts", late).select("bin_id", "ts", F.unix_micros("ts").alias("us"))
-    return x.groupBy("bin_id").applyInPandasWithState(step, "bin_id string, last_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+#: Parts that a stream's snapshot is laid out in, by a hash of the bin.
+BUCKETS = 64
+_SNAPSHOT = "bin_id string, us long, fill_pct double, fill_rate_1h double, n long, epoch long, bucket int"
 
 
-def snapshot_upsert(path: str, max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over reset_stream: after each batch, a snapshot of every bin seen so far, as of the newest reading.
+def snapshot_upsert(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over reset_stream: the newest reading and the number of readings of every bin seen so far.
 
-    Two folders take turns, so that the one before stays whole while a new one is written; an epoch run again
-    overwrites its own. Each row has its epoch; latest_snapshot reads the newest.
+    The table is laid out by buckets of bins. A batch reads and overwrites only the buckets that it touches, so what is
+    written grows with the batch, not with the table. Each bucket knows the last epoch that it took in and ignores that
+    epoch and earlier ones, so a batch that is run again, whole or after part of its buckets, changes nothing.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        spark, keep = batch.sparkSession, ["us", "fill_pct", "fill_rate_1h", "n"]
-        rows = batch.withColumn("n", F.lit(1).cast("long")).select("bin_id", *keep)
-        before = f"{path}/turn={(epoch - 1) % 2}"
-        if exists(spark, f"{before}/_SUCCESS"):
-            rows = rows.unionByName(spark.read.parquet(before).where(F.col("epoch") < epoch).select("bin_id", *keep))
-        latest = rows.groupBy("bin_id").agg(F.max_by(F.struct("us", "fill_pct", "fill_rate_1h"), "us").alias("r"), F.sum("n").alias("n")).select("bin_id", "r.*", "n")
-        now = latest.agg(F.max("us")).scalar()
-        x = naive_forecast(latest, fallback_hours)
-        status = F.when((now - F.col("us")) / HOUR > max_staleness_hours, "stale").when(F.col("n") <= 1, "cold_start").otherwise("available")
-        out = x.select("bin_id", *keep, status.alias("status"), F.round("naive_hours", 2).alias("hours"), risk_level(F.col("naive_hours")).alias("risk_level"), F.lit(epoch).cast("long").alias("epoch"))
-        out.write.mode("overwrite").parquet(f"{path}/turn={epoch % 2}")
+        spark, keep = batch.sparkSession, ["bin_id", "us", "fill_pct", "fill_rate_1h", "n"]
+        newest = F.max_by(F.struct("us", "fill_pct", "fill_rate_1h"), "us").alias("r")
+        rows = batch.groupBy("bin_id").agg(newest, F.count(F.lit(1)).alias("n")).select("bin_id", "r.*", "n")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("bin_id"), F.lit(buckets)).cast("int"))
+        taken = f"{path.rstrip('/')}-batch"
+        rows.write.mode("overwrite").parquet(taken)  # a stateful batch is computed once, whatever is asked of it
+        rows = spark.read.schema(rows.schema).parquet(taken).select(*keep, "bucket")
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        if exists(spark, path):
+            there = spark.read.schema(_SNAPSHOT).parquet(path).where(F.col("bucket").isin(touched))
+            done = [r.bucket for r in there.groupBy("bucket").agg(F.max("epoch").alias("e")).where(F.col("e") >= epoch).collect()]
+            touched = sorted(set(touched) - set(done))
+            rows = rows.where(F.col("bucket").isin(touched)).unionByName(there.where(F.col("bucket").isin(touched)).select(*keep, "bucket"))
+        if not touched:
+            return
+        latest = rows.groupBy("bucket", "bin_id").agg(newest, F.sum("n").alias("n"))
+        out = latest.select("bin_id", "r.*", "n", F.lit(epoch).cast("long").alias("epoch"), "bucket")
+        new = f"{path.rstrip('/')}-epoch"
+        out.write.mode("overwrite").parquet(new)  # whole before it replaces what it was made of
+        spark.read.schema(out.schema).parquet(new).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return put
+
+
+def stream_snapshot(spark: SparkSession, path: str, decision_at: str, bins: DataFrame | list[str] | None = None, max_staleness_hours: float = MAX_STALENESS, fallback_hours: float = 168.0) -> DataFrame:
+    """The forecast of every configured bin (None: every bin seen) from snapshot_upsert's table, with snapshot()'s statuses that
+    it can tell: unavailable, stale, cold_start, available. A bin whose newest reading is later than decision_at is
+    unavailable, as what came before isn't kept.
+    """
+    seen = spark.read.schema(_SNAPSHOT).parquet(path).where(F.col("us") <= F.unix_micros(F.lit(decision_at).cast("timestamp")))
+    known = naive_forecast(seen.drop("bucket"), fallback_hours)
+    out = known if bins is None else resolve_bins(bins, seen).hint("merge").join(known, "bin_id", "left")
+    age = (F.unix_micros(F.lit(decision_at).cast("timestamp")) - F.col("us")) / HOUR
+    status = F.when(F.col("n").isNull(), "unavailable").when(age > max_staleness_hours, "stale").when(F.col("n") <= 1, "cold_start").otherwise("available")
+    return out.select("bin_id", "us", "n", status.alias("status"), F.round("fill_pct", 1).alias("fill_pct"), F.when(F.col("n").isNotNull(), F.round("naive_hours", 2)).alias("hours"), F.when(F.col("n").isNotNull(), risk_level(F.col("naive_hours"))).alias("risk_level"), "epoch")
+
+
+def totals_upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over session_totals_stream in update mode: each epoch's changed sessions as a part of their own; an epoch run again overwrites its part."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     return put
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot of the newest epoch that snapshot_upsert has written."""
-    x = spark.read.parquet(path).drop("turn")
-    return x.where(F.col("epoch") == x.agg(F.max("epoch")).scalar())
+def latest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every session that totals_upsert has written."""
+    x = spark.read.parquet(path)
+    cols = [c for c in x.columns if c not in ("session_id", "epoch")]
+    return x.groupBy("session_id").agg(F.max_by(F.struct(*cols), "epoch").alias("r")).select("session_id", "r.*")
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", put: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Takes in all that there is and stops: into Parquet files at path, or batch by batch into put. What was taken in before is known from the checkpoint."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q = (w.format("parquet").option("path", path) if put is None else w.foreachBatch(put)).start()
+    q.awaitTermination()
+    return q

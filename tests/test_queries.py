@@ -8,13 +8,13 @@ import pytest
 
 import __spark_entry__ as entry
 from fillwatch.operators.features import FEATURES
-from fillwatch.plans import service, telemetry
+from fillwatch.plans import service, streams, telemetry
 from tests.sql_compare import assert_same, duck
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables aren't there")
-SQL = telemetry.ORACLES | service.ORACLES
-PY = telemetry.QUERIES | service.QUERIES
+SQL = telemetry.ORACLES | service.ORACLES | streams.ORACLES
+PY = telemetry.QUERIES | service.QUERIES | streams.QUERIES
 
 
 @pytest.fixture(scope="module")
