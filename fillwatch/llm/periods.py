@@ -134,12 +134,17 @@ def looped(doc_id: Column, text: Column) -> Column:
     """The contract's damage: in a tenth of the documents, all words from one on repeat the words from there to the next. A null id counts as the empty text."""
     h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(again, " ")).otherwise(text)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, a), F.slice(turns, 1, n - a)), " ")
+
+    # the lambda's variable is the words, split once
+    once = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)), again), 1)
+    return F.when((h % 10 == 0) & text.rlike(WORD), once).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
