@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fillwatch.session import fitting, stored
 from fillwatch.sources.adapters import CATEGORIES, REASONS, STATUSES
 
 VALUE_CENTS = 20
 HAZARDS = ("Hazardous waste", "Discarded sharps")
-#: Keywords that a table of rules may have.
-MAX_KEYWORDS = 10_000
+#: Characters of the strings by which keywords are looked up.
+GRAM = 3
 MIME_TYPES = ("image/jpeg", "image/png", "image/webp")
 
 
@@ -271,18 +272,38 @@ def first_rule(texts: DataFrame, text_col: str, rules: list[tuple[str, list[str]
     return texts.withColumn(out, F.when(F.length(t) >= min_length, chosen).otherwise(F.lit(otherwise).cast("string")))
 
 
-def rules_join(texts: DataFrame, key: str, text_col: str, rules: DataFrame) -> DataFrame:
-    """The same with the rules as a table (rule_order, rule_id, keywords): a keyword matches where it is contained.
+def _grams(c: Column) -> Column:
+    """Distinct strings of three characters; of shorter texts the text itself."""
+    n = F.length(c)
+    return F.when(n <= GRAM, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(c, i, GRAM))))
 
-    For rule tables that don't fit an expression. Rules are put into one array, at most MAX_KEYWORDS of them (more is an
-    error), which each text runs through: texts don't move.
+
+def rules_join(texts: DataFrame, key: str, text_col: str, rules: DataFrame, min_length: int = 2) -> DataFrame:
+    """(key, rule) of every text: first_rule() with the rules as a table (rule_order, rule_id, keywords) of any size.
+
+    An inverted index: of each keyword the string of three characters that fewest texts have; texts meet only keywords
+    whose string they have, and what meets is verified. Keywords with a string that no text has are out at once. Shorter
+    keywords are looked up by their own length. The index is broadcast if it is small by count; else texts' strings are
+    joined with it, of which only those that it has travel. Null texts match nothing; rows repeated with a key and text
+    have the same rule.
     """
-    words = rules.select("rule_order", "rule_id", F.explode("keywords").alias("k")).limit(MAX_KEYWORDS + 1)
-    table = words.agg(F.array_sort(F.collect_list(F.struct("rule_order", "rule_id", "k"))).alias("rules"))
-    table = table.select(F.when(F.size("rules") <= MAX_KEYWORDS, F.col("rules")).otherwise(F.raise_error(F.lit(f"more than {MAX_KEYWORDS} keywords"))).alias("rules"))
     text = F.lower(F.trim(F.col(text_col)))
-    first = F.get(F.filter("_rules", lambda r: text.contains(r["k"]) & (F.length(text) >= 2)), 0)
-    return texts.withColumn("_rules", table.scalar()).select(key, first["rule_id"].alias("rule"))
+    t = texts.select(F.col(key).alias("key"), text.alias("t")).withColumn("h", F.xxhash64("t"))
+    every = stored(t.where(F.length("t") >= min_length).distinct(), "texts")
+    words = stored(rules.select("rule_order", "rule_id", F.explode("keywords").alias("k")).where("k <> ''").distinct(), "keywords")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))
+    lengths = [r.n for r in words.select(F.least(F.length("k"), F.lit(GRAM)).alias("n")).distinct().collect()]  # 1, 2 or 3
+    strings = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.when(F.length("t") >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+    wanted = stored(words.select(F.explode(_grams(F.col("k"))).alias("g")).distinct(), "grams")
+    having = stored(every.select("key", "h", "t", F.explode(strings).alias("g")).join(fitting(wanted), "g", "left_semi"), "having")
+    often = having.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    spread = words.withColumn("grams", _grams(F.col("k")))
+    ranked = spread.select("rule_order", "rule_id", "k", F.size("grams").alias("of"), F.explode("grams").alias("g")).hint("merge").join(often, "g")
+    index = ranked.groupBy("rule_order", "rule_id", "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("there"), F.first("of").alias("of")).where("there = of").select("rule_order", "rule_id", "k", "g")
+    met = having.join(fitting(stored(index, "index")), "g").where(F.col("t").contains(F.col("k")))
+    best = met.groupBy("key", "h").agg(F.min(F.struct("rule_order", "rule_id")).alias("r")).select(F.col("key").alias("_k"), F.col("h").alias("_h"), F.col("r.rule_id").alias("rule"))
+    best = stored(best, "best")
+    return t.hint("merge").join(best, t.key.eqNullSafe(best._k) & t.h.eqNullSafe(best._h), "left").select(F.col("key").alias(key), "rule")
 
 
 def faq_search(items: DataFrame, query: str, category: str = "All") -> DataFrame:

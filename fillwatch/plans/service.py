@@ -23,6 +23,13 @@ REPLY_ELSE = "fallback"
 US_2000 = 946684800000000
 
 
+def _rules_large(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the documents as a keyword, the longest first; which is the first that a message contains?"""
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("k")).where("length(k) >= 2").distinct()
+    rules = words.select((-F.length("k")).alias("rule_order"), F.col("k").alias("rule_id"), F.array("k").alias("keywords"))
+    return R.rules_join(messages(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), "text"), "message", "text", rules)
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
 
@@ -224,6 +231,7 @@ QUERIES = {
     "open_report": lambda s, d: R.open_report(reports(s, d)),
     "activity_feed": lambda s, d: R.activity_feed(sessions(s, d), reports(s, d)),
     "classify_items": lambda s, d: R.first_rule(_parts(s, d), "p_name", PART_RULES).select("p_partkey", "rule"),
+    "rules_join_large": _rules_large,
     "rules_join": lambda s, d: R.rules_join(_parts(s, d), "p_partkey", "p_name", s.createDataFrame([(i, n, ws) for i, (n, ws) in enumerate(PART_RULES)], "rule_order int, rule_id string, keywords array<string>")),
     "reply_intent": lambda s, d: R.first_rule(messages(s, d), "text", REPLY_RULES, REPLY_ELSE, 0, "intent").select("conv_id", "turn", "intent"),
     "faq_search": lambda s, d: R.faq_search(_faq(s, d), "License", "Missed collection").select("report_id"),
@@ -279,6 +287,8 @@ ORACLES = {
     "open_report": f"WITH {REPORTS_SQL} SELECT resident, report_id, status, category FROM reports WHERE status <> 'Resolved' QUALIFY row_number() OVER (PARTITION BY resident ORDER BY created_us DESC, report_id DESC) = 1",
     "activity_feed": f"WITH {SESSIONS_SQL}, {REPORTS_SQL}, u AS (SELECT resident, 'return' AS kind, session_id AS ref_id, created_us FROM sessions UNION ALL SELECT resident, 'report', report_id, created_us FROM reports) SELECT *, row_number() OVER (PARTITION BY resident ORDER BY created_us DESC, kind, ref_id) AS place FROM u",
     "classify_items": f"SELECT p_partkey, {_rules_sql('p_name', PART_RULES, 'NULL')} AS rule FROM part",
+    "rules_join_large": """WITH w AS (SELECT DISTINCT w AS k FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2), t AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations WHERE role = 'user'),
+h AS (SELECT conv_id, turn, arg_min(k, {'n': -length(k), 'k': k}) AS rule FROM t JOIN w ON contains(t, k) GROUP BY conv_id, turn) SELECT t.conv_id * 1000 + t.turn AS message, rule FROM t LEFT JOIN h USING (conv_id, turn)""",
     "rules_join": f"SELECT p_partkey, {_rules_sql('p_name', PART_RULES, 'NULL')} AS rule FROM part",
     "reply_intent": f"SELECT conv_id, turn, {_rules_sql('text', REPLY_RULES, repr(REPLY_ELSE)).replace('< 2', '< 0')} AS intent FROM conversations WHERE role = 'user'",
     "faq_search": f"WITH {REPORTS_SQL} SELECT report_id FROM reports WHERE category = 'Missed collection' AND contains(lower(location || ' ' || description), 'license')",

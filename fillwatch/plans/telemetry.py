@@ -12,7 +12,9 @@ from fillwatch.operators import features as X
 from fillwatch.operators import kpi
 from fillwatch.operators import labels as L
 from fillwatch.operators import snapshot as S
-from fillwatch.session import shared_dir
+from fillwatch.operators.chunked import build_feature_table_chunked
+from fillwatch.operators.quantiles import exact_percentiles
+from fillwatch.session import shared_dir, stored
 from fillwatch.sources import readers as I
 from fillwatch.sources.adapters import READINGS_DUP_SQL, READINGS_SQL, TEST_FROM, VAL_FROM, readings, readings_dup
 
@@ -122,7 +124,9 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
 
 def _label_summary(spark: SparkSession, d: str) -> DataFrame:
     c = "time_to_overflow_hours"
-    x = labeled(spark, d).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("lo"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"), F.max(c).alias("hi"))
+    hours = stored(labeled(spark, d).select(c), "hours")
+    quarters = dict(zip(("q25", "q50", "q75"), exact_percentiles(hours, c, [0.25, 0.5, 0.75]), strict=True))
+    x = hours.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi")).withColumns({k: F.lit(v).cast("double") for k, v in quarters.items()})
     return x.select("n", *r6("mean", "std", "lo", "q25", "q50", "q75", "hi"))
 
 
@@ -192,6 +196,12 @@ def _stage(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(at).where(F.col("event_date") == F.lit(VAL_FROM).cast("date")).select(*key(), "cycle_id", *r6("fill_pct", "fill_rate_1h"))
 
 
+def _stage_table(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table as a stage bucketed by bin, of which labels are made without an exchange."""
+    name = f"stage_{uuid.uuid4().hex}"
+    return L.label_cycles(I.write_stage_table(feats(spark, d), name, _at(spark, "bucketed"), 8))
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     I.write_metrics(_models(spark, d), at := _at(spark, "metrics"))
     return spark.read.json(at).select("model", "mae_hours", "rmse_hours", "n_rows")
@@ -203,6 +213,8 @@ QUERIES = {
     "read_log_plain": _read_plain,
     "stage_output": _stage,
     "metrics_output": _metrics,
+    "stage_table": lambda s, d: _stage_table(s, d).select(*key(), X.us("crossing_ts").alias("crossing_us"), *r6("time_to_overflow_hours")),
+    "feature_table_chunked": lambda s, d: build_feature_table_chunked(readings_dup(s, d), 2).select(*key(), "cycle_id", "is_weekend", *r6(*FEATURE_COLS)),
     "scan_readings": lambda s, d: readings(s, d).select(*key(), "seq", "fill_pct", "confidence_flag", "waste_type", X.us("received_at").alias("rec_us")),
     "time_features": lambda s, d: X.add_time_features(readings(s, d)).select(*key(), "seq", *r6("hour_sin", "hour_cos", "dow_sin", "dow_cos"), "is_weekend"),
     "utc_equivalence": lambda s, d: readings(s, d).withColumn("text", F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))).select("seq", F.unix_micros(F.try_to_timestamp("text")).alias("us")),
@@ -315,3 +327,4 @@ SELECT bin_id, alert, count(*) AS n FROM u GROUP BY ALL""",
     "fill_at_pickup": f"WITH {READINGS_SQL}, a AS (SELECT bin_id, fill_pct, lag(fill_pct) OVER (PARTITION BY bin_id ORDER BY us) AS b FROM readings) SELECT bin_id, count(*) AS pickups, round(avg(b), 6) AS mean_fill FROM a WHERE fill_pct - b < -35 GROUP BY bin_id",
     "priority_rank": f"WITH {FEATURES}, l AS (SELECT bin_id, waste_type AS area, fill_pct / 100 * 0.6 + abs(fill_rate_1h) / 50 * 0.3 + confidence_flag * 0.1 AS score FROM ft QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY us DESC) = 1) SELECT bin_id, area, round(score, 6) AS score, rank() OVER (PARTITION BY area ORDER BY round(score, 9) DESC, bin_id) AS place FROM l",
 }
+ORACLES |= {"stage_table": ORACLES["label_cycles"], "feature_table_chunked": ORACLES["feature_table"]}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "fillwatch", **conf: str) -> SparkSession:
@@ -32,3 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: what several plans read is computed once, and lost executors cost no lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fitting(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """With a broadcast hint if df has no more rows than that (it looks at no more), else with a merge-join hint."""
+    return df.hint("broadcast") if df.limit(most + 1).count() <= most else df.hint("merge")
