@@ -21,16 +21,20 @@ from fillwatch.session import shared_dir
 
 #: Ids of a sequence, sequences of a record batch, the id that ends a document.
 LENGTH, SEQUENCES, END_ID = 2048, 256, 2
-#: Values of the mask: what fills up the last sequence of a file, an id, the end id of a document.
+#: While a batch is gathered: what fills up the last sequence of a file, an id, the end id of a document.
 PAD, TOKEN, END = 0, 1, 2
 #: Bytes of text split at once, bytes of words that a worker remembers, rows of a batch of the index.
-_PIECE, _REMEMBER, _DOCS = 1 << 20, 1 << 26, 4096
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE, _REMEMBER, _DOCS = 1 << 20, 1 << 24, 4096
+_SPACE, _LETTERS, _ALNUM, _STOPS = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[a-z]+"), re.compile(rb"[a-z0-9]"), b".,;:!?"
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. by_word: the tokenizer drops white space and lets nothing reach over it, so a text's
-    ids are those of its words one after the other, and each worker asks the library once for each word that it remembers."""
+    """Ids of texts by a tokenizer file.
+
+    by_word: the tokenizer lower-cases, drops white space, splits letters from punctuation and lets nothing reach over
+    white space, so a text's ids are those of its words one after the other. Each worker asks the library once for each
+    word that it remembers, without the punctuation behind it, and for plain letters goes to the library's model itself.
+    """
 
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,19 +48,41 @@ class Encoder:
     def _ask(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _learn(self, words: list[bytes]) -> None:
+        known, model, rest, ends = self.known, self.tokenizer.model, [], {}
+        if not known:
+            stops = [bytes([c]) for c in _STOPS]
+            known.update(zip(stops, self._ask(stops), strict=True))
+        for w in words:
+            core = w.rstrip(_STOPS)
+            if core != w and _ALNUM.fullmatch(core[-1:]) and w[len(core) :] in known:
+                ends[w] = core
+            else:
+                core = w
+            if core not in known:
+                if _LETTERS.fullmatch(core):
+                    known[core] = np.array([t.id for t in model.tokenize(core.decode())], self.dtype).tobytes()
+                else:
+                    rest.append(core)
+        if rest:
+            known.update(zip(rest, self._ask(rest), strict=True))
+        for w, core in ends.items():
+            known[w] = known[core] + known[w[len(core) :]]
+        self.size += sum(map(len, words))
+
     def ids(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._ask([text])[0]
+        if b"<|" not in text:  # special tokens count as they stand
+            text = text.lower()
         out = []
         at = 0
         while at < len(text):
             cut = _SPACE.search(text, at + _PIECE) if len(text) > at + _PIECE else None
             end = cut.start() if cut else len(text)
             words = text[at:end].split()  # bytes: at ASCII white space only
-            new = list(set(words) - self.known.keys())
-            if new:
-                self.known.update(zip(new, self._ask(new), strict=True))
-                self.size += sum(map(len, new))
+            if new := [w for w in set(words) if w not in self.known]:
+                self._learn(new)
             out += map(self.known.__getitem__, words)
             if self.size > _REMEMBER:
                 self.known, self.size = {}, 0
@@ -71,7 +97,15 @@ def encoder(path: str, by_word: bool) -> Encoder:
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+    """Ids, and as bits (from the lowest of each byte on) which of them aren't filling and which end a document."""
+    if length % 8:
+        raise ValueError("sequences must have a multiple of 8 ids")
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length // 8)), ("ends", pa.list_(pa.uint8(), length // 8))])
+
+
+def bits(packed: np.ndarray) -> np.ndarray:
+    """A mask as one number an id."""
+    return np.unpackbits(packed, axis=-1, bitorder="little")
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -106,9 +140,9 @@ class _Writer:
 
     def _put(self, sequences: int) -> None:
         n = sequences * self.length
-        ids, mask = np.frombuffer(bytes(self.buffer[: n * self.dtype.itemsize]), self.dtype), np.frombuffer(bytes(self.marks[:n]), np.uint8)
+        ids, marks = np.frombuffer(bytes(self.buffer[: n * self.dtype.itemsize]), self.dtype), np.frombuffer(bytes(self.marks[:n]), np.uint8)
         del self.buffer[: n * self.dtype.itemsize], self.marks[:n]
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in zip((ids, mask), self.schema, strict=True)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in zip((ids, *(np.packbits(m, bitorder="little") for m in (marks != PAD, marks == END))), self.schema, strict=True)]
         batch = pa.RecordBatch.from_arrays(lists, schema=self.schema)
         for k in range(0, sequences, SEQUENCES):
             self.ids.write_batch(batch.slice(k, SEQUENCES))
@@ -172,14 +206,13 @@ class TokenFile:
         self.ids, self.docs = _open(ids_path), _open(docs_path)
         self.length = self.ids.schema.field("ids").type.list_size
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of record batch k, as tables of a row a sequence."""
+    def batch(self, k: int) -> tuple[np.ndarray, ...]:
+        """Ids, mask and ends of record batch k, as tables of a row a sequence; see bits() for the masks."""
         b = self.ids.get_batch(k)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in b.columns)
+        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(b.num_rows, -1) for c in b.columns)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self.batch(i // SEQUENCES)
-        return ids[i % SEQUENCES], mask[i % SEQUENCES]
+    def sequence(self, i: int) -> tuple[np.ndarray, ...]:
+        return tuple(x[i % SEQUENCES] for x in self.batch(i // SEQUENCES))
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from a place on."""
@@ -213,17 +246,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             start = 0
             for k in range(f.ids.num_record_batches):
-                ids, mask = (x.ravel() for x in f.batch(k))
-                wide, done = ids.astype("<u4"), 0
-                for end in (np.flatnonzero(mask == END) + 1).tolist():
+                ids, mask, last_ids = f.batch(k)
+                wide, done = ids.ravel().astype("<u4"), 0
+                for end in (np.flatnonzero(bits(last_ids)) + 1).tolist():
                     crcs.append(zlib.crc32(wide[done:end], crc))
                     ends.append(at + end)
                     crc, done = 0, end
                     if len(ends) == known.num_rows:
                         yield put()
                         start, ends, crcs, known = ends[-1], [], [], next(index, None)
-                crc = zlib.crc32(wide[done : int((mask != PAD).sum())], crc)
-                at += len(mask)
+                crc = zlib.crc32(wide[done : int(bits(mask).sum())], crc)
+                at += len(wide)
             if ends or known is not None:
                 raise ValueError(f"{row['docs_path']} names other documents than its sequences hold")
 

@@ -20,7 +20,7 @@ tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 WORDS_FILE, BYTES_FILE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 
-HARD = ["", None, " \n ", "Don't STOP, it's 12,345.67!", "naïve ÉCOLE Σίσυφος ΑΣ é ̈́x", "a b c\u0085d\x1ce\x0bf", "<|endoftext|> x<|startoftext|>y <|END", "日本語 テスト 한국어 🙂🙂 ‍", "x" * 5000, "la " * 40_000, "#!\"$ 2 ## ̀ ́"]
+HARD = ["", None, " \n ", "Don't STOP, it's 12,345.67!", "naïve ÉCOLE Σίσυφος ΑΣ é ̈́x", "a b c\u0085d\x1ce\x0bf", "<|endoftext|> x<|startoftext|>y <|END", "End. end.. (END), e-. dogs'. it's. é. 3. <|x. 9!? ...", "日本語 テスト 한국어 🙂🙂 ‍", "x" * 5000, "la " * 40_000, "#!\"$ 2 ## ̀ ́"]
 
 
 # 11: token files
@@ -63,12 +63,13 @@ def test_token_files_at_random(spark, tmp_path):
             doc_id, ids = f.document(i)
             assert doc_id == seen + i and ids.tolist() == as_the_library(texts[seen + i], WORDS_FILE)
         for i in {0, r.n_sequences - 1, *rng.sample(range(r.n_sequences), 5)}:
-            ids, mask = f.sequence(i)
+            ids, mask, ends = f.sequence(i)
             part = stream[i * 128 : (i + 1) * 128]
-            assert ids.tolist() == part + [0] * (128 - len(part)) and (mask != 0).sum() == len(part)
-            assert not ids.flags.owndata
-        masks = np.concatenate([f.sequence(i)[1] for i in range(r.n_sequences)])
-        assert (masks == tokenfiles.END).sum() == r.n_docs
+            assert ids.tolist() == part + [0] * (128 - len(part)) and tokenfiles.bits(mask).tolist() == [1] * len(part) + [0] * (128 - len(part))
+            assert not any(x.flags.owndata for x in (ids, mask, ends))
+        ends = np.concatenate([tokenfiles.bits(f.sequence(i)[2]) for i in range(r.n_sequences)])
+        sizes = [len(as_the_library(texts[seen + i], WORDS_FILE)) for i in range(r.n_docs)]
+        assert (np.flatnonzero(ends) + 1).tolist() == list(itertools.accumulate(sizes))
         seen += r.n_docs
 
 
