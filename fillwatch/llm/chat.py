@@ -137,21 +137,31 @@ def _unescaped(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit(ESC + "|"), F.lit("|")), F.lit(ESC + "n"), F.lit("\n"))), ESC)
 
 
+LAYOUT = ["n_intervals", "intervals_sha256", "spans_sha256"]
+
+
+def _layout() -> list[Column]:
+    """Digests of where in the stream a conversation's segments lie, with their first position ids, and of the intervals that it attends to, as lines of numbers."""
+    text = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(",", *[x[f].cast("string") for f in fields])), "\n")
+    digests = F.sha2(text("intervals", "start", "length"), 256), F.sha2(text("spans", "start", "n_tokens", "position"), 256)
+    return [x.alias(n) for x, n in zip((F.size("intervals").cast("long"), *digests), LAYOUT, strict=True)]
+
+
 def read_back(spans: DataFrame) -> DataFrame:
-    """What each formatted conversation says, parsed from its emitted text: turns, loss text, lengths.
+    """What each formatted conversation says, parsed from its emitted text: turns, loss text, lengths; and where it lies in the stream.
 
     No control string survives escaping, so the text splits at the turn marks; a text ends one mark and a line feed
     before the next turn.
     """
-    whole = spans.select("conv_id", "spans", F.array_join("spans.seg", "").alias("formatted"))
+    whole = spans.select("conv_id", "spans", "intervals", F.array_join("spans.seg", "").alias("formatted"))
     turns = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
     parsed = F.transform("turns", lambda t: F.struct(_unescaped(F.substring_index(t, "\n", 1)).alias("role"), _unescaped(F.substr(t, F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t) - F.length(F.substring_index(t, "\n", 1)) - len(END) - 2)).alias("text")))
     loss = F.array_join(F.transform("spans", lambda x: _unescaped(F.substr(x["seg"], (x["mask_from"] + 1).cast("int"), (x["mask_to"] - x["mask_from"]).cast("int")))), "")
-    x = whole.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss")).select("conv_id", "formatted", "loss", parsed.alias("turns"))
+    x = whole.select("conv_id", "formatted", *_layout(), turns.alias("turns"), loss.alias("loss")).select("conv_id", "formatted", "loss", *LAYOUT, parsed.alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return x.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), *LAYOUT,
     )
 
 
@@ -175,10 +185,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESC = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 ORACLE = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, x.turn, x.role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(turn, role)),
-s AS (SELECT *, length('{START}') + length(replace({_ESC.format('role')}, chr(10), '\\n')) + 1 + length({_ESC.format('text')}) + length('{END}') + 1 AS k FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+s AS (SELECT *, '{START}' || replace({_ESC.format('role')}, chr(10), '\\n') || chr(10) || {_ESC.format('text')} || '{END}' || chr(10) AS seg, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS depth, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+chain(conv_id, depth, n, node, path, k, position) AS (SELECT conv_id, depth, n, sha256(chr(10) || seg)[1:32], sha256(chr(10) || seg)[1:16], length(seg), 0::BIGINT FROM s WHERE depth = 0
+  UNION ALL SELECT s.conv_id, s.depth, s.n, sha256(h.node || chr(10) || s.seg)[1:32], h.path || sha256(h.node || chr(10) || s.seg)[1:16], length(s.seg), h.position + h.k FROM chain AS h JOIN s ON s.conv_id = h.conv_id AND s.depth = h.depth + 1),
+leaves AS (SELECT leaf, row_number() OVER (ORDER BY path, leaf) AS rank FROM (SELECT DISTINCT node AS leaf, path FROM chain WHERE depth = n - 1)),
+below AS (SELECT a.node, min(rank) AS rank FROM chain AS a JOIN chain AS z ON z.conv_id = a.conv_id AND z.depth = z.n - 1 JOIN leaves ON leaf = z.node GROUP BY a.node),
+stream AS (SELECT node, sum(k) OVER (ORDER BY rank, depth) - k AS start FROM (SELECT DISTINCT node, k, depth, rank FROM chain JOIN below USING (node))),
+placed AS (SELECT conv_id, depth, k, position, CAST(start AS BIGINT) AS start, start IS DISTINCT FROM lag(start + k) OVER (PARTITION BY conv_id ORDER BY depth) AS new FROM chain JOIN stream USING (node)),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY conv_id ORDER BY depth) AS run FROM placed),
+merged AS (SELECT conv_id, run, min(start) AS start, CAST(sum(k) AS BIGINT) AS length FROM runs GROUP BY conv_id, run),
+lay AS (SELECT conv_id, count(*) AS n_intervals, sha256(string_agg(start || ',' || length, chr(10) ORDER BY run)) AS intervals_sha256 FROM merged GROUP BY conv_id),
+pos AS (SELECT conv_id, sha256(string_agg(start || ',' || k || ',' || position, chr(10) ORDER BY depth)) AS spans_sha256 FROM placed GROUP BY conv_id),
+said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{LOSS_ROLE}'), '')) AS loss_sha256,
- CAST(sum(k) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id
+ CAST(sum(length(seg)) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id)
+SELECT * FROM said JOIN lay USING (conv_id) JOIN pos USING (conv_id)
 """
