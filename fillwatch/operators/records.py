@@ -236,10 +236,12 @@ def status_track(reports: DataFrame) -> DataFrame:
     return x.select("report_id", F.col("step").cast("long").alias("step"), "name", (F.col("step") < F.col("at")).alias("done"))
 
 
-def payout_notifications(paid: DataFrame, totals: DataFrame) -> DataFrame:
-    """Unread payout notifications of paid sessions (session_state and session_totals)."""
-    x = paid.where("status = 'paid'").join(totals.select("session_id", "total_text"), "session_id")
-    return x.select("session_id", F.concat("total_text", F.lit(" sent")).alias("title"), F.concat(F.lit("Return "), F.col("session_id").cast("string"), F.lit(" was paid.")).alias("detail"), F.col("paid_us").alias("created_us"), F.lit(False).alias("read"), F.lit("payout").alias("kind"))
+def payout_notifications(paid: DataFrame, totals: DataFrame, methods: DataFrame) -> DataFrame:
+    """Unread payout notifications of paid sessions (session_state and session_totals), with the masked method paid to, or "the selected method" where it is gone."""
+    to = methods.select("method_id", mask_identifier(F.col("raw"), F.col("type")).alias("to"))
+    x = paid.where("status = 'paid'").hint("merge").join(totals.select("session_id", "total_text"), "session_id").hint("merge").join(to, "method_id", "left")
+    detail = F.concat(F.lit("Return "), F.col("session_id").cast("string"), F.lit(" was paid to "), F.coalesce("to", F.lit("the selected method")), F.lit("."))
+    return x.select("session_id", F.concat("total_text", F.lit(" sent")).alias("title"), detail.alias("detail"), F.col("paid_us").alias("created_us"), F.lit(False).alias("read"), F.lit("payout").alias("kind"))
 
 
 def report_notifications(reports: DataFrame) -> DataFrame:

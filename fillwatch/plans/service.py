@@ -67,6 +67,10 @@ def _faq(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).select("report_id", "category", F.col("location").alias("question"), F.col("description").alias("answer"))
 
 
+def _payouts(spark: SparkSession, d: str) -> DataFrame:
+    return R.payout_notifications(_state(spark, d), R.session_totals(sessions(spark, d), item_events(spark, d)), payout_methods(spark, d))
+
+
 def _bundles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """One bundle a part, sound or broken in one of eight ways by its number."""
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", (F.col("p_partkey") % 8).alias("k"))
@@ -222,7 +226,8 @@ QUERIES = {
     "default_method": lambda s, d: R.default_method(payout_methods(s, d)),
     "remove_method": lambda s, d: R.remove_method(payout_methods(s, d), payout_methods(s, d).where("method_id % 6 = 0").select("method_id")).select("method_id", "resident", "is_default"),
     "recent_returns": lambda s, d: R.recent_returns(sessions(s, d)),
-    "payout_notifications": lambda s, d: R.unread_count(R.mark_read(R.payout_notifications(_state(s, d), R.session_totals(sessions(s, d), item_events(s, d))), sessions(s, d).where("session_id % 3 = 0").select("session_id"), "session_id")),
+    "payout_notifications": lambda s, d: R.unread_count(R.mark_read(_payouts(s, d), sessions(s, d).where("session_id % 3 = 0").select("session_id"), "session_id")),
+    "payout_details": lambda s, d: _payouts(s, d).select("session_id", "title", "detail", "created_us"),
     "report_notifications": lambda s, d: R.mark_read(R.report_notifications(reports(s, d)), reports(s, d).where("report_id % 4 = 1").select("report_id"), "report_id").select("report_id", "title", "detail", "read"),
     "reports_by_status": lambda s, d: R.by_status(reports(s, d), STATUSES[1]).select("report_id", "category", "created_us"),
     "report_validation": lambda s, d: R.validate_reports(R.flag_hazards(reports(s, d))).select("report_id", F.array_join("reasons", ";").alias("reasons"), "hazardous"),
@@ -279,6 +284,7 @@ ORACLES = {
     "remove_method": f"WITH {METHODS_SQL}, l AS (SELECT *, bool_or(is_default) OVER (PARTITION BY resident) AS has, row_number() OVER (PARTITION BY resident ORDER BY position) AS k FROM payout_methods WHERE method_id % 6 <> 0) SELECT method_id, resident, CASE WHEN has THEN is_default ELSE k = 1 END AS is_default FROM l",
     "recent_returns": f"WITH {SESSIONS_SQL}, x AS (SELECT resident, CASE WHEN status = 'paid' THEN 'paid' ELSE 'open' END AS kind, session_id, created_us FROM sessions) SELECT resident, kind, row_number() OVER w AS place, session_id FROM x WINDOW w AS (PARTITION BY resident, kind ORDER BY created_us DESC, session_id DESC) QUALIFY row_number() OVER w <= CASE WHEN kind = 'paid' THEN 3 ELSE 1 END",
     "payout_notifications": f"WITH {STATE_SQL} SELECT 'payout' AS kind, count(*) FILTER (WHERE session_id % 3 <> 0) AS unread, count(*) AS n FROM ss WHERE status = 'paid'",
+    "payout_details": f"WITH {STATE_SQL}, {METHODS_SQL}, g AS (SELECT method_id, type, regexp_replace(raw, '[^0-9]', '', 'g') AS g FROM payout_methods) SELECT session_id, 'RM' || format('{{:.2f}}', coalesce(ac.n, 0) * 20 / 100) || ' sent' AS title, 'Return ' || session_id || ' was paid to ' || CASE WHEN length(g) >= 4 THEN CASE WHEN type = 'bank' THEN 'Bank account' ELSE 'E-Wallet' END || ' •••• ' || right(g, 4) ELSE 'the selected method' END || '.' AS detail, ss.us AS created_us FROM ss LEFT JOIN ac USING (session_id) LEFT JOIN g USING (method_id) WHERE status = 'paid'",
     "report_notifications": f"WITH {REPORTS_SQL} SELECT report_id, 'Report submitted' AS title, report_id || ' has been recorded for review.' AS detail, report_id % 4 = 1 AS read FROM reports",
     "reports_by_status": f"WITH {REPORTS_SQL} SELECT report_id, category, created_us FROM reports WHERE status = 'Reviewed'",
     "report_validation": f"WITH {REPORTS_SQL} SELECT report_id, concat_ws(';', CASE WHEN length(trim(location, ' ')) < 5 THEN 'location' END, CASE WHEN length(trim(description, ' ')) < 20 THEN 'description too short' END, CASE WHEN length(trim(description, ' ')) > 500 THEN 'description too long' END) AS reasons, hazardous OR category IN ('Hazardous waste', 'Discarded sharps') AS hazardous FROM reports",

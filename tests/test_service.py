@@ -60,10 +60,15 @@ def test_migration(spark):
     good, bad = audit.migrate_documents(df)
     (m,) = good.collect()
     assert (m.version, m.user_id, [r.attachments for r in m.reports], m.nearby_bin_alerts, m.next_item_type, m.original) == (3, "u", [[], ["x"]], False, "Can", v2)
-    assert {r.key for r in bad.collect()} == {2, 3, 4}
+    assert {r.key: r.reason for r in bad.collect()} == {2: "future-version", 3: "read-failed", 4: "read-failed"}
+    odd = ['{"version": 1, "reports": [], "settings": null}', '{"version": 2, "settings": {}}', '{"version": 3, "reports": {}, "settings": {}}', "[1]", '{"version": 0, "reports": 5}', '{"reports": [], "settings": {}}']
+    good, bad = audit.migrate_documents(spark.createDataFrame(list(enumerate(odd)), "key long, doc string"))
+    assert good.collect() == [] and [r.reason for r in bad.orderBy("key").collect()] == ["read-failed"] * 4 + ["future-version"] * 2
+    (m,) = audit.migrate_documents(spark.createDataFrame([(1, '{"version": 1, "reports": [], "settings": {"serviceAlerts": null}, "returns": [1]}')], "key long, doc string"))[0].collect()
+    assert json.loads(m.doc) == audit.DEFAULTS | {"version": 3, "reports": [], "returns": [1], "settings": audit.DEFAULTS["settings"] | {"serviceAlerts": None}}
     whole = {"version": 1, "auth": {"userId": "u", "n": 1.5}, "reports": [{"id": "r", "attachments": None, "place": "a\"b"}, {"id": "s", "attachments": [{"name": "x"}], "rating": 3}], "settings": {"serviceAlerts": False, "failNextPayment": True, "nearbyBinAlerts": False}, "returns": [{"id": 7, "events": []}], "payoutMethods": [], "extra": {"k": [1, None, "x"]}}
     (m,) = audit.migrate_documents(spark.createDataFrame([(1, json.dumps(whole))], "key long, doc string"))[0].collect()
-    assert json.loads(m.doc) == whole | {"version": 3, "reports": [whole["reports"][0] | {"attachments": []}, whole["reports"][1]], "settings": whole["settings"] | {"nextItemType": "Can"}}
+    assert json.loads(m.doc) == whole | {"version": 3, "notifications": [], "reports": [whole["reports"][0] | {"attachments": []}, whole["reports"][1]], "settings": audit.DEFAULTS["settings"] | whole["settings"]}
 
 
 def test_kpi_zero_baseline(spark):
