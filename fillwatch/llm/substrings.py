@@ -19,8 +19,8 @@ SPREAD = MATCH - ANCHOR + 1
 #: Bytes of text in one batch of the index, and suffixes that a task's index holds before it is handed on.
 BATCH_BYTES, INDEX_ROWS = 1 << 20, 4_000_000
 NO_ID = (1 << 63) - 1
-#: Different strings around one anchor that one task compares; anchors with more are compared window by window over all tasks.
-HOT = 2_000
+#: Different strings around one anchor, and their bytes, that one task compares; anchors with more are compared window by window over all tasks.
+HOT, HOT_BYTES = 2_000, 1 << 25
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -122,9 +122,9 @@ class LogIndex:
         """Take in a batch; returns what is settled by it."""
         settled = []
         key = mix(batch.g + batch.s * _M)
-        order = np.lexsort((batch.pos, batch.doc, key))
+        order = np.lexsort((batch.pos, batch.doc, batch.s, batch.g, key))
         key, batch = key[order], batch.take(order)
-        new = np.r_[True, key[1:] != key[:-1]]
+        new = np.r_[True, (key[1:] != key[:-1]) | (batch.g[1:] != batch.g[:-1]) | (batch.s[1:] != batch.s[:-1])]
         least = batch.doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         settled.append(batch.take(batch.doc > least))
         self.more.append(batch.take(~new & (batch.doc == least)))
@@ -132,7 +132,8 @@ class LogIndex:
         left = np.ones(len(key), bool)
         for k, there in self.levels:
             i = np.minimum(np.searchsorted(k, key), len(k) - 1)
-            hit = left & (k[i] == key)
+            # two strings with one key stay apart here and meet at the exchange, by anchor and string
+            hit = left & (k[i] == key) & (there.g[i] == batch.g) & (there.s[i] == batch.s)
             settled.append(batch.take(hit & (batch.doc > there.doc[i])))
             self.more.append(batch.take(hit & (batch.doc == there.doc[i])))
             less = np.flatnonzero(hit & (batch.doc < there.doc[i]))
@@ -325,8 +326,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest: pa.RecordBatch | None = None
     for batch in batches:
+        batch = batch.set_column(5, "c", batch.column(5).cast(pa.large_binary()))  # one chunk, however many bytes
         if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            (batch,) = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()
         g = batch.column(0).to_numpy()
         cut = int(np.searchsorted(g, g[-1], side="left")) if len(g) else 0  # the last anchor may go on
         if cut:
@@ -396,15 +398,15 @@ def repeated(rows: DataFrame, hot: int = HOT) -> DataFrame:
     Each task keeps a LogIndex over its texts; what it can't settle alone is compared by anchor over all tasks, two rows
     at most per anchor and task. Equal strings around an anchor settle all but the smallest document's. Only where one
     anchor has different strings, at the ends of matches, are their bytes brought together, by anchor, and compared
-    window by window. An anchor with over `hot` such strings isn't brought together: its windows are counted by Spark,
+    window by window. An anchor with over `hot` such strings, or HOT_BYTES of them, isn't brought together: its windows are counted by Spark,
     which combines equal ones before they move.
     """
     open_rows = rows.where(F.length("t") >= MATCH).select("key", "sub", "t").mapInArrow(_index, _ROW)
     dealt = F.when(F.getbit("r", F.lit(32)) + F.getbit("r", F.lit(33)) == 0, F.col("g")).otherwise(F.xxhash64("doc", "m"))
     found = materialise(open_rows.repartition(dealt).sortWithinPartitions("g", "m").mapInArrow(_merge, _FOUND), "found")
     mixed = found.where(F.col("kind") == MIXED)
-    counts = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    many = materialise(counts.where((F.col("n") > hot) & (F.col("low") < F.col("high"))).select("g"), "hot")
+    counts = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("run").cast("long") + (MATCH - 1)).alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    many = materialise(counts.where(((F.col("n") > hot) | (F.col("size") > HOT_BYTES)) & (F.col("low") < F.col("high"))).select("g"), "hot")
     places = mixed.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", _code().alias("code"))).alias("at"))
     texts = rows.select(F.col("key").alias("doc"), "sub", "t")
     near = texts.hint("merge").join(places, ["doc", "sub"]).select("doc", "sub", "t", "at").mapInArrow(_contexts, _CONTEXT)

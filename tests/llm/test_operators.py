@@ -641,3 +641,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, tile):
     assert [x for x in got if x[0]] == [(True, 0, "no id")]
     assert sorted(x[1] for x in got if not x[0]) == sorted([*want, *({ids[1]} & want)])
     assert nearcopies.drop_near_copies(rows.where("false")).count() == 0
+
+
+def test_index_with_colliding_keys(monkeypatch):
+    """All strings share one key: none is settled by another's occurrence, and what isn't settled is handed on."""
+    monkeypatch.setattr(substrings, "mix", lambda h: np.zeros_like(h))
+    rng, index, rows, settled = np.random.default_rng(2), substrings.LogIndex(), [], []
+    for _ in range(12):
+        n = 60
+        batch = substrings.Suffixes(rng.integers(0, 5, n, np.uint64), rng.integers(0, 4, n, np.uint64), rng.integers(0, 30, n), np.zeros(n, np.int64), rng.integers(0, 1000, n), np.ones(n, np.int64))
+        rows += list(zip(*(c.tolist() for c in batch), strict=True))
+        settled += list(zip(*(c.tolist() for c in index.add(batch)), strict=True))
+    kept = list(zip(*(c.tolist() for c in index.flush()), strict=True))
+    assert Counter(rows) == Counter(settled) + Counter(kept) and settled
+    least = {}
+    for g, s, doc, *_ in rows:
+        least[g, s] = min(doc, least.get((g, s), doc))
+    assert all(doc > least[g, s] for g, s, doc, *_ in settled) and {(g, s) for g, s, doc, *_ in kept if doc == least[g, s]} == set(least)
+
+
+def test_anchor_with_many_bytes(spark, monkeypatch):
+    """Strings around one anchor beyond the bound in bytes go window by window, with the same result."""
+    texts = ["-" * n + chr(97 + k) + "=" * (200 + 7 * k) for k, n in enumerate((70, 90, 400, 1000, 5000, 60))] * 2
+    want = sorted(tuple(r) for r in substrings.remove_repeats(docs(spark, texts)).collect())
+    monkeypatch.setattr(substrings, "HOT_BYTES", 100)
+    assert sorted(tuple(r) for r in substrings.remove_repeats(docs(spark, texts)).collect()) == want
+    assert sum(r[2] for r in want) > 6000
