@@ -8,28 +8,32 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fillwatch.operators.boosting import Boosted, fit_boosted
 from fillwatch.operators.features import FEATURES
 from fillwatch.operators.labels import evaluate, leaks_label, naive_forecast, select_model
 
 #: Full sizes; the forest needs several GB of driver memory at these.
 FOREST = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, "seed": 42}
-BOOSTED = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+BOOSTED = {"rounds": 200, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8, "seed": 42}
+GBT = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 #: Of what is fitted, what may be selected, ties to the first.
 ORDER = ["forest", "boosted"]
 
 
-def fit(train: DataFrame, kind: str, label: str = "time_to_overflow_hours", **params) -> PipelineModel:  # noqa: ANN003
-    """A pipeline of the ten features and one regressor: linear, forest or boosted."""
+def fit(train: DataFrame, kind: str, label: str = "time_to_overflow_hours", features: list[str] = FEATURES, **params) -> PipelineModel | Boosted:  # noqa: ANN003
+    """The ten features (or others) and one regressor: linear, forest, boosted (second order, columns drawn per tree) or gbt (Spark's)."""
+    if kind == "boosted":
+        return fit_boosted(train, features, label, **BOOSTED | params)
     common = {"labelCol": label, "featuresCol": "features", "predictionCol": "predicted_hours"}
     if kind == "linear":
         model = LinearRegression(**common | params)
     elif kind == "forest":
         model = RandomForestRegressor(**common | FOREST | {"featureSubsetStrategy": "all"} | params)
-    elif kind == "boosted":
-        model = GBTRegressor(**common | BOOSTED | params)
+    elif kind == "gbt":
+        model = GBTRegressor(**common | GBT | params)
     else:
         raise ValueError(f"no such model: {kind}")
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), model]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), model]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def train_and_compare(labeled: DataFrame, val_from: str, test_from: str, params:
 
 def feature_importance(model: PipelineModel, spark) -> DataFrame:  # noqa: ANN001
     """(feature, importance), largest first."""
-    v = model.stages[-1].featureImportances.toArray()
+    v = model.importance if isinstance(model, Boosted) else model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, v, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -112,7 +112,7 @@ KPIS_SQL = "kp AS (SELECT c_nationkey AS run, CASE WHEN o_orderstatus = 'O' THEN
 
 def _comparison(spark: SparkSession, d: str) -> DataFrame:
     """Three fitted models at small sizes and the naive forecast, on purged validation and untouched test rows."""
-    small = {"linear": {}, "forest": {"numTrees": 20, "maxDepth": 5}, "boosted": {"maxIter": 10, "maxDepth": 4}}
+    small = {"linear": {}, "forest": {"numTrees": 20, "maxDepth": 5}, "boosted": {"rounds": 10, "depth": 4, "rate": 0.3}}
     x = chronological_split(labeled(spark, d), VAL_FROM, TEST_FROM)
     return models.train_and_compare(x, VAL_FROM, TEST_FROM, small)[0]
 
@@ -122,6 +122,33 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
     return models.manifest(x, telemetry.QUERIES["eval_metrics"](spark, d), "naive", VAL_FROM, TEST_FROM).select("model_version", "estimator", "val_from", "test_from", "threshold", "counts", F.size("feature_columns").alias("n_features"))
 
 
+def _linear(spark: SparkSession, d: str) -> DataFrame:
+    """The line of hours on the level, fitted on the training split."""
+    x = chronological_split(labeled(spark, d), VAL_FROM, TEST_FROM).where("split = 'train'")
+    m = models.fit(x, "linear", features=["fill_pct"]).stages[-1]
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))], "slope double, intercept double")
+
+
+#: Edges of the two features that the registered stumps split on.
+STUMP_EDGES = {"fill_pct": [10.0 * k for k in range(1, 10)], "time_since_reset_hours": [12.0 * k for k in range(1, 15)]}
+
+
+def _stumps(spark: SparkSession, d: str) -> DataFrame:
+    """Two boosted stumps on all training rows, and what they predict for every bin's newest reading."""
+    x = labeled(spark, d)
+    m = models.fit(x, "boosted", features=list(STUMP_EDGES), rounds=2, depth=1, rate=0.5, rows=1.0, columns=1.0, edges=list(STUMP_EDGES.values()))
+    return m.transform(telemetry.X.latest_per_bin(telemetry.feats(spark, d))).select("bin_id", F.round("predicted_hours", 6).alias("predicted_hours"))
+
+
+def _stump_sql(n: int, of: str) -> str:
+    """The n-th stump: the gain of each feature and edge from sums over the rows, and the rows with what is left."""
+    edges = ", ".join(f"('{f}', {e})" for f, es in STUMP_EDGES.items() for e in es)
+    value = "CASE f WHEN 'fill_pct' THEN fill_pct ELSE time_since_reset_hours END"
+    return f""", g{n} AS (SELECT f, e, sum(r) FILTER (WHERE {value} <= e) AS gl, sum(r) FILTER (WHERE {value} > e) AS gr, count(*) FILTER (WHERE {value} <= e) AS nl, count(*) FILTER (WHERE {value} > e) AS nr FROM {of}, (VALUES {edges}) AS v(f, e) WHERE kind = 'train' GROUP BY f, e),
+b{n} AS (SELECT *, -0.5 * gl / (nl + 1) AS vl, -0.5 * gr / (nr + 1) AS vr FROM g{n} WHERE nl >= 1 AND nr >= 1 ORDER BY gl * gl / (nl + 1) + gr * gr / (nr + 1) DESC LIMIT 1),
+r{n} AS (SELECT x.* REPLACE (r + CASE WHEN {value} <= e THEN vl ELSE vr END AS r, p + CASE WHEN {value} <= e THEN vl ELSE vr END AS p) FROM {of} AS x, b{n})"""
+
+
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     x = chronological_split(labeled(spark, d), VAL_FROM, TEST_FROM).where("split = 'train'")
     return models.feature_importance(models.fit(x, "forest", numTrees=20, maxDepth=5), spark)
@@ -212,6 +239,8 @@ QUERIES = {
     "retried_items": lambda s, d: R.retried_items(item_events(s, d)).groupBy("session_id").agg(F.count(F.lit(1)).alias("retries")),
     "session_state": lambda s, d: _state(s, d).select("session_id", "status", "transaction_id"),
     "payout_attempts": lambda s, d: _state(s, d).select("session_id", "paid_us", "method_id", "attempts", "failed"),
+    "linear_fit": _linear,
+    "boosted_stumps": _stumps,
     "model_manifest": _manifest,
     "append_retries": _retries,
     "set_default": lambda s, d: R.set_default(payout_methods(s, d), payout_methods(s, d).where("resident % 3 = 0 AND position = 1").select("resident", "method_id")).select("method_id", "resident", "is_default"),
@@ -269,6 +298,9 @@ ORACLES = {
     "retried_items": f"WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS k FROM item_events) SELECT a.session_id, count(*) AS retries FROM n a JOIN n b ON a.session_id = b.session_id AND b.k = a.k + 1 AND a.type = b.type WHERE a.reason = '{REASONS[0]}' AND b.result = 'accepted' GROUP BY a.session_id",
     "session_state": f"WITH {STATE_SQL} SELECT session_id, status, CASE WHEN status = 'paid' THEN 'TXN-' || session_id END AS transaction_id FROM ss",
     "payout_attempts": f"WITH {STATE_SQL} SELECT session_id, CASE WHEN status = 'paid' THEN us END AS paid_us, CASE WHEN status = 'paid' THEN method_id END AS method_id, attempts, failed FROM ss",
+    "linear_fit": f"WITH {telemetry.LABELS} SELECT round(regr_slope(hours, fill_pct), 6) AS slope, round(regr_intercept(hours, fill_pct), 6) AS intercept FROM lab WHERE split = 'train'",
+    "boosted_stumps": f"""WITH {telemetry.LABELS}, r0 AS (SELECT 'train' AS kind, bin_id, us, fill_pct, time_since_reset_hours, avg(hours) OVER () - hours AS r, avg(hours) OVER () AS p FROM lab
+ UNION ALL SELECT 'last', bin_id, us, fill_pct, time_since_reset_hours, 0, (SELECT avg(hours) FROM lab) FROM (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY us DESC) = 1)){_stump_sql(1, "r0")}{_stump_sql(2, "r1")} SELECT bin_id, round(p, 6) AS predicted_hours FROM r2 WHERE kind = 'last'""",
     "model_manifest": f"""WITH {telemetry.LABELS}, c AS (SELECT split, count(*) AS n, count(*) FILTER (WHERE {telemetry.LEAK}) AS p FROM lab GROUP BY split) SELECT '1' AS model_version, 'naive' AS estimator, '{VAL_FROM}' AS val_from, '{TEST_FROM}' AS test_from, 90.0::DOUBLE AS threshold, '[' || string_agg('{{"split":"' || split || '","n_raw":' || n || ',"n_purged":' || p || '}}', ',' ORDER BY split) || ']' AS counts, 10 AS n_features FROM c""",
     "append_retries": f"WITH {ITEMS_SQL}, la AS (SELECT session_id, result = 'rejected' AND reason = '{REASONS[0]}' AS again FROM item_events QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, line DESC, item_id DESC, type DESC, result DESC) = 1) SELECT i.session_id, count(*) + any_value(again::INT) AS n, count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT) AS accepted, CAST(20 * (count(*) FILTER (WHERE result = 'accepted') + any_value(again::INT)) AS BIGINT) AS cents FROM item_events i JOIN la USING (session_id) GROUP BY i.session_id",
     "set_default": f"WITH {METHODS_SQL} SELECT method_id, resident, CASE WHEN resident % 3 = 0 THEN position = 1 ELSE is_default END AS is_default FROM payout_methods",

@@ -32,7 +32,7 @@ def test_linear_fit_equals_least_squares(spark):
 
 def test_comparison_chooses_by_validation_error(spark):
     df, x, y = table(spark)
-    small = {"linear": {}, "forest": {"numTrees": 5, "maxDepth": 3}, "boosted": {"maxIter": 20, "maxDepth": 3}}
+    small = {"linear": {}, "forest": {"numTrees": 5, "maxDepth": 3}, "boosted": {"rounds": 20, "depth": 3, "rate": 0.3}}
     both, chosen, fitted = M.train_and_compare(df, "2024-01-21", "2024-01-26", small)
     mae = {(r.split, r.model): r.mae_hours for r in both.collect()}
     assert mae["val", "linear"] < 0.01 and chosen == min(("forest", "boosted"), key=lambda k: mae["val", k])
