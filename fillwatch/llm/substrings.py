@@ -20,7 +20,7 @@ SPREAD = MATCH - ANCHOR + 1
 BATCH_BYTES, INDEX_ROWS = 1 << 20, 4_000_000
 NO_ID = (1 << 63) - 1
 #: Different strings around one anchor, and their bytes, that one task compares; anchors with more are compared window by window over all tasks.
-HOT, HOT_BYTES = 2_000, 1 << 25
+HOT, HOT_BYTES = 20_000, 1 << 25
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -122,7 +122,7 @@ class LogIndex:
         """Take in a batch; returns what is settled by it."""
         settled = []
         key = mix(batch.g + batch.s * _M)
-        order = np.lexsort((batch.pos, batch.doc, batch.s, batch.g, key))
+        order = np.lexsort((batch.pos, batch.doc, key))  # strings with one key may lie mixed: what that keeps apart meets at the exchange
         key, batch = key[order], batch.take(order)
         new = np.r_[True, (key[1:] != key[:-1]) | (batch.g[1:] != batch.g[:-1]) | (batch.s[1:] != batch.s[:-1])]
         least = batch.doc[np.flatnonzero(new)][np.cumsum(new) - 1]
