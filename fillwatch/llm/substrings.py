@@ -17,7 +17,9 @@ from fillwatch.llm.common import materialise, sized
 MATCH, ANCHOR = 50, 24
 SPREAD = MATCH - ANCHOR + 1
 #: Bytes of text in one batch of the index, and suffixes that a task's index holds before it is handed on.
-BATCH_BYTES, INDEX_ROWS = 1 << 20, 4_000_000
+BATCH_BYTES, INDEX_ROWS = 1 << 20, 1_500_000
+#: Bytes by which suffixes are ordered: all that windows with one anchor can cover, unless that anchor recurs in them.
+ORDERED = MATCH + SPREAD - 1
 NO_ID = (1 << 63) - 1
 #: Different strings around one anchor, and their bytes, that one task compares; anchors with more are compared window by window over all tasks.
 HOT, HOT_BYTES = 20_000, 1 << 25
@@ -73,8 +75,27 @@ def join(parts: list[Suffixes]) -> Suffixes:
 NONE = Suffixes(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
 
 
-def sample(texts: list[bytes], docs: np.ndarray, subs: np.ndarray, first: np.ndarray | None = None) -> Suffixes:
-    """The sampled suffixes of some texts (first: places of their beginnings in the whole documents).
+class Strings(NamedTuple):
+    """What the windows of suffixes cover. order: ORDERED bytes, then length and hash, so that equal strings have equal values
+    and, up to ORDERED bytes, different ones different values; tails: longer ones in whole, by row."""
+
+    order: np.ndarray
+    tails: dict[int, bytes]
+
+
+def strings_of(buf: np.ndarray, a: np.ndarray, n: np.ndarray, s: np.ndarray) -> Strings:
+    """The strings of n bytes at places a of a buffer, with their hashes s."""
+    view = np.lib.stride_tricks.sliding_window_view(np.r_[buf, np.zeros(ORDERED, np.uint8)], ORDERED)
+    order = np.empty((len(a), ORDERED + 12), np.uint8)
+    order[:, :ORDERED] = view[a]
+    order[:, :ORDERED][np.arange(ORDERED) >= n[:, None]] = 0
+    order[:, ORDERED : ORDERED + 4] = n.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order[:, ORDERED + 4 :] = s.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return Strings(order.view(f"S{ORDERED + 12}").ravel(), {i: buf[a[i] : a[i] + n[i]].tobytes() for i in np.flatnonzero(n > ORDERED).tolist()})
+
+
+def sample(texts: list[bytes], docs: np.ndarray, subs: np.ndarray, first: np.ndarray | None = None) -> tuple[Suffixes, Strings]:
+    """The sampled suffixes of some texts (first: places of their beginnings in the whole documents), and their strings.
 
     Every window of MATCH bytes picks its anchor of least hash, so equal windows pick equal anchors; neighbouring
     windows with one anchor make one suffix, known by the anchor and the string that the windows cover.
@@ -82,7 +103,7 @@ def sample(texts: list[bytes], docs: np.ndarray, subs: np.ndarray, first: np.nda
     lens = np.array([len(t) for t in texts], np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < MATCH or not (lens >= MATCH).any():
-        return NONE
+        return NONE, Strings(np.zeros(0, f"S{ORDERED + 12}"), {})
     h, starts = Hashes(buf), np.r_[0, np.cumsum(lens)[:-1]]
     x, part = h.r, {1: h.r}
     for k in (1, 2, 4, 8):
@@ -101,53 +122,63 @@ def sample(texts: list[bytes], docs: np.ndarray, subs: np.ndarray, first: np.nda
     new = np.flatnonzero(np.r_[True, (val[1:] != val[:-1]) | (owner[1:] != owner[:-1])])
     run = np.diff(np.r_[new, len(at)])
     a, own = at[new], owner[new]
-    s = h.of(a, a + run + MATCH - 1) >> np.uint64(32)
-    return Suffixes(val[new], s, docs[own], subs[own], place[new] + (0 if first is None else first[own]), run)
+    s = h.of(a, a + run + MATCH - 1)
+    found = Suffixes(val[new], s, docs[own], subs[own], place[new] + (0 if first is None else first[own]), run)
+    return found, strings_of(buf, a, run + MATCH - 1, s)
 
 
 class LogIndex:
-    """A family of sorted suffix arrays whose sizes grow geometrically.
+    """A family of suffix arrays whose sizes grow geometrically.
 
-    A new batch is sorted, scanned against each level for equal strings and then becomes a level itself; levels of
-    about equal size merge. Each string keeps its occurrence in the smallest document; others are settled: their windows
-    all stand in a smaller document.
+    A new batch's suffixes are put in the order of their bytes and scanned against each level in that order: where a
+    suffix of the batch meets one of a level with the same bytes, the windows of the larger document's are settled, as
+    they all stand in a smaller document. What meets none becomes a level itself, and levels of about equal size merge.
+    Hashes only spare the scan what can't be in a level; bytes decide.
     """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, Suffixes]] = []
+        self.levels: list[tuple[np.ndarray, Suffixes]] = []  # without repeats, neither in a level nor among them
         self.more: list[Suffixes] = []  # again in the smallest document: they share its fate, which isn't known yet
+        self.tails: dict[bytes, bytes] = {}
+        self.seen = np.zeros(1 << 24, bool)  # by the upper bits of hashes: what may be in a level
         self.rows = 0
 
-    def add(self, batch: Suffixes) -> Suffixes:
+    def add(self, batch: Suffixes, strings: Strings) -> Suffixes:
         """Take in a batch; returns what is settled by it."""
-        settled = []
-        key = mix(batch.g + batch.s * _M)
-        order = np.lexsort((batch.pos, batch.doc, key))  # strings with one key may lie mixed: what that keeps apart meets at the exchange
+        settled, key = [], strings.order
+        order = np.lexsort((batch.doc, key))
+        apart = [i for i, c in strings.tails.items() if self.tails.setdefault(bytes(key[i]), c) != c]
+        if apart:  # long strings alike in all but their tails meet at the exchange
+            self.more.append(batch.take(np.array(apart)))
+            order = order[~np.isin(order, apart)]
         key, batch = key[order], batch.take(order)
-        new = np.r_[True, (key[1:] != key[:-1]) | (batch.g[1:] != batch.g[:-1]) | (batch.s[1:] != batch.s[:-1])]
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
         least = batch.doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         settled.append(batch.take(batch.doc > least))
         self.more.append(batch.take(~new & (batch.doc == least)))
         key, batch = key[new], batch.take(new)
-        left = np.ones(len(key), bool)
+        bits, left = batch.s >> np.uint64(40), np.ones(len(key), bool)
+        mine = np.flatnonzero(self.seen[bits])
         for k, there in self.levels:
-            i = np.minimum(np.searchsorted(k, key), len(k) - 1)
-            # two strings with one key stay apart here and meet at the exchange, by anchor and string
-            hit = left & (k[i] == key) & (there.g[i] == batch.g) & (there.s[i] == batch.s)
-            settled.append(batch.take(hit & (batch.doc > there.doc[i])))
-            self.more.append(batch.take(hit & (batch.doc == there.doc[i])))
-            less = np.flatnonzero(hit & (batch.doc < there.doc[i]))
-            settled.append(there.take(i[less]))
-            for old, now in zip(there, batch, strict=True):
-                old[i[less]] = now[less]
-            left &= ~hit
+            at = np.minimum(np.searchsorted(k, key[mine]), len(k) - 1)  # both in order: one pass through the level
+            hit = k[at] == key[mine]
+            at, met, mine = at[hit], mine[hit], mine[~hit]
+            now, old = batch.doc[met], there.doc[at]
+            settled.append(batch.take(met[now > old]))
+            self.more.append(batch.take(met[now == old]))
+            at, less = at[now < old], met[now < old]
+            settled.append(there.take(at))
+            for x, y in zip(there, batch, strict=True):
+                x[at] = y[less]
+            left[met] = False
         key, batch = key[left], batch.take(left)
+        self.seen[bits[left]] = True
         if len(key):
             self.levels.append((key, batch))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             (k1, b1), (k2, b2) = self.levels[-2:]
             k = np.concatenate((k1, k2))
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k, kind="stable")  # two runs in order, which it merges
             self.levels[-2:] = [(k[order], join([b1, b2]).take(order))]
         self.rows = sum(len(k) for k, _ in self.levels) + sum(len(x.g) for x in self.more)
         return join(settled)
@@ -159,8 +190,8 @@ class LogIndex:
 
 
 OPEN, SETTLED, MIXED = 0, 1, 2
-#: A row of the exchange: anchor; string hash and place in one long; document; text number, kind and window count in one.
-_ROW = "g long, m long, doc long, r long"
+#: A row of the exchange: anchor; string hash; place; document; text number, kind and window count in one.
+_ROW = "g long, s long, pos int, doc long, r long"
 _FOUND = "g long, doc long, sub int, pos long, run int, kind int"
 _FOUND_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -169,9 +200,9 @@ def _batch(x: Suffixes, kind: np.ndarray) -> pa.RecordBatch:
     """Rows for the exchange, in the order of the documents (which packs well)."""
     order = np.lexsort((x.pos, x.doc))
     x, kind = x.take(order), kind[order]
-    m = (np.where(kind == OPEN, x.s, np.uint64(0)) << np.uint64(32)) | x.pos.astype(np.uint64)
+    s = np.where(kind == OPEN, x.s, np.uint64(0))
     r = x.sub << 34 | kind << 32 | x.run
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x.g.view(np.int64), m.view(np.int64), x.doc, r)], names=["g", "m", "doc", "r"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x.g.view(np.int64), s.view(np.int64), x.pos.astype(np.int32), x.doc, r)], names=["g", "s", "pos", "doc", "r"])
 
 
 def _open_rows(rows: Suffixes) -> pa.RecordBatch:
@@ -204,10 +235,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal hold, size
         if hold:
             texts, docs, subs, first = zip(*hold, strict=True)
-            found = sample(list(texts), np.array(docs, np.int64), np.array(subs, np.int64), np.array(first, np.int64))
+            found, strings = sample(list(texts), np.array(docs, np.int64), np.array(subs, np.int64), np.array(first, np.int64))
             hold, size = [], 0
             if len(found.g):
-                settled = index.add(found)
+                settled = index.add(found, strings)
                 if len(settled.g):
                     yield _batch(settled, np.full(len(settled.g), SETTLED))
             if index.rows > INDEX_ROWS:
@@ -225,16 +256,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open rows in the order of (g, m): settle equal strings of all tasks, and find anchors with several strings. Other rows pass through."""
+    """Open rows in the order of (g, s): settle equal strings of all tasks, and find anchors with several strings. Other rows pass through."""
     rest: list[np.ndarray] | None = None
 
-    def rows(g: np.ndarray, m: np.ndarray, doc: np.ndarray, r: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        cols = [np.where(kind == MIXED, g, 0), doc, r >> 34, m & 0xFFFFFFFF, r & 0xFFFFFFFF, kind]
+    def rows(g: np.ndarray, _: np.ndarray, pos: np.ndarray, doc: np.ndarray, r: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        cols = [np.where(kind == MIXED, g, 0), doc, r >> 34, pos, r & 0xFFFFFFFF, kind]
         return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(cols, _FOUND_TYPES, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def settle(c: list[np.ndarray]) -> pa.RecordBatch:
-        g, m, doc, r = c
-        s = m.view(np.uint64) >> np.uint64(32)
+        g, s, _, doc, _ = c
         new_g = np.r_[True, g[1:] != g[:-1]]
         new_s = new_g | np.r_[True, s[1:] != s[:-1]]
         group, string = np.cumsum(new_g) - 1, np.cumsum(new_s) - 1
@@ -244,11 +274,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.minimum.reduceat(doc, at_s)[string]
         kind = np.where(doc > least, SETTLED, np.where((strings[group] > 1) & (low < high)[group], MIXED, OPEN))
         keep = kind != OPEN
-        return rows(g[keep], m[keep], doc[keep], r[keep], kind[keep])
+        return rows(*(x[keep] for x in c), kind[keep])
 
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        kind = cols[3] >> 32 & 3
+        kind = cols[4] >> 32 & 3
         known = kind != OPEN
         if known.any():
             yield rows(*(x[known] for x in cols), kind[known])
@@ -402,8 +432,8 @@ def repeated(rows: DataFrame, hot: int = HOT) -> DataFrame:
     which combines equal ones before they move.
     """
     open_rows = rows.where(F.length("t") >= MATCH).select("key", "sub", "t").mapInArrow(_index, _ROW)
-    dealt = F.when(F.getbit("r", F.lit(32)) + F.getbit("r", F.lit(33)) == 0, F.col("g")).otherwise(F.xxhash64("doc", "m"))
-    found = materialise(open_rows.repartition(dealt).sortWithinPartitions("g", "m").mapInArrow(_merge, _FOUND), "found")
+    dealt = F.when(F.getbit("r", F.lit(32)) + F.getbit("r", F.lit(33)) == 0, F.col("g")).otherwise(F.xxhash64("doc", "pos"))
+    found = materialise(open_rows.repartition(dealt).sortWithinPartitions("g", "s").mapInArrow(_merge, _FOUND), "found")
     mixed = found.where(F.col("kind") == MIXED)
     counts = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("run").cast("long") + (MATCH - 1)).alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     many = materialise(counts.where(((F.col("n") > hot) | (F.col("size") > HOT_BYTES)) & (F.col("low") < F.col("high"))).select("g"), "hot")

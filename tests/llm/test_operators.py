@@ -309,7 +309,7 @@ def test_long_texts_are_cut_without_losing_windows(spark, monkeypatch):
         monkeypatch.setattr(substrings, "BATCH_BYTES", size)
         rows = []
         for doc, t in enumerate([a, "x" * 200 + a[1000:3000] + "y" * 200]):
-            rows += [substrings.sample([p[0]], np.array([doc]), np.array([0]), np.array([p[3]])) for p in substrings._pieces(doc, 0, t.encode())]
+            rows += [substrings.sample([p[0]], np.array([doc]), np.array([0]), np.array([p[3]]))[0] for p in substrings._pieces(doc, 0, t.encode())]
         x = substrings.join(rows)
         got[size] = sorted((d, p + k) for d, p, r in zip(x.doc, x.pos, x.run, strict=True) for k in range(r))
     assert got[300] == got[1 << 20] and len(got[300]) == 5000 - 49 + 2400 - 49
@@ -319,9 +319,9 @@ def test_log_index_levels_grow_geometrically():
     index, rng = substrings.LogIndex(), np.random.default_rng(1)
     for d in range(40):
         t = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
-        index.add(substrings.sample([t], np.array([d]), np.array([0])))
+        index.add(*substrings.sample([t], np.array([d]), np.array([0])))
         sizes = [len(k) for k, _ in index.levels]
-        assert all(a > 2 * b for a, b in itertools.pairwise(sizes)) and all((np.diff(k.astype(object)) > 0).all() for k, _ in index.levels[-1:])
+        assert all(a > 2 * b for a, b in itertools.pairwise(sizes)) and all((k[1:] > k[:-1]).all() for k, _ in index.levels)
     assert len(index.levels) <= 8
 
 
@@ -643,21 +643,45 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, tile):
     assert nearcopies.drop_near_copies(rows.where("false")).count() == 0
 
 
-def test_index_with_colliding_keys(monkeypatch):
-    """All strings share one key: none is settled by another's occurrence, and what isn't settled is handed on."""
-    monkeypatch.setattr(substrings, "mix", lambda h: np.zeros_like(h))
+def test_index_with_colliding_hashes():
+    """All anchors and strings have one hash: none is settled by another's occurrence, and what isn't settled is handed on."""
+    ruler = b"-" * substrings.ORDERED
+    pool = [b"x" * 50, b"x" * 51, b"x" * 50 + b"\0", b"x" * 49 + b"\0", *[bytes([97 + k]) * (60 + k) for k in range(6)], *[ruler + bytes([97 + k]) * 90 for k in range(5)]]
+    size = np.array([len(x) for x in pool])
+    buf, at = np.frombuffer(b"".join(pool), np.uint8), np.cumsum(size) - size
     rng, index, rows, settled = np.random.default_rng(2), substrings.LogIndex(), [], []
     for _ in range(12):
         n = 60
-        batch = substrings.Suffixes(rng.integers(0, 5, n, np.uint64), rng.integers(0, 4, n, np.uint64), rng.integers(0, 30, n), np.zeros(n, np.int64), rng.integers(0, 1000, n), np.ones(n, np.int64))
+        k, none = rng.integers(0, len(pool), n), np.zeros(n, np.uint64)
+        batch = substrings.Suffixes(none, none, rng.integers(0, 30, n), k, rng.integers(0, 1000, n), size[k] - 49)  # the text number tells the string
         rows += list(zip(*(c.tolist() for c in batch), strict=True))
-        settled += list(zip(*(c.tolist() for c in index.add(batch)), strict=True))
+        settled += list(zip(*(c.tolist() for c in index.add(batch, substrings.strings_of(buf, at[k], size[k], none))), strict=True))
+        for key, _ in index.levels:
+            assert (key[1:] > key[:-1]).all()
     kept = list(zip(*(c.tolist() for c in index.flush()), strict=True))
-    assert Counter(rows) == Counter(settled) + Counter(kept) and settled
+    assert Counter(rows) == Counter(settled) + Counter(kept) and len({r[3] for r in settled}) > 10
     least = {}
-    for g, s, doc, *_ in rows:
-        least[g, s] = min(doc, least.get((g, s), doc))
-    assert all(doc > least[g, s] for g, s, doc, *_ in settled) and {(g, s) for g, s, doc, *_ in kept if doc == least[g, s]} == set(least)
+    for _, _, doc, k, *_ in rows:
+        least[k] = min(doc, least.get(k, doc))
+    assert all(doc > least[k] for _, _, doc, k, *_ in settled) and {k for _, _, doc, k, *_ in kept if doc == least[k]} == set(least)
+
+
+def test_one_anchor_in_many_strings():
+    """Strings around one anchor are told apart by all 64 bits of their hash, however many they are."""
+    n = 1 << 17
+    buf = np.zeros(n * 50, np.uint8)
+    buf.reshape(n, 50)[:, :4] = np.arange(n, dtype=">u4").view(np.uint8).reshape(-1, 4)
+    at = np.arange(0, n * 50, 50)
+    assert len(np.unique(substrings.Hashes(buf).of(at, at + 50))) == n
+
+
+def test_levels_are_in_the_order_of_bytes():
+    rng, index = np.random.default_rng(3), substrings.LogIndex()
+    text = bytes(rng.integers(97, 100, 6000, dtype=np.uint8))
+    index.add(*substrings.sample([text], np.array([1]), np.array([0])))
+    (key, rows), = index.levels
+    got = [text[p : p + r + 49] for p, r in zip(rows.pos, rows.run, strict=True)]
+    assert got == sorted(got) and len(got) > 300
 
 
 def test_anchor_with_many_bytes(spark, monkeypatch):
