@@ -20,6 +20,7 @@ SPREAD = MATCH - ANCHOR + 1
 BATCH_BYTES, INDEX_ROWS = 1 << 20, 1_500_000
 #: Bytes by which suffixes are ordered: all that windows with one anchor can cover, unless that anchor recurs in them.
 ORDERED = MATCH + SPREAD - 1
+_COVERED = np.tri(ORDERED + 1, ORDERED, -1, np.uint8) * np.uint8(255)
 NO_ID = (1 << 63) - 1
 #: Different strings around one anchor, and their bytes, that one task compares; anchors with more are compared window by window over all tasks.
 HOT, HOT_BYTES = 20_000, 1 << 25
@@ -87,8 +88,7 @@ def strings_of(buf: np.ndarray, a: np.ndarray, n: np.ndarray, s: np.ndarray) ->
     """The strings of n bytes at places a of a buffer, with their hashes s."""
     view = np.lib.stride_tricks.sliding_window_view(np.r_[buf, np.zeros(ORDERED, np.uint8)], ORDERED)
     order = np.empty((len(a), ORDERED + 12), np.uint8)
-    order[:, :ORDERED] = view[a]
-    order[:, :ORDERED][np.arange(ORDERED) >= n[:, None]] = 0
+    np.bitwise_and(view[a], _COVERED[np.minimum(n, ORDERED)], out=order[:, :ORDERED])
     order[:, ORDERED : ORDERED + 4] = n.astype(">u4").view(np.uint8).reshape(-1, 4)
     order[:, ORDERED + 4 :] = s.astype(">u8").view(np.uint8).reshape(-1, 8)
     return Strings(order.view(f"S{ORDERED + 12}").ravel(), {i: buf[a[i] : a[i] + n[i]].tobytes() for i in np.flatnonzero(n > ORDERED).tolist()})
@@ -151,17 +151,20 @@ class LogIndex:
         if apart:  # long strings alike in all but their tails meet at the exchange
             self.more.append(batch.take(np.array(apart)))
             order = order[~np.isin(order, apart)]
-        key, batch = key[order], batch.take(order)
-        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        batch = batch.take(order)
+        new = np.r_[True, batch.s[1:] != batch.s[:-1]][: len(order)]
+        same = np.flatnonzero(~new)
+        new[same] = key[order[same]] != key[order[same - 1]]
         least = batch.doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         settled.append(batch.take(batch.doc > least))
         self.more.append(batch.take(~new & (batch.doc == least)))
-        key, batch = key[new], batch.take(new)
-        bits, left = batch.s >> np.uint64(40), np.ones(len(key), bool)
+        order, batch = order[new], batch.take(new)
+        bits, left = batch.s >> np.uint64(40), np.ones(len(order), bool)
         mine = np.flatnonzero(self.seen[bits])
         for k, there in self.levels:
-            at = np.minimum(np.searchsorted(k, key[mine]), len(k) - 1)  # both in order: one pass through the level
-            hit = k[at] == key[mine]
+            ask = key[order[mine]]
+            at = np.minimum(np.searchsorted(k, ask), len(k) - 1)  # both in order: one pass through the level
+            hit = k[at] == ask
             at, met, mine = at[hit], mine[hit], mine[~hit]
             now, old = batch.doc[met], there.doc[at]
             settled.append(batch.take(met[now > old]))
@@ -171,7 +174,7 @@ class LogIndex:
             for x, y in zip(there, batch, strict=True):
                 x[at] = y[less]
             left[met] = False
-        key, batch = key[left], batch.take(left)
+        key, batch = key[order[left]], batch.take(left)
         self.seen[bits[left]] = True
         if len(key):
             self.levels.append((key, batch))
