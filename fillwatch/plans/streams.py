@@ -1,6 +1,6 @@
-"""Registered queries over streams: the sensor log and the items as files that come in several parts, with a restart in between.
+"""Registered queries over streams: the sensor log and the items as files that come in several parts, with a restart between them.
 
-Every stream takes in the first parts, ends, and goes on from its checkpoint with the others. Its rows are compared with
+Every stream takes in a part, ends, and goes on from its checkpoint with the next. Its rows are compared with
 what batch SQL makes of the whole tables.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.operators import features as X
 from fillwatch.plans.telemetry import DEDUP, FEATURES, R6, r6
-from fillwatch.session import shared_dir
+from fillwatch.session import shared_dir, stored
 from fillwatch.sources.adapters import ITEMS_SQL, READINGS_SQL, item_events, readings, readings_dup
 from fillwatch.streaming import streams as T
 
@@ -25,14 +25,18 @@ END_DAYS = 40
 
 
 def _feed(log: DataFrame, path: str) -> list[Callable[[], None]]:
-    """Writes the log in parts, out of order by up to DISORDER_US over their borders; the last has a reading that ends the stream."""
+    """Writes the log in parts, out of order by up to DISORDER_US over their borders; the last is a reading that ends the stream.
+
+    The log is computed once; all tasks write a part's files, however large it is.
+    """
+    log = stored(log, "feed")
     spark = log.sparkSession
     low, high = log.agg(F.min(X.us()), F.max(X.us())).first()
     width = (high - low + DISORDER_US) // PARTS + 1
     part = F.floor((X.us() - low + F.col("seq") * 7919 % DISORDER_US) / width)
 
     def put(k: int) -> None:
-        log.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        log.where(part == k).write.mode("append").parquet(path)
 
     def end() -> None:
         last = spark.range(1).select(F.lit("END").alias("bin_id"), F.timestamp_micros(F.lit(high + END_DAYS * 86_400 * X.SECOND)).alias("ts"))
@@ -42,14 +46,11 @@ def _feed(log: DataFrame, path: str) -> list[Callable[[], None]]:
 
 
 def _through(spark: SparkSession, log: DataFrame, make: Callable[[DataFrame], DataFrame], put: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """What a stream over the feed has written in two runs."""
+    """What a stream over the feed has written: a run for each part, which takes in all its files as one batch."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    steps = _feed(log, f"{at}/log")
-    for run in (steps[:2], steps[2:]):
-        for step in run:
-            step()
-        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
-        T.run_available(make(source), f"{at}/out", f"{at}/checkpoint", put=put)
+    for step in _feed(log, f"{at}/log"):
+        step()
+        T.run_available(make(spark.readStream.schema(log.schema).parquet(f"{at}/log")), f"{at}/out", f"{at}/checkpoint", put=put)
     return None if put else spark.read.parquet(f"{at}/out").where("bin_id <> 'END'")
 
 

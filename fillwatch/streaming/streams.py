@@ -1,14 +1,12 @@
-"""The operators on streams: keyed state by time, event-time timers, and sinks that a replayed batch can't spoil."""
+"""The operators on streams: aggregates by bin and event time, keyed state, and sinks that a replayed batch can't spoil."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from fillwatch.operators.features import BANDS, BARRIER, HOUR, RATE_LIMIT, RESET, SECOND
@@ -37,78 +35,28 @@ def rates(recent: list[tuple[int, float]], t: int, fill: float) -> tuple[float,
     return clip(one), clip(one if six is None else six)
 
 
-class InOrder(StatefulProcessor):
-    """Hands a bin's readings on in the order of time, one for each time, as soon as the watermark has passed them.
+def on_disk(spark: SparkSession) -> None:
+    """State in RocksDB: what a stream remembers need not fit the executors' memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    State: a map by time of the readings that the watermark hasn't passed, the last by seq for each time, and the time
-    that the bin's timer is set to. Each new reading is one entry written, each one passed on an entry removed.
-    """
-
-    values = "seq long, fill_pct double"
 
-    def init(self, handle: Any) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long", self.values)
-        self.timer = handle.getValueState("timer", "ms long")
-
-    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
-        """Output rows for readings (us, *values) that the watermark has passed, and when to be woken at the latest."""
-        raise NotImplementedError
-
-    def _wake(self, us: int | None) -> None:
-        """One timer a bin, at the next full millisecond."""
-        ms, was = None if us is None else -(-us // 1000), self.timer.get()[0] if self.timer.exists() else None
-        if ms == was:
-            return
-        if was is not None:
-            self.handle.deleteTimer(was)
-        if ms is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = self.timer.get()[0] * 1000 if self.timer.exists() else None
-        for b in rows:
-            b = b.sort_values("seq", kind="stable", na_position="first").drop_duplicates("us", keep="last")
-            for us, value in zip(b.us.tolist(), zip(*(b[c].astype(object).where(b[c].notna(), None) for c in self.names), strict=True), strict=True):
-                was = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else None
-                if was is None or was[0] is None or (value[0] is not None and value[0] >= was[0]):
-                    self.waiting.updateValue((us,), tuple(value))
-                first = us if first is None else min(first, us)
-        self._wake(first)
-        yield pd.DataFrame(columns=self.out).astype("object")
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((k[0], *v) for k, v in self.waiting.iterator())
-        ready = [x for x in held if x[0] <= mark]
-        for x in ready:
-            self.waiting.removeKey((x[0],))
-        self.timer.clear()  # it has gone off
-        rows, wake = self.passed(key[0], ready, mark)
-        left = [x[0] for x in held[len(ready) : len(ready) + 1]] + ([] if wake is None else [wake])
-        self._wake(min(left, default=None))
-        yield pd.DataFrame(rows, columns=self.out)
+def _last_readings(log: DataFrame, late: str) -> DataFrame:
+    """(bin_id, ts, us, r): the last reading by seq of each bin and time as a struct, once the watermark has passed the time.
 
-    def close(self) -> None:
-        pass
-
-
-def _in_order(log: DataFrame, late: str, processor: InOrder, out: str | T.StructType) -> DataFrame:
-    """Runs a processor over a log (bin_id, ts, seq, ..); readings without a time are left out, late ones dropped (see late_rows)."""
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = T.StructType.fromDDL(out) if isinstance(out, str) else out
-    values = T.StructType.fromDDL(processor.values) if isinstance(processor.values, str) else processor.values
-    processor.names, processor.out = values.names, schema.names
+    A streaming aggregate by bin and event time: its state is one row for each of them, and it hands on all that a new
+    watermark has passed, in one batch. So whatever follows may go on from bin to bin in the order of time. Readings
+    without a time are left out, late ones dropped (see late_rows).
+    """
+    on_disk(log.sparkSession)
     seq = F.col("seq").cast("long") if "seq" in log.columns else F.lit(None).cast("long")
-    x = log.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("bin_id").cast("string").alias("bin_id"), "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), *[c for c in values.names if c != "seq"])
-    return x.groupBy("bin_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rest = [c for c in log.columns if c not in ("bin_id", "ts", "seq")]
+    x = log.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("bin_id").cast("string").alias("bin_id"), "ts", seq.alias("seq"), *rest)
+    last = x.groupBy("bin_id", "ts").agg(F.max_by(F.struct("seq", *rest), F.struct("seq")).alias("r"))  # a struct: null seqs come first
+    return last.select("bin_id", "ts", F.unix_micros("ts").alias("us"), "r")
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark, as far as the query's progress reports go back."""
+    """Rows that came behind the watermark, as far as the query's progress reports go back; in a batch, rows of one bin and time count as one."""
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
@@ -118,24 +66,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-class LastReading(InOrder):
-    def __init__(self, values: T.StructType):
-        self.values = values
-
-    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
-        return [(bin_id, *r) for r in ready], None
-
-
 def dedup_stream(log: DataFrame, late: str = "2 hours") -> DataFrame:
     """One reading per bin and time, the last by seq as in batch, once the watermark has passed the time.
 
     (bin_id, us, seq, ..): all columns of the log, with the time in microseconds. Equal to dedup_last on the rows that
     aren't late.
     """
-    rest = [f for f in log.schema if f.name not in ("bin_id", "ts", "seq")]
-    values = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rest]])
-    out = T.StructType([T.StructField("bin_id", T.StringType()), T.StructField("us", T.LongType()), *values])
-    return _in_order(log, late, LastReading(values), out)
+    return _last_readings(log, late).select("bin_id", "us", "r.*")
 
 
 def session_totals_stream(items: DataFrame) -> DataFrame:
@@ -143,22 +80,26 @@ def session_totals_stream(items: DataFrame) -> DataFrame:
     return price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("total_cents"), F.count_if(F.col("result") == "accepted").alias("accepted"), F.count(F.lit(1)).alias("n_events"))
 
 
-class Rates(InOrder):
-    """Cycles and rates. Besides what waits: the last reading, reset and cycle as one value, and a map by time of the segment's last nine hours, of which only what comes and goes is written."""
+class Rates(StatefulProcessor):
+    """Cycles and rates of a bin's readings, which come once and in the order of time from batch to batch.
+
+    State: the last reading, reset and cycle as one value, and a map by time of the segment's last nine hours, of which only
+    what comes and goes is written.
+    """
 
     def __init__(self, drop_pct: float, barrier: float):
         self.drop_pct, self.barrier = drop_pct, barrier
 
     def init(self, handle: Any) -> None:
-        super().init(handle)
         self.bin = handle.getValueState("bin", "last long, fill double, reset long, cycle long")
         self.recent = handle.getMapState("recent", "us long", "fill double")
 
-    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
-        last, before, reset, cycle = self.bin.get() if self.bin.exists() else (None, None, None, 0)
-        kept = {k[0]: v[0] for k, v in self.recent.iterator()}
-        segment, out = sorted(kept.items()), []
-        for t, _, fill in ready:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = self.bin.get()
+        last, before, reset, cycle = known or (None, None, None, 0)
+        kept = {} if known is None else {k[0]: v[0] for k, v in self.recent.iterator()}
+        segment = sorted(kept.items())
+        for t, fill in sorted((r.us, r.fill_pct) for r in rows):
             step = None if last is None else fill - before
             if step is not None and step < -self.drop_pct:
                 cycle, reset = cycle + 1, t
@@ -167,57 +108,40 @@ class Rates(InOrder):
             elif last is not None and not segment:
                 segment = [(last, before)]
             reset = t if reset is None else reset
-            out.append((bin_id, t, fill, cycle, (t - reset) / HOUR, *rates(segment, t, fill)))
+            yield Row(bin_id=key[0], us=t, fill_pct=fill, cycle_id=cycle, time_since_reset_hours=(t - reset) / HOUR, **dict(zip(("fill_rate_1h", "fill_rate_6h"), rates(segment, t, fill), strict=True)))
             segment, last, before = [*(r for r in segment if t - r[0] <= LOOKBACK_US), (t, fill)], t, fill
         now = dict(segment)
         for t in kept.keys() - now.keys():
             self.recent.removeKey((t,))
         for t in now.keys() - kept.keys():
             self.recent.updateValue((t,), (now[t],))
-        if ready:
-            self.bin.update((last, before, reset, cycle))
-        return out, None
+        self.bin.update((last, before, reset, cycle))
+
+    def close(self) -> None:
+        pass
 
 
 def reset_stream(log: DataFrame, late: str = "2 hours", drop_pct: float = RESET, barrier: float = BARRIER) -> DataFrame:
     """Each reading with its cycle, hours since the last reset and both rates, once the watermark has passed it.
 
     Equal to the batch operators over the rows that aren't late: rows within the watermark may come in any order and more
-    than once (the last by seq counts). A timer emits a quiet bin's rows. Readings without a level or time are left out.
+    than once (the last by seq counts). A quiet bin's rows come with the watermark too. Readings without a level or time
+    are left out.
     """
-    return _in_order(log.where("fill_pct IS NOT NULL"), late, Rates(drop_pct, barrier), _READING)
-
-
-class Silence(InOrder):
-    values = "seq long"
-
-    def __init__(self, max_us: int):
-        self.max_us = max_us
-
-    def init(self, handle: Any) -> None:
-        super().init(handle)
-        self.bin = handle.getValueState("bin", "last long, told boolean")
-
-    def passed(self, bin_id: str, ready: list[tuple], watermark_us: int) -> tuple[list[tuple], int | None]:
-        last, told = self.bin.get() if self.bin.exists() else (None, True)
-        out = []
-        for t in [*(r[0] for r in ready), None]:
-            if not told and (watermark_us if t is None else t) - last > self.max_us:
-                out.append((bin_id, last))
-                told = True
-            if t is not None:
-                last, told = t, False
-        self.bin.update((last, told))
-        return out, None if told else last + self.max_us + 1
+    known = log.where("fill_pct IS NOT NULL")
+    x = _last_readings(known.select([c for c in known.columns if c in ("bin_id", "ts", "seq", "fill_pct")]), late)
+    return x.select("bin_id", "us", "r.fill_pct").groupBy("bin_id").transformWithState(Rates(drop_pct, barrier), _READING, "Append", "None")
 
 
 def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 72.0) -> DataFrame:
     """(bin_id, last_us): an alert for each silence of more than max_hours of event time, as soon as the watermark proves it.
 
-    Readings wait for the watermark, so one that comes late, but not too late, breaks a silence as it should. Readings
-    without a time are left out.
+    A silence is what ends a session whose readings are max_hours apart at most. A session waits for the watermark, so a
+    reading that comes late, but not too late, breaks a silence as it should. Readings without a time are left out.
     """
-    return _in_order(log, late, Silence(int(max_hours * HOUR)), "bin_id string, last_us long")
+    on_disk(log.sparkSession)
+    x = log.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("bin_id").cast("string").alias("bin_id"), "ts")
+    return x.groupBy("bin_id", F.session_window("ts", f"{int(max_hours * HOUR)} microseconds")).agg(F.unix_micros(F.max("ts")).alias("last_us")).select("bin_id", "last_us")
 
 
 #: Parts that a stream's snapshot is laid out in, by a hash of the bin.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.operators import features as X
 from fillwatch.operators.labels import naive_forecast
+from fillwatch.plans import streams as P
 from fillwatch.streaming import streams as T
 
 SCHEMA = "bin_id string, ts timestamp, fill_pct double, seq long"
@@ -123,3 +124,23 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     got = {r.bin_id: r for r in T.stream_snapshot(spark, out, "1970-01-01T00:00:01Z").collect()}
     assert len(got) == 500 and (got["b3"].n, got["b3"].us, got["b3"].epoch) == (3, 9, 8) and (got["b4"].n, got["b4"].epoch) == (2, 8)
     assert (got["b5"].n, got["b5"].status, got["b5"].hours, got["b5"].epoch) == (1, "cold_start", 1.0, 7)
+
+
+def test_feed_is_written_by_all_tasks_and_taken_as_one_batch(spark, tmp_path):
+    """However large a part is, no task has it whole; a run takes in its files together, so none is late."""
+    log = spark.range(4000).repartition(4).select((F.col("id") % 7).cast("string").alias("bin_id"), F.timestamp_seconds(F.col("id") * 600 + 1_760_000_000).alias("ts"), F.col("id").alias("seq"), (F.col("id") % 90).cast("double").alias("fill_pct"))
+    at = str(tmp_path / "log")
+    steps, files = P._feed(log, at), []
+    for step in steps:
+        step()
+        files.append(len(glob.glob(f"{at}/*.parquet")))
+        T.run_available(T.dedup_stream(spark.readStream.schema(log.schema).parquet(at), "12 hours"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert files[0] > 1 and files[1] > files[0] + 1 and files[2] > files[1] + 1
+    assert spark.read.parquet(str(tmp_path / "out")).where("bin_id <> 'END'").count() == 4000
+
+
+def test_repeats_are_told_without_python(spark):
+    """A reading costs no call of a Python worker, neither for dedup nor for silences."""
+    log = spark.readStream.format("rate").load().select(F.lit("a").alias("bin_id"), F.col("timestamp").alias("ts"), F.col("value").alias("seq"), F.lit(1.0).alias("fill_pct"))
+    for out in (T.dedup_stream(log), T.staleness_stream(log)):
+        assert "TransformWithState" not in out._jdf.queryExecution().analyzed().toString()
