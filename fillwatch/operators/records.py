@@ -10,8 +10,6 @@ from fillwatch.sources.adapters import CATEGORIES, REASONS, STATUSES
 
 VALUE_CENTS = 20
 HAZARDS = ("Hazardous waste", "Discarded sharps")
-#: Characters of the strings by which keywords are looked up.
-GRAM = 3
 MIME_TYPES = ("image/jpeg", "image/png", "image/webp")
 
 
@@ -274,36 +272,51 @@ def first_rule(texts: DataFrame, text_col: str, rules: list[tuple[str, list[str]
     return texts.withColumn(out, F.when(F.length(t) >= min_length, chosen).otherwise(F.lit(otherwise).cast("string")))
 
 
-def _grams(c: Column) -> Column:
-    """Distinct strings of three characters; of shorter texts the text itself."""
-    n = F.length(c)
-    return F.when(n <= GRAM, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(c, i, GRAM))))
+def _outside(words: DataFrame) -> str:
+    """A pattern for the characters that no keyword has; as many characters come to the driver as keywords differ in."""
+    chars = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.substring("k", i, 1))).alias("c")).distinct()
+    return "[^" + "".join(f"\\x{{{ord(r.c):x}}}" for r in chars.orderBy("c").collect()) + "]+"
+
+
+def _substrings(pieces: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, k): the substrings of pieces (id, p) that may be keywords (words.k, of these lengths).
+
+    Of lengths from b to 2b - 1, b a power of two, only those whose first b characters begin a keyword: a semi-join, which
+    makes no rows. So their number is at most that of the pieces' substrings of these lengths, however many keywords
+    share a part.
+    """
+    found = None
+    for b in sorted({1 << n.bit_length() - 1 for n in lengths}):
+        of = [n for n in lengths if b <= n < 2 * b]
+        starts = F.transform(F.sequence(F.lit(1), F.length("p") - of[0] + 1), lambda i: F.substring("p", i, F.lit(of[-1])))  # noqa: B023
+        x = pieces.where(F.length("p") >= of[0]).select("id", F.explode(F.array_distinct(starts)).alias("s"))
+        begins = words.where(F.length("k").between(b, 2 * b - 1)).select(F.left("k", F.lit(b)).alias("g")).distinct()
+        x = x.withColumn("g", F.left("s", F.lit(b))).join(fitting(stored(begins, "begins")), "g", "left_semi")
+        x = x.select("id", F.explode(F.array(*[F.when(F.length("s") >= n, F.left("s", F.lit(n))) for n in of])).alias("k")).where("k IS NOT NULL")
+        found = x if found is None else found.unionByName(x)
+    return found
 
 
 def rules_join(texts: DataFrame, key: str, text_col: str, rules: DataFrame, min_length: int = 2) -> DataFrame:
     """(key, rule) of every text: first_rule() with the rules as a table (rule_order, rule_id, keywords) of any size.
 
-    An inverted index: of each keyword the string of three characters that fewest texts have; texts meet only keywords
-    whose string they have, and what meets is verified. Keywords with a string that no text has are out at once. Shorter
-    keywords are looked up by their own length. The index is broadcast if it is small by count; else texts' strings are
-    joined with it, of which only those that it has travel. Null texts match nothing; rows repeated with a key and text
-    have the same rule.
+    A keyword is one row with its first rule. Texts are parted where they have characters that no keyword has; a piece is
+    searched once, however many texts have it. Its substrings meet keywords by equality alone, so a row meets one keyword
+    at most and work grows with the pieces' lengths, not with texts times keywords. Keywords are broadcast if they are few
+    by count. Null texts match nothing; rows repeated with a key and text have the same rule.
     """
     text = F.lower(F.trim(F.col(text_col)))
     t = texts.select(F.col(key).alias("key"), text.alias("t")).withColumn("h", F.xxhash64("t"))
-    every = stored(t.where(F.length("t") >= min_length).distinct(), "texts")
-    words = stored(rules.select("rule_order", "rule_id", F.explode("keywords").alias("k")).where("k <> ''").distinct(), "keywords")
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))
-    lengths = [r.n for r in words.select(F.least(F.length("k"), F.lit(GRAM)).alias("n")).distinct().collect()]  # 1, 2 or 3
-    strings = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.when(F.length("t") >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
-    wanted = stored(words.select(F.explode(_grams(F.col("k"))).alias("g")).distinct(), "grams")
-    having = stored(every.select("key", "h", "t", F.explode(strings).alias("g")).join(fitting(wanted), "g", "left_semi"), "having")
-    often = having.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    spread = words.withColumn("grams", _grams(F.col("k")))
-    ranked = spread.select("rule_order", "rule_id", "k", F.size("grams").alias("of"), F.explode("grams").alias("g")).hint("merge").join(often, "g")
-    index = ranked.groupBy("rule_order", "rule_id", "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("there"), F.first("of").alias("of")).where("there = of").select("rule_order", "rule_id", "k", "g")
-    met = having.join(fitting(stored(index, "index")), "g").where(F.col("t").contains(F.col("k")))
-    best = met.groupBy("key", "h").agg(F.min(F.struct("rule_order", "rule_id")).alias("r")).select(F.col("key").alias("_k"), F.col("h").alias("_h"), F.col("r.rule_id").alias("rule"))
+    words = stored(rules.select(F.struct("rule_order", "rule_id").alias("r"), F.explode("keywords").alias("k")).where("k <> ''").groupBy("k").agg(F.min("r").alias("r")), "keywords")
+    lengths = sorted(r.n for r in words.select(F.length("k").alias("n")).distinct().collect())
+    if not lengths:
+        return t.select(F.col("key").alias(key), F.lit(None).cast(rules.schema["rule_id"].dataType).alias("rule"))
+    every = t.where(F.length("t") >= min_length).distinct()
+    has = stored(every.select("key", "h", F.explode(F.array_distinct(F.split("t", _outside(words)))).alias("p")).where(F.length("p") >= lengths[0]), "has")
+    pieces = stored(has.select("p").distinct().withColumn("id", F.monotonically_increasing_id()), "pieces")
+    hits = _substrings(pieces, words, lengths).join(fitting(words), "k").groupBy("id").agg(F.min("r").alias("r"))
+    first = stored(hits.hint("merge").join(pieces, "id").select("p", "r"), "first")
+    best = has.hint("merge").join(first, "p").groupBy("key", "h").agg(F.min("r").alias("r")).select(F.col("key").alias("_k"), F.col("h").alias("_h"), F.col("r.rule_id").alias("rule"))
     best = stored(best, "best")
     return t.hint("merge").join(best, t.key.eqNullSafe(best._k) & t.h.eqNullSafe(best._h), "left").select(F.col("key").alias(key), "rule")
 

@@ -102,3 +102,13 @@ def test_a_hundred_thousand_keywords(spark):
     texts = spark.range(200).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("No "), F.sha2((F.col("id") * 401).cast("string"), 256).substr(1, 8))).otherwise("nothing here").alias("text"))
     got = {r.id: r.rule for r in R.rules_join(texts, "id", "text", words).collect()}
     assert got == {k: f"r{k * 401}" if k % 2 == 0 else None for k in range(200)}
+
+
+def test_keywords_that_share_a_part_cost_no_pairs(spark):
+    """5,000 keywords, all with one rare beginning, and 300 texts that have it: no text meets them all."""
+    words = spark.range(5000).select(F.format_string("qzx%05d", "id").alias("k"))
+    pieces = spark.range(300).select("id", F.format_string("a qzx%05d b", F.col("id") * 7).alias("p"))
+    got = R._substrings(pieces, words, [8])
+    assert got.count() == 300 and got.join(words, "k").count() == 300
+    rules = words.select(F.lit(1).alias("rule_order"), F.col("k").alias("rule_id"), F.array("k").alias("keywords"))
+    assert {r.id: r.rule for r in R.rules_join(pieces, "id", "p", rules).collect()} == {i: f"qzx{i * 7:05d}" for i in range(300)}
