@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillwatch.session import fitting, stored
+from fillwatch.session import TASK_ROWS, fitting, spread, stored
 from fillwatch.sources.adapters import CATEGORIES, REASONS, STATUSES
 
 VALUE_CENTS = 20
@@ -47,10 +47,10 @@ def session_counts(sessions: DataFrame, items: DataFrame) -> DataFrame:
 ITEM_ORDER = ["created_us", "line", "item_id", "type", "result"]
 
 
-def event_log(items: DataFrame) -> DataFrame:
-    """Items of each session, newest first, with their running number (the oldest is 1)."""
+def event_log(items: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Items of each session, newest first, with their running number (the oldest is 1). A task sorts about task_rows at most."""
     w = Window.partitionBy("session_id").orderBy(*ITEM_ORDER)
-    return items.withColumn("number", F.row_number().over(w).cast("long"))
+    return spread(items, "session_id", rows=task_rows).withColumn("number", F.row_number().over(w).cast("long"))
 
 
 def recoverable_sessions(items: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def recoverable_sessions(items: DataFrame) -> DataFrame:
 def retried_items(items: DataFrame) -> DataFrame:
     """Rejected items that an accepted one of the same type follows directly; both stay in the log."""
     w = Window.partitionBy("session_id").orderBy(*ITEM_ORDER)
-    x = items.withColumn("next_result", F.lead("result").over(w)).withColumn("next_type", F.lead("type").over(w))
+    x = spread(items, "session_id").withColumn("next_result", F.lead("result").over(w)).withColumn("next_type", F.lead("type").over(w))
     return x.where((F.col("result") == "rejected") & (F.col("reason") == REASONS[0]) & (F.col("next_result") == "accepted") & (F.col("next_type") == F.col("type"))).drop("next_result", "next_type")
 
 

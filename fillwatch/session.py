@@ -45,3 +45,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def fitting(df: DataFrame, most: int = 200_000) -> DataFrame:
     """With a broadcast hint if df has no more rows than that (it looks at no more), else with a merge-join hint."""
     return df.hint("broadcast") if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+#: Rows that a task of a window gets on average at most.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df by keys in as many partitions as its counted rows ask for, if the session's own number would give a task more than `rows`.
+
+    A window by the same keys then needs no other exchange, and what a task holds doesn't grow with the table.
+    """
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

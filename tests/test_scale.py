@@ -112,3 +112,13 @@ def test_keywords_that_share_a_part_cost_no_pairs(spark):
     assert got.count() == 300 and got.join(words, "k").count() == 300
     rules = words.select(F.lit(1).alias("rule_order"), F.col("k").alias("rule_id"), F.array("k").alias("keywords"))
     assert {r.id: r.rule for r in R.rules_join(pieces, "id", "p", rules).collect()} == {i: f"qzx{i * 7:05d}" for i in range(300)}
+
+
+def test_partitions_of_the_event_log_follow_its_rows(spark):
+    """The session's number of partitions is 4; more rows get more of them, in the one exchange that the window needs."""
+    items = spark.range(6000).select((F.col("id") % 900).alias("session_id"), F.lit(1).alias("created_us"), F.col("id").alias("line"), F.col("id").alias("item_id"), F.lit("Can").alias("type"), F.lit("accepted").alias("result"))
+    log = R.event_log(items, 500)
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert log.rdd.getNumPartitions() == 12 and plan.count("Exchange hashpartitioning") == 1
+    key = ["session_id", "line", "number"]
+    assert rounded(log, key) == rounded(R.event_log(items), key)
