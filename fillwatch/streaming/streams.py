@@ -18,6 +18,7 @@ from fillwatch.session import exists
 #: What a bin's state remembers of its segment for the rates.
 LOOKBACK_US = max(high for _, _, high in BANDS.values()) * SECOND
 _READING = "bin_id string, us long, fill_pct double, cycle_id long, time_since_reset_hours double, fill_rate_1h double, fill_rate_6h double"
+READING = Row(*(c.split()[0] for c in _READING.split(", ")))
 
 
 def rates(recent: list[tuple[int, float]], t: int, fill: float) -> tuple[float, float]:
@@ -77,28 +78,26 @@ def dedup_stream(log: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def session_totals_stream(items: DataFrame) -> DataFrame:
     """Running cents and counts per session (update or complete mode)."""
+    on_disk(items.sparkSession)
     return price_items(items).groupBy("session_id").agg(F.sum("value_cents").alias("total_cents"), F.count_if(F.col("result") == "accepted").alias("accepted"), F.count(F.lit(1)).alias("n_events"))
 
 
 class Rates(StatefulProcessor):
     """Cycles and rates of a bin's readings, which come once and in the order of time from batch to batch.
 
-    State: the last reading, reset and cycle as one value, and a map by time of the segment's last nine hours, of which only
-    what comes and goes is written.
+    State: the last reading, reset, cycle and the segment's last nine hours as one value, read and written once a bin and
+    batch: every call of the state is a round trip from Python, whatever it moves.
     """
 
     def __init__(self, drop_pct: float, barrier: float):
         self.drop_pct, self.barrier = drop_pct, barrier
 
     def init(self, handle: Any) -> None:
-        self.bin = handle.getValueState("bin", "last long, fill double, reset long, cycle long")
-        self.recent = handle.getMapState("recent", "us long", "fill double")
+        self.bin = handle.getValueState("bin", "last long, fill double, reset long, cycle long, us array<long>, fills array<double>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        known = self.bin.get()
-        last, before, reset, cycle = known or (None, None, None, 0)
-        kept = {} if known is None else {k[0]: v[0] for k, v in self.recent.iterator()}
-        segment = sorted(kept.items())
+        last, before, reset, cycle, times, fills = self.bin.get() or (None, None, None, 0, [], [])
+        segment = list(zip(times, fills, strict=True))
         for t, fill in sorted((r.us, r.fill_pct) for r in rows):
             step = None if last is None else fill - before
             if step is not None and step < -self.drop_pct:
@@ -108,14 +107,9 @@ class Rates(StatefulProcessor):
             elif last is not None and not segment:
                 segment = [(last, before)]
             reset = t if reset is None else reset
-            yield Row(bin_id=key[0], us=t, fill_pct=fill, cycle_id=cycle, time_since_reset_hours=(t - reset) / HOUR, **dict(zip(("fill_rate_1h", "fill_rate_6h"), rates(segment, t, fill), strict=True)))
+            yield READING(key[0], t, fill, cycle, (t - reset) / HOUR, *rates(segment, t, fill))
             segment, last, before = [*(r for r in segment if t - r[0] <= LOOKBACK_US), (t, fill)], t, fill
-        now = dict(segment)
-        for t in kept.keys() - now.keys():
-            self.recent.removeKey((t,))
-        for t in now.keys() - kept.keys():
-            self.recent.updateValue((t,), (now[t],))
-        self.bin.update((last, before, reset, cycle))
+        self.bin.update((last, before, reset, cycle, [t for t, _ in segment], [f for _, f in segment]))
 
     def close(self) -> None:
         pass
