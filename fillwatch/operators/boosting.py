@@ -145,13 +145,13 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int =
     rows'. A leaf's value is the shrunken mean of what is left, with l2. Rows without a label are left out, missing features
     are in the first bin; without rows the model predicts 0.
     """
-    known = train.where(F.col(label).isNotNull())
+    known = stored(train.where(F.col(label).isNotNull()).select(label, *features), "train")
     if edges is None:
         edges = known.select(*[F.col(f).cast("double").alias(f) for f in features]).approxQuantile(features, [k / bins for k in range(1, bins)], 1 / (4 * bins))
     model = Boosted(features, [np.unique(np.array(e, float)) for e in edges], gains=np.zeros(len(features)))
     model.base = float(known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
     width = max(len(e) for e in model.edges) + 1
-    data, new, rng = _packed(train, model, label), [], np.random.default_rng(seed)
+    data, new, rng = _packed(known, model, label), [], np.random.default_rng(seed)
     for number in range(rounds):
         use = np.sort(rng.choice(len(features), max(1, round(columns * len(features))), replace=False))
         tree = Tree.of_depth(depth)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fillwatch.operators.boosting import Boosted, fit_boosted
 from fillwatch.operators.features import FEATURES
 from fillwatch.operators.labels import evaluate, leaks_label, naive_forecast, select_model
+from fillwatch.session import stored
 
 #: Full sizes; the forest needs several GB of driver memory at these.
 FOREST = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, "seed": 42}
@@ -24,6 +25,7 @@ def fit(train: DataFrame, kind: str, label: str = "time_to_overflow_hours", feat
     """The ten features (or others) and one regressor: linear, forest, boosted (second order, columns drawn per tree) or gbt (Spark's)."""
     if kind == "boosted":
         return fit_boosted(train, features, label, **BOOSTED | params)
+    train = stored(train.select(*features, label), "train")  # a fit passes over its rows many times
     common = {"labelCol": label, "featuresCol": "features", "predictionCol": "predicted_hours"}
     if kind == "linear":
         model = LinearRegression(**common | params)
@@ -49,10 +51,11 @@ def scorer(model: PipelineModel):  # noqa: ANN201
 def train_and_compare(labeled: DataFrame, val_from: str, test_from: str, params: dict[str, dict] | None = None) -> tuple[DataFrame, str, dict[str, PipelineModel]]:
     """Fit on purged train, select forest or boosted on purged val, report on untouched test: (metrics, selected name, models).
 
-    labeled needs `split` (chronological_split). All predictions go through one long table and one aggregate.
+    labeled needs `split` (chronological_split). The rows are computed once and read from the shared
+    folder by every fit. All predictions go through one long table and one aggregate.
     """
     params = params or {"linear": {}, "forest": {}, "boosted": {}}
-    clean = labeled.where(~leaks_label(val_from, test_from))
+    clean = stored(labeled.where(~leaks_label(val_from, test_from)), "labeled")  # every model fits and scores it; its windows run once
     train = clean.where("split = 'train'")
     models = {k: fit(train, k, **p) for k, p in params.items()}
     cols = ["split", "time_to_overflow_hours", "predicted_hours"]

@@ -7,8 +7,10 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from fillwatch.operators import models
 from fillwatch.operators.features import FEATURES
 from fillwatch.plans import service, streams, telemetry
+from fillwatch.sources.adapters import TEST_FROM, VAL_FROM
 from tests.sql_compare import assert_same, duck
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,17 @@ def test_entry_hides_no_missing_module(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", broken)
     with pytest.raises(ModuleNotFoundError):
         entry.queries()
+
+
+def test_models_compute_their_rows_once(spark):
+    """However many models and passes: the rows come from the log once."""
+    x = telemetry.split(spark, SF)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for b in parts:
+            seen.add(b.num_rows)
+            yield b
+
+    models.train_and_compare(x.mapInArrow(count, x.schema), VAL_FROM, TEST_FROM, {"linear": {}})[0].collect()
+    assert seen.value == x.count()
