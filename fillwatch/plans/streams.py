@@ -81,9 +81,10 @@ def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def stream_totals(spark: SparkSession, d: str) -> DataFrame:
     """Cents and counts of every session, from changed sessions batch by batch."""
     at, items = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}", item_events(spark, d)
-    items.repartition(3).write.parquet(f"{at}/items")
-    source = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/items")
-    T.run_available(T.session_totals_stream(source), "", f"{at}/checkpoint", "update", T.totals_upsert(f"{at}/totals"))
+    for k in range(PARTS):  # written where they are read, by all tasks, and taken in as one batch
+        items.where(F.pmod(F.xxhash64("session_id", "line"), F.lit(PARTS)) == k).write.mode("append").parquet(f"{at}/items")
+        source = spark.readStream.schema(items.schema).parquet(f"{at}/items")
+        T.run_available(T.session_totals_stream(source), "", f"{at}/checkpoint", "update", T.totals_upsert(f"{at}/totals"))
     return T.latest_totals(spark, f"{at}/totals").select("session_id", F.col("total_cents").cast("long").alias("total_cents"), "accepted", "n_events")
 
 

@@ -10,6 +10,7 @@ from fillwatch.operators.labels import naive_forecast
 from fillwatch.plans import streams as P
 from fillwatch.streaming import streams as T
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "bin_id string, ts timestamp, fill_pct double, seq long"
 
 
@@ -144,3 +145,19 @@ def test_repeats_are_told_without_python(spark):
     log = spark.readStream.format("rate").load().select(F.lit("a").alias("bin_id"), F.col("timestamp").alias("ts"), F.col("value").alias("seq"), F.lit(1.0).alias("fill_pct"))
     for out in (T.dedup_stream(log), T.staleness_stream(log)):
         assert "TransformWithState" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_totals_are_fed_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Four files of items: each is written on by its own task, to each of the three parts."""
+    spark.read.parquet(f"{SF}/lineitem.parquet").repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(P, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    assert P.stream_totals(spark, str(tmp_path)).count() > 0
+    assert len(glob.glob(f"{tmp_path}/shared/totals-*/items/*.parquet")) == 12
+
+
+def test_silence_at_its_border(spark, tmp_path):
+    """Readings exactly max_hours apart are no silence, a microsecond more is one."""
+    rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-02 00:00:00"), ("b", "2026-01-01 00:00:00"), ("b", "2026-01-02 00:00:00.000001"), ("z", "2026-02-01 00:00:00")]
+    spark.createDataFrame(rows, "bin_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "log"))
+    got = drain(spark, T.staleness_stream(stream(spark, str(tmp_path / "log"), "bin_id string, ts timestamp"), "12 hours", 24.0), tmp_path)
+    assert sorted((r.bin_id, r.last_us - 1_767_225_600_000_000) for r in got.collect()) == [("a", 86_400_000_000), ("b", 0), ("b", 86_400_000_001)]
