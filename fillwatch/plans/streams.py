@@ -61,7 +61,9 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     """Cycles, hours since the last reset and both rates."""
-    return _through(spark, readings_dup(spark, d), lambda s: T.reset_stream(s, LATE)).select("bin_id", "us", "cycle_id", *r6("time_since_reset_hours", "fill_rate_1h", "fill_rate_6h"))
+    at = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    _through(spark, readings_dup(spark, d), lambda s: T.level_stream(s, LATE), T.rates_upsert(f"{at}/recent", T.epochs_upsert(f"{at}/rates")))
+    return spark.read.parquet(f"{at}/rates").where("bin_id <> 'END'").select("bin_id", "us", "cycle_id", *r6("time_since_reset_hours", "fill_rate_1h", "fill_rate_6h"))
 
 
 def stream_silence(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +74,7 @@ def stream_silence(spark: SparkSession, d: str) -> DataFrame:
 def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The forecast of every configured bin after the last batch."""
     at = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-    log = readings_dup(spark, d)
-    _through(spark, log, lambda s: T.reset_stream(s, LATE), T.snapshot_upsert(at))
+    _through(spark, readings_dup(spark, d), lambda s: T.level_stream(s, LATE), T.rates_upsert(f"{at}-recent", T.snapshot_upsert(at)))
     bins = readings(spark, d).select("bin_id").distinct().union(spark.range(1).select(F.lit("BIN-NONE")))
     return T.stream_snapshot(spark, at, "2024-02-01T00:00:00Z", bins).drop("epoch")
 

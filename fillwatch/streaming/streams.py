@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from fillwatch.operators.features import BANDS, BARRIER, HOUR, RATE_LIMIT, RESET, SECOND
+from fillwatch.operators.features import BANDS, BARRIER, HOUR, RATE_LIMIT, RESET, SECOND, add_rate_features
 from fillwatch.operators.labels import naive_forecast, risk_level
 from fillwatch.operators.records import price_items
 from fillwatch.operators.snapshot import MAX_STALENESS, resolve_bins
-from fillwatch.session import exists
+from fillwatch.session import delete, exists
 
 #: What a bin's state remembers of its segment for the rates.
 LOOKBACK_US = max(high for _, _, high in BANDS.values()) * SECOND
@@ -115,16 +116,22 @@ class Rates(StatefulProcessor):
         pass
 
 
+def level_stream(log: DataFrame, late: str = "2 hours") -> DataFrame:
+    """(bin_id, us, fill_pct): one level per bin and time, the last by seq, once the watermark has passed the time. Readings without a level or time are left out."""
+    known = log.where("fill_pct IS NOT NULL")
+    x = _last_readings(known.select([c for c in known.columns if c in ("bin_id", "ts", "seq", "fill_pct")]), late)
+    return x.select("bin_id", "us", "r.fill_pct")
+
+
 def reset_stream(log: DataFrame, late: str = "2 hours", drop_pct: float = RESET, barrier: float = BARRIER) -> DataFrame:
     """Each reading with its cycle, hours since the last reset and both rates, once the watermark has passed it.
 
     Equal to the batch operators over the rows that aren't late: rows within the watermark may come in any order and more
     than once (the last by seq counts). A quiet bin's rows come with the watermark too. Readings without a level or time
-    are left out.
+    are left out. Every bin of a batch costs calls between Python and the state; rates_upsert gives the same rows without
+    them, where a sink for batches will do.
     """
-    known = log.where("fill_pct IS NOT NULL")
-    x = _last_readings(known.select([c for c in known.columns if c in ("bin_id", "ts", "seq", "fill_pct")]), late)
-    return x.select("bin_id", "us", "r.fill_pct").groupBy("bin_id").transformWithState(Rates(drop_pct, barrier), _READING, "Append", "None")
+    return level_stream(log, late).groupBy("bin_id").transformWithState(Rates(drop_pct, barrier), _READING, "Append", "None")
 
 
 def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 72.0) -> DataFrame:
@@ -138,13 +145,64 @@ def staleness_stream(log: DataFrame, late: str = "2 hours", max_hours: float = 7
     return x.groupBy("bin_id", F.session_window("ts", f"{int(max_hours * HOUR)} microseconds")).agg(F.unix_micros(F.max("ts")).alias("last_us")).select("bin_id", "last_us")
 
 
-#: Parts that a stream's snapshot is laid out in, by a hash of the bin.
+#: Parts that a stream's tables are laid out in, by a hash of the bin.
 BUCKETS = 64
+_RECENT = "bin_id string, us long, fill_pct double, cycle_id long, reset_us long, epoch long, bucket int"
+
+
+def rates_upsert(path: str, then: Callable[[DataFrame, int], None], drop_pct: float = RESET, barrier: float = BARRIER, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over level_stream: reset_stream's rows of a batch, handed to then(rows, epoch), which must be done with them when it returns.
+
+    The batch operators' windows run over the batch and what its bins remember, in one exchange by bin. A bin remembers its
+    last nine hours of readings, at least the last one, each with its cycle and reset. They are laid out by epoch and
+    bucket of bins; a batch reads and writes only the buckets that it touches. Each bucket keeps the version before its
+    newest, so a batch that is run again starts from what it started from before.
+    """
+    path = path.rstrip("/")
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("bin_id", "us", "fill_pct", F.pmod(F.xxhash64("bin_id"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows.write.mode("overwrite").parquet(f"{path}-batch")  # a stateful batch is computed once, whatever is asked of it
+        rows = spark.read.schema(rows.schema).parquet(f"{path}-batch")
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        rows, versions = rows.select("*", F.lit(None).cast("long").alias("cycle_id"), F.lit(None).cast("long").alias("reset_us"), F.lit(True).alias("new")), {}
+        if exists(spark, path):
+            there = spark.read.schema(_RECENT).parquet(path).where(F.col("bucket").isin(touched) & (F.col("epoch") < epoch))
+            for r in there.groupBy("bucket").agg(F.collect_set("epoch").alias("epochs")).collect():  # two a bucket
+                versions[r.bucket] = sorted(r.epochs)
+            newest = {e: [b for b, es in versions.items() if es[-1] == e] for e in {es[-1] for es in versions.values()}}
+            if newest:
+                there = there.where(reduce(lambda a, b: a | b, [(F.col("epoch") == e) & F.col("bucket").isin(bs) for e, bs in newest.items()]))
+                rows = rows.unionByName(there.drop("epoch").withColumn("new", F.lit(False)))
+        x = add_rate_features(rows.withColumnRenamed("us", "_us"), barrier, deduped=True)
+        w = Window.partitionBy("bin_id").orderBy("_us")
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("_drop", F.col("new") & F.coalesce(F.col("fill_pct") - F.lag("fill_pct").over(w) < -drop_pct, F.lit(False)))
+        reset = F.last(F.when(F.col("_drop"), F.col("_us")).otherwise(F.col("reset_us")), ignorenulls=True).over(run)
+        x = x.withColumns({
+            "cycle_id": F.coalesce(F.max("cycle_id").over(run), F.lit(0)) + F.sum(F.col("_drop").cast("long")).over(run),
+            "reset_us": F.coalesce(reset, F.first("_us").over(run)),
+            "recent": F.col("_us") >= F.max("_us").over(Window.partitionBy("bin_id")) - LOOKBACK_US,
+        }).withColumnRenamed("_us", "us").withColumn("time_since_reset_hours", (F.col("us") - F.col("reset_us")) / HOUR).drop("_drop")
+        x.write.mode("overwrite").parquet(f"{path}-rates")
+        x = spark.read.schema(x.schema).parquet(f"{path}-rates")
+        x.where("recent").select("bin_id", "us", "fill_pct", "cycle_id", "reset_us", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        then(x.where("new").select(*READING), epoch)
+        for b, epochs in versions.items():
+            for e in epochs[:-1]:
+                delete(spark, f"{path}/epoch={e}/bucket={b}")
+
+    return put
+
+
 _SNAPSHOT = "bin_id string, us long, fill_pct double, fill_rate_1h double, n long, epoch long, bucket int"
 
 
 def snapshot_upsert(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over reset_stream: the newest reading and the number of readings of every bin seen so far.
+    """For foreachBatch over reset_stream, or behind rates_upsert: the newest reading and the number of readings of every bin seen so far.
 
     The table is laid out by buckets of bins. A batch reads and overwrites only the buckets that it touches, so what is
     written grows with the batch, not with the table. Each bucket knows the last epoch that it took in and ignores that
@@ -191,8 +249,8 @@ def stream_snapshot(spark: SparkSession, path: str, decision_at: str, bins: Data
     return out.select("bin_id", "us", "n", status.alias("status"), F.round("fill_pct", 1).alias("fill_pct"), F.when(F.col("n").isNotNull(), F.round("naive_hours", 2)).alias("hours"), F.when(F.col("n").isNotNull(), risk_level(F.col("naive_hours"))).alias("risk_level"), "epoch")
 
 
-def totals_upsert(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over session_totals_stream in update mode: each epoch's changed sessions as a part of their own; an epoch run again overwrites its part."""
+def epochs_upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch, or behind rates_upsert: each epoch's rows as a part of their own; an epoch run again overwrites its part."""
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
@@ -200,6 +258,11 @@ def totals_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return put
 
 
+def totals_upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over session_totals_stream in update mode: each epoch's changed sessions."""
+    return epochs_upsert(path)
+
+
 def latest_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest row of every session that totals_upsert has written."""
     x = spark.read.parquet(path)

@@ -161,3 +161,39 @@ def test_silence_at_its_border(spark, tmp_path):
     spark.createDataFrame(rows, "bin_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "log"))
     got = drain(spark, T.staleness_stream(stream(spark, str(tmp_path / "log"), "bin_id string, ts timestamp"), "12 hours", 24.0), tmp_path)
     assert sorted((r.bin_id, r.last_us - 1_767_225_600_000_000) for r in got.collect()) == [("a", 86_400_000_000), ("b", 0), ("b", 86_400_000_001)]
+
+
+def test_rates_by_windows(spark, tmp_path):
+    """Batch by batch, each run twice and one cut off before its rows were taken in: rows and cycles are those of the whole log."""
+    rows = [(f"b{i % 7}", 600_000_000 * i + i % 3, float(i * i * 31 % 106)) for i in range(1500)] + [("once", 5, 50.0)]
+    log = spark.createDataFrame(rows, "bin_id string, us long, fill_pct double").withColumn("ts", F.timestamp_micros("us")).withColumn("seq", F.col("us")).cache()
+    at, out, cut = str(tmp_path / "recent"), str(tmp_path / "out"), {2}
+
+    def then(x, epoch):
+        if epoch in cut:
+            cut.remove(epoch)
+            raise ValueError("cut off")
+        T.epochs_upsert(out)(x, epoch)
+
+    put = T.rates_upsert(at, then, buckets=4)
+    for epoch in range(6):
+        part = log.where((F.col("us") >= epoch * 160_000_000_000) & (F.col("us") < (epoch + 1) * 160_000_000_000))
+        if epoch == 2:
+            with pytest.raises(ValueError, match="cut off"):
+                put(part, epoch)
+        put(part, epoch)
+        put(part, epoch)
+        put(part.where("false"), 100 + epoch)
+    want = X.add_reset_features(X.add_rate_features(log)).select("bin_id", "us", "fill_pct", "cycle_id", "time_since_reset_hours", "fill_rate_1h", "fill_rate_6h")
+    assert rounded(spark.read.parquet(out).drop("epoch")) == rounded(want)
+    kept = [len(glob.glob(f"{at}/epoch=*/bucket={b}")) for b in range(4)]
+    assert max(kept) == 2 and spark.read.parquet(at).where("bin_id = 'once'").select("us").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name", ["stream_rates", "stream_snapshot"])
+def test_rates_of_a_feed_without_python(spark, name, monkeypatch):
+    """A bin costs no call of a Python worker in any batch, so large batches cost what windows over them cost."""
+    plans, run = [], T.run_available
+    monkeypatch.setattr(T, "run_available", lambda df, *a, **k: plans.append(df._jdf.queryExecution().analyzed().toString()) or run(df, *a, **k))
+    assert P.QUERIES[name](spark, SF).count() > 0
+    assert len(plans) == 4 and not any("TransformWithState" in p for p in plans)
